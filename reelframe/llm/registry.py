@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from reelframe.llm import vector_search
+from reelframe.llm import byte_bpe, vector_search
 
 QUERIES = {
     "op1_segment_topk": vector_search.op1_segment_topk,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
 SQL = {
     "op1_segment_topk": vector_search.OP1_SQL,
