@@ -12,6 +12,7 @@ through its rows in pieces of bounded size.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -50,7 +51,7 @@ class MinimalPerfectHash:
 
     def __init__(self, keys: list[bytes]):
         self.n = len(keys)
-        self.buckets = max(1, self.n // 4)
+        self.buckets = max(1, self.n // 2)
         held: list[list[int]] = [[] for _ in range(self.buckets)]
         hashes = [xxhash.xxh3_64_intdigest(k) for k in keys]
         for i, h in enumerate(hashes):
@@ -100,6 +101,7 @@ class Tokenizer:
     def start(self) -> Tokenizer:
         """In a task: compile the pattern, and begin with an empty memory."""
         self.find = regex.compile(self.pattern).findall
+        self.rank = {t: i for i, t in self.known}.get
         self.memory = _Memory(self)
         return self
 
@@ -112,9 +114,9 @@ class Tokenizer:
         """Ids of a piece that is no token itself."""
         n = len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        lookup, heap = self.lookup, []
+        rank_of, heap = self.rank, []
         for i in range(n - 1):
-            if (rank := lookup(piece[i : i + 2])) >= 0:
+            if (rank := rank_of(piece[i : i + 2])) is not None:
                 heap.append((rank, i, i + 2))
         heapify(heap)
         while heap:
@@ -125,20 +127,20 @@ class Tokenizer:
             after[i], after[j] = end, -1
             if end < n:
                 before[end] = i
-                if (rank := lookup(piece[i : after[end]])) >= 0:
+                if (rank := rank_of(piece[i : after[end]])) is not None:
                     heappush(heap, (rank, i, after[end]))
-            if (p := before[i]) >= 0 and (rank := lookup(piece[p:end])) >= 0:
+            if (p := before[i]) >= 0 and (rank := rank_of(piece[p:end])) is not None:
                 heappush(heap, (rank, p, end))
         ids, i = [], 0
         while i < n:
-            ids.append(lookup(piece[i : after[i]]))
+            ids.append(rank_of(piece[i : after[i]]))
             i = after[i]
         return ids
 
     def piece_ids(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.lookup(raw)
-        return np.array([whole] if whole >= 0 else self.merge(raw), np.int32).tobytes()
+        return array("i", [whole] if whole >= 0 else self.merge(raw)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if len(self.memory) > CACHED:
