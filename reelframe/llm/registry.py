@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from reelframe.llm import byte_bpe, vector_search
+from reelframe.llm import byte_bpe, prefix_fingerprint, vector_search
 
 QUERIES = {
     "op1_segment_topk": vector_search.op1_segment_topk,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_prefix_fingerprint": prefix_fingerprint.op9_prefix_fingerprint,
 }
 SQL = {
     "op1_segment_topk": vector_search.OP1_SQL,
