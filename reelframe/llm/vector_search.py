@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from reelframe.llm.common import parallelism, table
 
 #: Segments of each level; a level with more segments than components is left out.
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
 QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 65_536
 #: Candidates and queries that are compared at once within a block.
@@ -42,7 +42,7 @@ def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
         mean = part.mean(axis=1)
         deviation = np.sqrt(np.maximum((part * part).mean(axis=1) - mean * mean, 0))
         parts += [mean * math.sqrt(b - a), deviation * math.sqrt(b - a)]
-    return np.stack(parts, axis=1)
+    return np.stack(parts, axis=1).astype(np.float32)
 
 
 def iter_bounds(width: int, segments: int) -> list[int]:
@@ -67,7 +67,8 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     for q0 in range(0, len(query_ids), QUERY_STEP):
         own_ids, own = query_ids[q0 : q0 + QUERY_STEP], queries[q0 : q0 + QUERY_STEP]
         own_fine = [statistics(own, n) for n in levels]
-        slack = 1e-6 + 1e-9 * norm * np.sqrt((own.astype(np.float64) ** 2).sum(axis=1))[:, None]
+        # the bounds are computed in single precision
+        slack = 1e-3 + 1e-5 * norm * np.sqrt((own.astype(np.float64) ** 2).sum(axis=1))[:, None]
         kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         least = np.full((len(own), 1), -np.inf)
         for c0 in range(0, len(ids), STEP):
@@ -75,7 +76,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             alive = own_ids[:, None] != ids[cols][None, :]
             for level, (mine, theirs) in enumerate(zip(own_fine, fine)):
                 bound = mine @ theirs[cols].T
-                if level == 0 and len(cols) > 4 * k:
+                if level == 0 and c0 == 0 and len(cols) > 4 * k:
                     # the most promising candidates give a first threshold
                     first = np.argpartition(-np.where(alive, bound, -np.inf), 2 * k, axis=1)[:, : 2 * k]
                     score = np.einsum("qd,qcd->qc", own, vectors[cols[first]])
@@ -88,7 +89,8 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
             for p in range(0, len(qi), 1 << 18):
                 a, b = qi[p : p + (1 << 18)], cols[ci[p : p + (1 << 18)]]
                 score = np.einsum("nd,nd->n", own[a], vectors[b])
-                kept = tuple(np.concatenate(x) for x in zip(kept, (a, ids[b], score)))
+                near = score >= least[a, 0]
+                kept = tuple(np.concatenate(x) for x in zip(kept, (a[near], ids[b[near]], score[near])))
                 keep = best_of(kept[0], kept[2], kept[1], k)
                 kept = tuple(x[keep] for x in kept)
                 full = np.bincount(kept[0], minlength=len(own)) >= k
