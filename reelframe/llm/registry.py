@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from reelframe.llm import byte_bpe, prefix_fingerprint, url_filter, vector_search
+from reelframe.llm import byte_bpe, prefix_fingerprint, source_mixing, url_filter, vector_search
 
 QUERIES = {
     "op1_segment_topk": vector_search.op1_segment_topk,
     "op2_url_models": url_filter.op2_url_models,
+    "op7_hierarchical_mixing": source_mixing.op7_hierarchical_mixing,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_prefix_fingerprint": prefix_fingerprint.op9_prefix_fingerprint,
 }
 SQL = {
     "op1_segment_topk": vector_search.OP1_SQL,
     "op2_url_models": url_filter.OP2_SQL,
+    "op7_hierarchical_mixing": source_mixing.OP7_SQL,
 }
