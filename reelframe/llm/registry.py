@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from reelframe.llm import byte_bpe, prefix_fingerprint, source_mixing, toxicity, url_filter, vector_search
+from reelframe.llm import byte_bpe, near_dedup, prefix_fingerprint, source_mixing, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_segment_topk": vector_search.op1_segment_topk,
     "op2_url_models": url_filter.op2_url_models,
+    "op3_minhash_dedup": near_dedup.op3_minhash_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op7_hierarchical_mixing": source_mixing.op7_hierarchical_mixing,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
