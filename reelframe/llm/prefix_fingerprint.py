@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, parallelism, table
+from reelframe.llm.common import cut, parallelism, pieces, table
 
 #: Two Mersenne primes are not needed: 2^31 - 1 with two bases gives 62 bits and products that fit 64.
 PRIME = np.uint64(2**31 - 1)
@@ -86,7 +87,7 @@ class PrefixHash:
         return self.span(0, self.n)
 
 
-def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
+def common_extension(a: PrefixHash, i: int, b: PrefixHash | Joined, j: int) -> int:
     """The length of the longest common prefix of a from i and b from j."""
     low, high = 0, min(a.n - i, b.n - j)
     while low < high:
@@ -104,14 +105,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(hashes: PrefixHash) -> np.ndarray:
-    """The smallest mixed span hash of each class, cut to DIGITS hex digits; zero where a class is empty."""
+def windows(hashes: PrefixHash) -> np.ndarray:
+    """The mixed hashes of all spans of WIDTH code points; of a shorter text, its own."""
     if not hashes.n:
-        return np.zeros(SLOTS, np.uint64)
+        return np.zeros(0, np.uint64)
     start = np.arange(max(1, hashes.n - WIDTH + 1))
-    x = mixed(hashes.spans(start, np.minimum(start + WIDTH, hashes.n)))
+    return mixed(hashes.spans(start, np.minimum(start + WIDTH, hashes.n)))
+
+
+def sketch(*parts: np.ndarray) -> np.ndarray:
+    """The smallest window hash of each class, cut to DIGITS hex digits; zero where a class is empty."""
     out = np.full(SLOTS, 2**64 - 1, np.uint64)
-    np.minimum.at(out, (x & np.uint64(SLOTS - 1)).astype(np.int64), x)
+    for x in parts:
+        np.minimum.at(out, (x & np.uint64(SLOTS - 1)).astype(np.int64), x)
     room = np.uint64(16**DIGITS - 1)
     return np.where(out == np.uint64(2**64 - 1), np.uint64(0), np.uint64(1) + (mixed(out) % room))
 
@@ -145,11 +151,55 @@ class Fingerprint:
     def __init__(self, text: str | None):
         self.text = text or ""
         self.hashes = PrefixHash(points_of(self.text))
-        self.slots = sketch(self.hashes)
+        self.windows = windows(self.hashes)
+        self.slots = sketch(self.windows)
+
+
+class Joined:
+    """The prefix hash of a[:left] + b[:right], put together from those of a and b."""
+
+    def __init__(self, a: PrefixHash, left: int, b: PrefixHash, right: int):
+        self.n, self.left = left + right, left
+        powers = POWERS.upto(self.n + 1)
+        self.up, self.down = powers.up, powers.down
+        self.a, self.b = a.prefix, b.prefix
+
+    def upto(self, k: int, i: int) -> int:
+        if i <= self.left:
+            return int(self.a[k][i])
+        return (int(self.a[k][self.left]) + int(self.up[k][self.left]) * int(self.b[k][i - self.left])) % int(PRIME)
+
+    def span(self, start: int, stop: int) -> int:
+        out = 0
+        for k in range(len(BASES)):
+            out = out << 31 | (self.upto(k, stop) - self.upto(k, start)) * int(self.down[k][start]) % int(PRIME)
+        return out
+
+    def whole(self) -> int:
+        return self.span(0, self.n)
+
+
+class Edited:
+    """The fingerprint of own[:-half] + following[:half], from the two texts' hashes.
+
+    A span has the same hash wherever it stands, so only the windows across the
+    seam are new.
+    """
+
+    def __init__(self, own: Fingerprint, following: Fingerprint):
+        half = own.hashes.n // 2
+        left, right = own.hashes.n - half, min(half, following.hashes.n)
+        self.text = edited(own.text, following.text)
+        self.hashes = Joined(own.hashes, left, following.hashes, right)
+        if left < WIDTH or right < WIDTH:
+            self.slots = Fingerprint(self.text).slots
+        else:
+            seam = windows(PrefixHash(points_of(self.text[left - WIDTH + 1 : left + WIDTH - 1])))
+            self.slots = sketch(own.windows[: left - WIDTH + 1], seam, following.windows[: right - WIDTH + 1])
 
 
 def compared(doc_id: int | None, own: Fingerprint, following: Fingerprint) -> tuple:
-    changed = Fingerprint(edited(own.text, following.text))
+    changed = Edited(own, following)
     return (
         doc_id,
         own.hashes.n,
@@ -167,23 +217,35 @@ def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, compressed text)."""
+    to_bytes = zstandard.ZstdCompressor(level=1).compress
+    for batch in pieces(batches):
+        texts = [x or "" for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([to_bytes(x.encode()) for x in texts], pa.binary())], ["doc_id", "text"])
+
+
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint, and how it compares with its edited text and with the next document.
 
     docs: (doc_id, text) among other columns. Rows are in order of doc_id, null
-    first, and of text among equal ids; the next document of a row is the row
+    first, and of packed text among equal ids; the next document of a row is the row
     after it, and of the last row the first. A null text counts as empty. A
     single row is its own next document. No rows give no rows.
     """
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # texts travel compressed; equal ids are ordered by text, and equal texts compress alike
+    packed = docs.select("doc_id", "text").mapInArrow(pack, "doc_id long, text binary")
+    order = [F.col(c).asc_nulls_first() for c in ("doc_id", "text")]
+    ordered = packed.repartitionByRange(parallelism(spark), order[0]).sortWithinPartitions(*order)
     schema = pa.schema([*RESULT, ("edge", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, out, size = None, [], 0
+        unpack = zstandard.ZstdDecompressor().decompress
+        before, out = None, []
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                now = (doc_id, Fingerprint(text.as_py()))
+                now = (doc_id, Fingerprint(unpack(text.as_py()).decode()))
                 if before is None:
                     out.append((doc_id, *[None] * 7, "first", now[1].text))
                 else:
