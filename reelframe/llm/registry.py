@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelframe.llm import byte_bpe, near_dedup, prefix_fingerprint, source_mixing, suffix_dedup, toxicity, url_filter, vector_search
+from reelframe.llm import byte_bpe, near_dedup, personal_data, prefix_fingerprint, source_mixing, suffix_dedup, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_segment_topk": vector_search.op1_segment_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_minhash_dedup": near_dedup.op3_minhash_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_weak_supervision": personal_data.op6_weak_supervision,
     "op7_hierarchical_mixing": source_mixing.op7_hierarchical_mixing,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_prefix_fingerprint": prefix_fingerprint.op9_prefix_fingerprint,
