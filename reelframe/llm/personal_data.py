@@ -87,9 +87,9 @@ def votes(kind: str, strict: Column, value: Column, before: Column, after: Colum
     """The four labelers' votes as bits: pattern, gazetteer, cue words, surroundings."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     known = {
-        "email": F.lower(value).rlike(rf"[.)\] ](?:{DOMAINS})$"),
-        "ip": ~value.rlike(r"^(?:0|2[4-9][0-9])\."),
-        "card": digits.rlike(f"^(?:{ISSUERS})"),
+        "email": F.lower(F.right(value, F.lit(8))).rlike(rf"[.)\] ](?:{DOMAINS})$"),
+        "ip": ~F.left(value, F.lit(4)).rlike(r"^(?:0|2[4-9][0-9])\."),
+        "card": F.left(digits, F.lit(4)).rlike(f"^(?:{ISSUERS})"),
         "phone": F.when(value.startswith("+"), digits.rlike(f"^(?:{CALLING})")).otherwise(digits.rlike("^[2-9][0-9]{2}[2-9]")),
     }[kind]
     cued = F.lower(before).rlike(rf"(?<!\pL)(?:{CUES[kind]})")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelframe.llm import byte_bpe, near_dedup, personal_data, prefix_fingerprint, source_mixing, suffix_dedup, toxicity, url_filter, vector_search
+from reelframe.llm import byte_bpe, license_scan, near_dedup, personal_data, prefix_fingerprint, source_mixing, suffix_dedup, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_segment_topk": vector_search.op1_segment_topk,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_hierarchical_mixing": source_mixing.op7_hierarchical_mixing,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_prefix_fingerprint": prefix_fingerprint.op9_prefix_fingerprint,
+    "op10_patience_licenses": license_scan.op10_patience_licenses,
 }
 SQL = {
     "op1_segment_topk": vector_search.OP1_SQL,
