@@ -87,8 +87,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit(positive: list[list[int]], unlabelled: list[list[int]], n: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative PU risk, with logistic loss, by Adam on all rows."""
+def fit(positive: list[list[int]], unlabelled: list[list[int]], n: int, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative PU risk, with logistic loss, by Adam on all rows.
+
+    In the end the bias is set so that unlabelled rows score the class prior on average.
+    """
     rows = [(np.repeat(np.arange(len(x)), [len(r) for r in x]), np.fromiter((f for r in x for f in r), np.int64), len(x)) for x in (positive, unlabelled)]
     theta = np.zeros(n + 1)
     theta[n] = np.log(prior / (1 - prior))
@@ -112,6 +115,10 @@ def fit(positive: list[list[int]], unlabelled: list[list[int]], n: int, prior: f
         g[:n] += decay * theta[:n]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    z, low, high = margin(rows[1]) - theta[n], -50.0, 50.0
+    for _ in range(60 if len(z) else 0):
+        theta[n] = (low + high) / 2
+        low, high = (theta[n], high) if (1 / (1 + np.exp(-np.clip(z + theta[n], -500, 500)))).mean() < prior else (low, theta[n])
     return theta[:n], float(theta[n])
 
 
