@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,66 +32,71 @@ class Seen:
         return not self.last_name and not self.last_time
 
 
-def fresh(window: pd.DataFrame, seen: Seen, limit: int | None = None) -> pd.DataFrame:
-    """The new rows of one refresh of one stream; `seen` moves on.
+def fresh(window: dict[str, np.ndarray], seen: Seen, limit: int | None = None) -> tuple[int, int]:
+    """(first new row, added to the new indexes) of one refresh of one stream, or its length where nothing is new; `seen` moves on.
 
-    window: (seg_pos, seg_index, name, unix_time or null, duration) in order of
-    seg_pos. Segments are told apart by time where all have one and one was
-    stored, else by name. New indexes that fall behind are moved on.
+    window: (seg_index, name, unix_time or null, duration) in order of seg_pos.
+    Segments are told apart by time where all have one and one was stored,
+    else by name. New indexes that fall behind are moved on.
     """
-    window = window.sort_values("seg_pos", kind="stable")
-    by_time = bool(len(window)) and bool(window["unix_time"].notna().all()) and seen.last_time != 0
-    hits = (window["unix_time"] == seen.last_time) if by_time else (window["name"] == seen.last_name)
-    at = hits.to_numpy().nonzero()[0]
-    new = window.iloc[at[0] + 1 :] if len(at) else window if seen.pristine else window.iloc[:0]
-    new = new.copy()
-    if len(new):
-        if (least := int(new["seg_index"].min())) < seen.max_index:
-            new["seg_index"] += seen.max_index - least + 1
-        seen.max_index = int(new["seg_index"].max())
-        end = new.iloc[-1]
-        seen.last_name = str(end["name"])
-        seen.last_time = int(end["unix_time"]) if pd.notna(end["unix_time"]) else 0
-    seen.refreshed_seconds += int(new["duration"].clip(lower=0).sum())
-    seen.refreshed_segments += len(new)
+    index, name, time, duration = (window[c] for c in ("seg_index", "name", "unix_time", "duration"))
+    n, shift = len(index), 0
+    by_time = n and seen.last_time != 0 and not np.isnan(time).any()
+    hits = np.flatnonzero((time == seen.last_time) if by_time else (name == seen.last_name))
+    start = int(hits[0]) + 1 if len(hits) else 0 if seen.pristine else n
+    if start < n:
+        if (least := int(index[start:].min())) < seen.max_index:
+            shift = seen.max_index - least + 1
+        seen.max_index = int(index[start:].max()) + shift
+        seen.last_name = str(name[-1])
+        seen.last_time = 0 if np.isnan(time[-1]) else int(time[-1])
+    seen.refreshed_seconds += int(np.maximum(duration[start:], 0).sum())
+    seen.refreshed_segments += n - start
     if limit is not None and seen.refreshed_seconds >= limit:
         seen.limit_reached = True
-    return new
+    return start, shift
 
 
 NEW_DDL = "stream_id long, refresh long, seg_index long, name string, duration double, refreshed_seconds long, refreshed_segments long"
-NEW_COLUMNS = [c.split()[0] for c in NEW_DDL.split(", ")]
+COLUMNS = ["stream_id", "refresh", "seg_index", "name", "unix_time", "duration"]
 
 
-def marked(new: pd.DataFrame, refresh: int, seen: Seen) -> pd.DataFrame:
-    return new.assign(refresh=refresh, refreshed_seconds=seen.refreshed_seconds, refreshed_segments=seen.refreshed_segments)[NEW_COLUMNS]
+def folded(rows: pd.DataFrame, states: dict[int, Seen], limit: int | None = None) -> pd.DataFrame:
+    """The new segments of whole refreshes, in order of stream, refresh and seg_pos; `states` by stream move on."""
+    x = {c: rows[c].astype(float).to_numpy() if c == "unix_time" else rows[c].to_numpy() for c in COLUMNS}
+    edges = np.flatnonzero((np.diff(x["stream_id"]) != 0) | (np.diff(x["refresh"]) != 0)) + 1
+    keep, shift = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64)
+    seconds, counts = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)]):
+        seen = states.setdefault(int(x["stream_id"][a]), Seen())
+        start, moved = fresh({c: v[a:b] for c, v in x.items()}, seen, limit)
+        keep[a + start : b] = True
+        shift[a:b], seconds[a:b], counts[a:b] = moved, seen.refreshed_seconds, seen.refreshed_segments
+    out = {c: x[c][keep] for c in ("stream_id", "refresh", "seg_index", "name", "duration")}
+    out["seg_index"] = out["seg_index"] + shift[keep]
+    return pd.DataFrame({**out, "refreshed_seconds": seconds[keep], "refreshed_segments": counts[keep]})
 
 
 def new_segments(snapshots: DataFrame, limit: int | None = None) -> DataFrame:
     """The new segments of every refresh, from (stream_id, refresh, seg_pos, seg_index, name, unix_time, duration).
 
     One stream's refreshes are folded in order; rows of a stream arrive sorted
-    and are taken a refresh at a time, so memory holds one window.
+    and are taken a batch at a time, so memory holds a batch and one window.
     """
-    dealt = snapshots.select("stream_id", "refresh", "seg_pos", "seg_index", "name", "unix_time", "duration").repartition("stream_id").sortWithinPartitions("stream_id", "refresh", "seg_pos")
+    dealt = snapshots.select(*COLUMNS, "seg_pos").repartition("stream_id").sortWithinPartitions("stream_id", "refresh", "seg_pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, of, seen = None, None, Seen()
+        held, states = None, {}
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch])
-            groups = [g for _, g in held.groupby(["stream_id", "refresh"], sort=False)]
-            for g in groups[:-1]:
-                of, seen, out = step(g, of, seen)
-                yield out
-            held = groups[-1]
+            last = held.iloc[-1]
+            whole = ~((held["stream_id"] == last["stream_id"]) & (held["refresh"] == last["refresh"])).to_numpy()
+            if whole.any():
+                states = {k: v for k, v in states.items() if k == held["stream_id"].iloc[0]}
+                yield folded(held[whole], states, limit)
+            held = held[~whole]
         if held is not None:
-            yield step(held, of, seen)[2]
-
-    def step(g: pd.DataFrame, of: int | None, seen: Seen):
-        stream, refresh = int(g["stream_id"].iloc[0]), int(g["refresh"].iloc[0])
-        if stream != of:
-            of, seen = stream, Seen()
-        return of, seen, marked(fresh(g, seen, limit), refresh, seen)
+            yield folded(held, states, limit)
 
     return dealt.mapInPandas(run, NEW_DDL)
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelframe.operators.live import NEW_DDL, Seen, fresh, marked
+from reelframe.operators.live import NEW_DDL, Seen, folded
 
 STATE_DDL = "last_name string, last_time long, max_index long, refreshed_seconds long, refreshed_segments long, limit_reached boolean"
 
@@ -27,11 +27,10 @@ def new_segments(snapshots: DataFrame, limit: int | None = None) -> DataFrame:
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = Seen(*state.get) if state.exists else Seen()
-        rows = pd.concat([*batches])
-        for refresh, window in rows.sort_values("refresh", kind="stable").groupby("refresh", sort=True):
-            yield marked(fresh(window, seen, limit), int(refresh), seen)
-        state.update(astuple(seen))
+        states = {key[0]: Seen(*state.get)} if state.exists else {}
+        rows = pd.concat([*batches]).sort_values(["stream_id", "refresh", "seg_pos"], kind="stable")
+        yield folded(rows, states, limit)
+        state.update(astuple(states[key[0]]))
 
     assert [f.name for f in fields(Seen)] == [c.split()[0] for c in STATE_DDL.split(", ")]
     return snapshots.groupBy("stream_id").applyInPandasWithState(run, NEW_DDL, STATE_DDL, "append", GroupStateTimeout.NoTimeout)

@@ -223,7 +223,7 @@ def test_live_window_streams_alike(spark, tmp_path):
 
 def test_limit():
     seen = live.Seen()
-    live.fresh(pd.DataFrame({"seg_pos": [0], "seg_index": [0], "name": ["a"], "unix_time": [None], "duration": [9.0]}), seen, limit=9)
+    live.folded(pd.DataFrame({"stream_id": [1], "refresh": [0], "seg_index": [0], "name": ["a"], "unix_time": [None], "duration": [9.0]}), {1: seen}, limit=9)
     assert seen.limit_reached
 
 
