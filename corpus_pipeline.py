@@ -16,6 +16,8 @@ from reelframe.llm.common import cut, table
 
 #: Of the tokens that reach the mixing stage, the share to be kept; no document is taken twice.
 MIX_PERCENT = 80
+#: Two documents are near copies where at least so many per cent of their shingles are common.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that repeat its id, the least stays. Rows with a null id stay.
     """
-    found = cut(near_dedup.near_duplicates(docs))
+    found = cut(near_dedup.near_duplicates(docs, NEAR_PERCENT))
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     repeated = cut(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))

@@ -1,9 +1,10 @@
 """MinHash near-deduplication by an inverted join over signature coordinates.
 
 Every distinct shingle set posts its document under (coordinate, value) pairs of
-its signature. Two sets as alike as asked agree in at least MATCHES of the
-COORDINATES coordinates but for one pair in millions, so they meet under one of
-the first COORDINATES - MATCHES + 1 (the prefix), and only these are posted. A
+its signature. Two sets as alike as asked agree in at least matches_for(least)
+of the COORDINATES coordinates but for one or two pairs in a million, so they
+meet under one of the first COORDINATES - matches + 1 (the prefix), and only
+these are posted. A
 posting list is merged with skips: sizes that rule out the similarity and pairs
 that the list has already connected are passed over, and a long list is first
 parted by pairs of further coordinates, some of which any matching pair must
@@ -18,6 +19,7 @@ settled, until no list proposes anything new: no link between components is lost
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,11 @@ from reelframe.llm.common import cut, pieces, table
 from reelframe.llm.components import components
 
 WORDS = 5
-#: Two documents are linked where 100 * common >= LEAST * all of their shingles.
+#: op3 links two documents where 100 * common >= LEAST * all of their shingles.
 LEAST = 85
 COORDINATES = 64
-#: With similarity 0.85 a signature agrees in fewer coordinates once in about a million pairs.
-MATCHES = 40
-PREFIX = COORDINATES - MATCHES + 1
+#: Of pairs just as alike as asked, at most this share agrees in too few coordinates and is lost.
+LOST = 2.5e-6
 #: A posting list beyond this length is parted by further coordinates.
 LONG_LIST = 512
 #: Rows of a pivot that are confirmed together.
@@ -50,6 +51,22 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
+def matches_for(least: int) -> int:
+    """The most coordinates in which all but LOST of the pairs of similarity least / 100 agree: 40 for 85, 35 for 80."""
+    p, lost, m = least / 100, 0.0, 0
+    while m < COORDINATES and (lost := lost + comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= LOST:
+        m += 1
+    # a long list is parted by pairs of coordinates, as many pairs as the prefix is long
+    if 2 * prefix_for(m) > COORDINATES:
+        raise ValueError(f"a similarity of {least} % is too low for {COORDINATES} coordinates")
+    return m
+
+
+def prefix_for(matches: int) -> int:
+    """Two signatures that agree in so many coordinates agree in one of these first."""
+    return COORDINATES - matches + 1
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _M
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -108,8 +125,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out >> np.uint64(32)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, bits, heads): the set's size, identity, low bytes of its signature, and prefix values."""
+def sketched(docs: DataFrame, prefix: int) -> DataFrame:
+    """(doc_id, n_shingles, key, bits, heads): the set's size, identity, low bytes of its signature, and its first `prefix` values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = np.seterr(over="ignore")
@@ -120,7 +137,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             bits, heads, keys = ([None] * len(sets) for _ in range(3))
             if full:
                 sig = signatures(full)
-                low, values = (sig & np.uint64(255)).astype(np.uint8), sig[:, :PREFIX].astype(np.int64)
+                low, values = (sig & np.uint64(255)).astype(np.uint8), sig[:, :prefix].astype(np.int64)
                 for row, i in enumerate(np.flatnonzero(size)):
                     s = sets[i]
                     bits[i], heads[i] = low[row].tobytes(), values[row]
@@ -134,13 +151,14 @@ def sketched(docs: DataFrame) -> DataFrame:
 class Merger:
     """Proposes links among the documents of one posting list."""
 
-    def __init__(self, ids: np.ndarray, size: np.ndarray, bits: np.ndarray, label: np.ndarray, settled: list, fan: int):
+    def __init__(self, ids: np.ndarray, size: np.ndarray, bits: np.ndarray, label: np.ndarray, settled: list, fan: int, least: int):
         order = np.lexsort((ids, size))
         self.ids, self.size, self.bits = ids[order], size[order], bits[order]
         self.label = np.unique(label[order], return_inverse=True)[1]
         self.settled = {(i, j) for i, x in zip(ids.tolist(), settled) if x is not None for j in x}
         # fan: pairs that a document may propose though their components are already connected here
         self.fan = fan
+        self.least, self.matches = least, matches_for(least)
         self.found: list[tuple[int, int]] = []
         self.proposed = self.label.copy()
 
@@ -149,8 +167,8 @@ class Merger:
         if len(every) <= LONG_LIST:
             self.merge(every)
         else:
-            # of 31 pairs of the other coordinates at most COORDINATES - MATCHES mismatch, so PREFIX of them hold an agreement
-            for k in range(COORDINATES - 1, COORDINATES - 1 - 2 * PREFIX, -2):
+            # at most COORDINATES - matches of the pairs of coordinates hold a mismatch, so of one more than these one agrees
+            for k in range(COORDINATES - 1, COORDINATES - 1 - 2 * prefix_for(self.matches), -2):
                 value = self.bits[:, k].astype(np.int64) * 256 + self.bits[:, k - 1]
                 order = np.argsort(value, kind="stable")
                 edges = np.flatnonzero(np.diff(value[order])) + 1
@@ -161,7 +179,7 @@ class Merger:
 
     def merge(self, at: np.ndarray) -> None:
         size, bits, proposed = self.size[at], self.bits[at], self.proposed
-        most = np.searchsorted(size * LEAST, size * 100, side="right")
+        most = np.searchsorted(size * self.least, size * 100, side="right")
         for i in range(len(at) - 1):
             j = np.arange(i + 1, most[i])
             own = at[i]
@@ -171,7 +189,7 @@ class Merger:
                 j = j[proposed[at[j]] != proposed[own]]
             if not len(j):
                 continue
-            j = j[(bits[j] == bits[i]).sum(axis=1) >= MATCHES]
+            j = j[(bits[j] == bits[i]).sum(axis=1) >= self.matches]
             links = 0
             for other in at[j]:
                 a, b = int(self.ids[own]), int(self.ids[other])
@@ -185,11 +203,12 @@ class Merger:
                 self.found.append((a, b))
 
 
-def proposals(posted: DataFrame, fan: int) -> DataFrame:
+def proposals(posted: DataFrame, fan: int, least: int) -> DataFrame:
     """Distinct (a, b) that the posting lists propose, from (id, size, bits, heads, label, settled)."""
     each = posted.select("id", "size", "bits", "label", "settled", F.posexplode("heads").alias("c", "v")).select("id", "size", "bits", "label", "settled", F.expr("shiftleft(cast(c as bigint), 32) | v").alias("list"))
     dealt = each.repartition(F.col("list")).sortWithinPartitions("list")
     names = ["id", "size", "bits", "label", "settled"]
+    matches = matches_for(least)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """The rows of whole lists of two or more documents."""
@@ -220,15 +239,15 @@ def proposals(posted: DataFrame, fan: int) -> DataFrame:
             starts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
             out: set[tuple[int, int]] = set()
             for a, b in zip(starts[:-1], starts[1:]):
-                if b - a == 2 and (label[a] == label[a + 1] or (bits[a] == bits[a + 1]).sum() < MATCHES):
+                if b - a == 2 and (label[a] == label[a + 1] or (bits[a] == bits[a + 1]).sum() < matches):
                     continue
-                out.update((min(x), max(x)) for x in Merger(ids[a:b], size[a:b], bits[a:b], label[a:b], settled[a:b], fan).run())
+                out.update((min(x), max(x)) for x in Merger(ids[a:b], size[a:b], bits[a:b], label[a:b], settled[a:b], fan, least).run())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return dealt.select("list", *names).mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(links: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(links: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """links (a, b) with `holds`: whether the full shingle sets are as alike as asked.
 
     Each link's second document is brought to its first, the pivot; a pivot
@@ -252,7 +271,7 @@ def confirmed(links: DataFrame, docs: DataFrame) -> DataFrame:
                     continue
                 assert pivot == (a, part)
                 common = len(np.intersect1d(own, own_set, assume_unique=True))
-                out.append((a, doc, 100 * common >= LEAST * (len(own) + len(own_set) - common)))
+                out.append((a, doc, 100 * common >= least * (len(own) + len(own_set) - common)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "holds"])
         np.seterr(**old)
 
@@ -260,9 +279,10 @@ def confirmed(links: DataFrame, docs: DataFrame) -> DataFrame:
     return stars.mapInArrow(run, "a long, b long, holds boolean").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
+    Two documents are linked where at least `least` per cent of their shingles are common.
     Words are runs without ASCII white space, A-Z lower-cased; the set has the
     distinct runs of five words, or all words of a shorter text as one. A null
     text or one without words has an empty set and is linked with nothing. Rows
@@ -270,16 +290,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null id is linked with nothing, has a null component, and is kept. No rows
     give no rows.
     """
-    sketches = cut(sketched(docs))
+    sketches = cut(sketched(docs, prefix_for(matches_for(least))))
     linked = sketches.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     classes = cut(linked.groupBy("key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "bits", "heads")).alias("x")).select("key", F.col("x.doc_id").alias("id"), "x.size", "x.bits", "x.heads"))
     posted = classes.select("id", "size", "bits", "heads", F.col("id").alias("label"), F.lit(None).cast("array<long>").alias("settled"))
     settled, fan, labels = None, 0, None
     while True:
-        links = cut(proposals(posted, fan))
+        links = cut(proposals(posted, fan, least))
         if links.isEmpty():
             break
-        answers = cut(confirmed(links, docs))
+        answers = cut(confirmed(links, docs, least))
         settled = answers if settled is None else cut(settled.unionByName(answers))
         labels = cut(components(settled.where("holds").select("a", "b")))
         refused = settled.where("not holds")
@@ -305,4 +325,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), LEAST)

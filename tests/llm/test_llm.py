@@ -299,3 +299,49 @@ def test_near_copy_stage_keeps_one_of_each(spark, awkward, small):
     kept = corpus_pipeline.drop_near_copies(spark, awkward.select(*[c.split()[0] for c in DOC.split(", ")]), small)
     rows = linked([(k, t) for k, t in enumerate(TEXTS)])
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({c for _, c in rows.values()})
+
+
+def linked_at(rows, least):
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and a and b and 100 * len(a & b) >= least * len(a | b) and label[i] != label[j]:
+                x, y = sorted((label[i], label[j]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    return label
+
+
+def test_near_copy_stage_links_from_80_percent(spark, small):
+    r = random.Random(80)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for k, places in ((1, (20, 70, 120)), (2, (30, 80, 130, 180)), (3, (10, 40, 90, 140, 170, 195))):
+        words = list(base)
+        for p in places:
+            words[p] = f"new{k}_{p}"
+        rows.append((k, " ".join(words)))
+    # 0.86 and 0.81 are near copies of 0; 0.74 and more from all others is not
+    rows += [(10 + k, t) for k, t in varied(3, 120)] + [(200, " ".join(f"own{r.random()}" for _ in range(60)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = linked_at(rows, 80)
+    assert [wanted[k] for k in range(4)] == [0, 0, 0, 3] and wanted != linked_at(rows, 85)
+    assert {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(d, 80).collect()} == wanted
+    assert {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, d, small).collect()} == set(wanted.values())
+    assert {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(d).collect()} == linked_at(rows, 85)
+
+
+def test_near_copies_of_one_long_list(spark):
+    r = random.Random(81)
+    base = [f"c{k}" for k in range(100)]
+    rows = []
+    for k in range(560):
+        words = list(base)
+        words[r.randrange(100)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()}
+    assert got == linked_at(rows, 80)
+
+
+def test_matches_of_a_similarity():
+    assert (near_dedup.matches_for(85), near_dedup.matches_for(80)) == (40, 35)
