@@ -4,7 +4,8 @@ A license template is aligned with a text's words: words that occur once in
 both are paired, the longest increasing subsequence of the pairs keeps those in
 order, and the gaps between these anchors are aligned in the same way, where
 more words have become unique. What is left of a gap is matched from its two
-ends. Coverage is the share of the template's words that the alignment pairs.
+ends; a gap without a common unique word is aligned exactly, by a longest common
+subsequence over all pairs of equal words. Coverage is the share of the template's words that the alignment pairs.
 
 A template is only aligned with a text that has enough of its words to reach
 the least coverage at all, so most texts cost one pass of set lookups. The scan
@@ -91,6 +92,14 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         if anchors:
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             open_ += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:]) if i + 1 < k and j + 1 < m]
+        else:
+            # of the places of one word the last comes first, so an increasing subsequence takes one of them at most
+            at: dict[str, list[int]] = {w: [] for w in once_a}
+            for j in range(b1 - 1, b0 - 1, -1):
+                if b[j] in at:
+                    at[b[j]].append(j)
+            equal = [(i, j) for i in range(a0, a1) for j in at[a[i]]]
+            pairs += [equal[k] for k in longest_increasing([j for _, j in equal])]
     return sorted(pairs)
 
 

@@ -345,3 +345,11 @@ def test_near_copies_of_one_long_list(spark):
 
 def test_matches_of_a_similarity():
     assert (near_dedup.matches_for(85), near_dedup.matches_for(80)) == (40, 35)
+
+
+def test_licenses_side_by_side(spark):
+    mit = license_scan.TEMPLATES[1][1]
+    assert len(license_scan.align("x the mit y the mit z".split(), "q the mit r the mit s".split())) == 4
+    rows = [(1, "see a b c released under the mit license and released under the mit license for more"), (2, f"one {mit} two {mit} three"), (3, " and ".join([mit] * 5))]
+    got = {r["doc_id"]: [(x["license"], x["matched"] == x["size"]) for x in r["licenses"]] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: [("MIT", True)] for k in (1, 2, 3)}
