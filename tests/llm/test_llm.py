@@ -353,3 +353,26 @@ def test_licenses_side_by_side(spark):
     rows = [(1, "see a b c released under the mit license and released under the mit license for more"), (2, f"one {mit} two {mit} three"), (3, " and ".join([mit] * 5))]
     got = {r["doc_id"]: [(x["license"], x["matched"] == x["size"]) for x in r["licenses"]] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: [("MIT", True)] for k in (1, 2, 3)}
+
+
+def test_licenses_told_apart(spark):
+    bsd3, bsd2, gpl2 = (license_scan.whole_text(x) for x in ("BSD-3-Clause", "BSD-2-Clause", "GPL-2.0"))
+    wanted = {
+        "Released under the BSD License.": [],
+        "Licensed under CC BY 4.0.": ["CC-BY-4.0"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"],
+        "released a b c under d e f the g h i mit j k license": [],
+        "released one two three four five under six seven the eight mit license": [],
+        "x " + bsd2 + " y": ["BSD-2-Clause"],
+        "x " + bsd3.replace("Regents", "Owners") + " y": ["BSD-3-Clause"],
+        bsd3 + bsd2: ["BSD-2-Clause", "BSD-3-Clause"],
+        gpl2[:-3000] + " and more": ["GPL-2.0"],
+        **{license_scan.whole_text(name): [name] for name, _ in license_scan.WHOLE},
+        **{t.text: [t.name] for t in license_scan.all_templates()},
+    }
+    rows = list(enumerate(wanted))
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(rows[k][1][:99], got[k]) for k in range(len(rows))] == [(x[:99], names) for x, names in wanted.items()]
