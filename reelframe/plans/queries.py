@@ -71,9 +71,12 @@ def times(spark: SparkSession, sf_dir: str) -> DataFrame:
                     moments.clock(n).alias("clock"), moments.short_duration(n.cast("double")).alias("short"), cues.time_text(n * 37, ",").alias("srt"))
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.floor(F.col("o_totalprice") * 97).cast("long").alias("file_size"))
+
+
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.floor(F.col("o_totalprice") * 97).cast("long").alias("file_size"))
-    return clip.split_ranges(o.where("o_orderkey % 20 = 0"), length=10_000_000)
+    return clip.split_ranges(files(spark, sf_dir).where("o_orderkey % 20 = 0"), length=10_000_000)
 
 
 def hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +129,7 @@ QUERIES = {
     "over_limits": lambda s, d: clip.over_limits(segments(s, d), 6),
     "segment_batches": lambda s, d: clip.batches(segments(s, d), 3).select("stream_id", "seg_index", "tie", "price", "batch"),
     "range_split": sizes,
+    "range_split_all": lambda s, d: clip.split_ranges(files(s, d), length=10_000_000),
     "stream_order": lambda s, d: pick(select.ordered(streams(s, d)), "place"),
     "filter_keep": lambda s, d: pick(select.filter_keep(streams(s, d), KEEP, select.stream_order())),
     "filter_drop": lambda s, d: pick(select.filter_drop(with_totals(s, d), DROP)),
@@ -231,6 +235,10 @@ SQL = {
     "range_split": """SELECT o_orderkey, file_size, i AS index, i * 10000001 AS start_range, CASE WHEN i = n - 1 THEN file_size - i * 10000001 + 1 ELSE 10000001 END AS expected_length,
       CASE WHEN i = n - 1 THEN file_size - i * 10000001 + 1 ELSE 10000001 END > 0 AS is_valid
       FROM (SELECT o_orderkey, file_size, n, unnest(range(n)) AS i FROM (SELECT *, (file_size + 9999999) // 10000000 AS n FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 97) AS BIGINT) AS file_size FROM orders WHERE o_orderkey % 20 = 0)))""",
+    "range_split_all": """WITH f AS (SELECT o_orderkey, CAST(floor(o_totalprice * 97) AS BIGINT) AS file_size FROM orders),
+      r AS (SELECT *, (file_size + 9999999) // 10000000 - 1 AS last, unnest(range((file_size + 9999999) // 10000000)) AS index FROM f),
+      e AS (SELECT o_orderkey, file_size, index, index * 10000001 AS start_range, CASE WHEN index = last THEN file_size - index * 10000001 + 1 ELSE 10000001 END AS expected_length FROM r)
+      SELECT *, expected_length > 0 AS is_valid FROM e""",
     "stream_order": f"SELECT manifest_id, stream_pos, row_number() OVER (PARTITION BY manifest_id ORDER BY {BEST}) - 1 AS place FROM {STR}",
     "filter_keep": f"SELECT manifest_id, stream_pos FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id ORDER BY {BEST}) AS rn FROM {STR} WHERE {KEPT}) WHERE rn <= 2",
     "filter_drop": f"WITH t AS (SELECT *, {SHOWN} AS shown FROM {TOTALS}) SELECT manifest_id, stream_pos FROM t WHERE NOT EXISTS (SELECT 1 FROM t g WHERE g.language = 'fr' AND g.manifest_id = t.manifest_id AND g.shown = t.shown)",

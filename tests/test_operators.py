@@ -1,5 +1,6 @@
 """Worked examples, edge cases, and batch against streaming."""
 
+import math
 import random
 
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, text
 from reelframe.operators import clip, cues, jobs, live, select
+from reelframe.plans import queries
 from reelframe.streaming import live as streaming
 
 SEGMENT = "stream_id long, part_pos int, seg_index long, tie long, price double, duration double, url string, method string"
@@ -231,3 +233,16 @@ def test_alignment(spark):
     x = segments(spark, [(1, 0, i, 1.0, "u") for i in range(6)] + [(2, 0, i, 1.0, "u") for i in range(2, 7)]).withColumn("m", F.lit(1))
     counts = {r["stream_id"]: r["count"] for r in live.aligned_start(x, "m", 2).groupBy("stream_id").count().collect()}
     assert counts == {1: 1, 2: 2}
+
+
+def test_every_order_is_split(spark, small):
+    wanted = []
+    for key, price in spark.read.parquet(f"{small}/orders.parquet").select("o_orderkey", "o_totalprice").collect():
+        size, start, index = math.floor(price * 97), 0, 0
+        for left in range(size, 0, -10_000_000):
+            length = 10_000_001 if left > 10_000_000 else size - start + 1
+            wanted.append((key, size, index, start, length, length > 0))
+            start, index = start + 10_000_001, index + 1
+    got = queries.QUERIES["range_split_all"](spark, small).select("o_orderkey", "file_size", "index", "start_range", "expected_length", "is_valid").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+    assert any(key % 20 for key, *_ in wanted)
