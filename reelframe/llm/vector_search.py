@@ -9,11 +9,13 @@ excludes get their exact integer score.
 
 Plan: candidates are hashed into blocks, queries into blocks, and one cogroup
 per (query block, candidate block) searches with bounded memory. Each block
-sends on k rows per query, and a windowed rank merges them.
+sends on k rows per query, and a windowed rank merges them. The few vectors of
+huge norm are scored beside that in Python's integers.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -30,7 +32,7 @@ CANDIDATE_BLOCK = 65_536
 #: Candidates and queries that are compared at once within a block.
 STEP = 4_096
 QUERY_STEP = 256
-#: Squared norms from here on would not fit the score column.
+#: With squared norms below this, every score fits a long.
 NORM_LIMIT = 2.0**62
 
 
@@ -101,21 +103,41 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def huge_pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, int | None]]:
+    """(query, candidate, score) of each query's k best among these vectors in Python's integers; None for a score below a long."""
+    whole = lambda x: np.array([[int(v) for v in row] for row in x], dtype=object)
+    best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
+    own = whole(queries)
+    for c0 in range(0, len(ids), STEP):
+        theirs, names = whole(vectors[c0 : c0 + STEP]), ids[c0 : c0 + STEP].tolist()
+        for i, q in enumerate(query_ids.tolist()):
+            found = [(-s, c) for s, c in zip(theirs @ own[i], names) if c != q]
+            best[i] = heapq.nsmallest(k, best[i] + found)
+    out = []
+    for q, rows in zip(query_ids.tolist(), best):
+        for s, c in rows:
+            if -s >= 2**63:
+                raise OverflowError(f"the score of vectors {q} and {c} does not fit a long")
+            out.append((q, c, -s if -s >= -(2**63) else None))
+    return out
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Each query's k highest integer inner products, ties to the smaller vec_id.
 
-    vectors, queries: (vec_id long, vector array<long>). Rows with a null id or
-    vector, and vectors of no component, take no part; so do vectors whose
-    squared norm passes 2**62, as no long holds their scores. An id that stands
-    in several rows counts once, with its smallest vector. Only vectors of the
-    same length are compared. No vectors or no queries give no rows.
-    Returns (query_id, rank, vec_id, score).
+    vectors, queries: (vec_id long, vector array<double> of whole numbers). Rows
+    with a null id or vector, and vectors of no component, take no part. Rows that
+    share an id are all candidates of other ids' queries; the queries of one id
+    have their k best together. Only vectors of the same length are compared. A
+    score among the k best that does not fit a long is an error. No vectors or no
+    queries give no rows. Returns (query_id, rank, vec_id, score).
     """
 
     def clean(df: DataFrame) -> DataFrame:
-        squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-        valid = df.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0)).where(squares < NORM_LIMIT)
-        return valid.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("width", F.size("vector"))
+        squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+        valid = df.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0)).withColumn("vector", F.col("vector").cast("array<double>"))
+        # equal rows go to several blocks
+        return valid.select("vec_id", "vector", F.size("vector").alias("width"), (squares >= NORM_LIMIT).alias("huge"), F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("deal"))
 
     spark = vectors.sparkSession
     vectors, queries = clean(vectors), clean(queries)
@@ -123,27 +145,32 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     blocks = max(1, math.ceil(n / CANDIDATE_BLOCK), min(parallelism(spark), math.ceil(n / 2_048)))
     query_blocks = max(1, math.ceil(m / QUERY_BLOCK))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = queries.select("width", "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("qb"), every(blocks).alias("cb"))
-    right = vectors.select("width", "vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("cb"), every(query_blocks).alias("qb"))
+    left = queries.select("width", "vec_id", "vector", "huge", F.pmod("deal", F.lit(query_blocks)).cast("int").alias("qb"), every(blocks).alias("cb"))
+    right = vectors.select("width", "vec_id", "vector", "huge", F.pmod("deal", F.lit(blocks)).cast("int").alias("cb"), every(query_blocks).alias("qb"))
 
     def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        q, c, s = search_block(mine["vec_id"].to_numpy(), np.stack(mine["vector"]), theirs["vec_id"].to_numpy(), np.stack(theirs["vector"]), k)
-        return pd.DataFrame({"query_id": q, "vec_id": c, "score": s})
+        out = []
+        mine_huge, theirs_huge = mine["huge"].to_numpy(bool), theirs["huge"].to_numpy(bool)
+        if not mine_huge.all() and not theirs_huge.all():
+            (q_ids, q), (ids, v) = ((x["vec_id"].to_numpy(), np.stack(x["vector"]).astype(np.int64)) for x in (mine[~mine_huge], theirs[~theirs_huge]))
+            out += zip(*(x.tolist() for x in search_block(q_ids, q, ids, v, k)))
+        for a, b in ((mine[~mine_huge], theirs[theirs_huge]), (mine[mine_huge], theirs)):
+            if len(a) and len(b):
+                out += huge_pairs(a["vec_id"].to_numpy(), np.stack(a["vector"]), b["vec_id"].to_numpy(), np.stack(b["vector"]), k)
+        q, c, s = zip(*out) if out else ((), (), ())
+        return pd.DataFrame({"query_id": np.array(q, np.int64), "vec_id": np.array(c, np.int64), "score": pd.array(s, "Int64")})
 
     found = left.groupBy("width", "qb", "cb").cogroup(right.groupBy("width", "qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.coalesce("score", F.raise_error(F.lit("a score does not fit a long")).cast("long")).alias("score"))
 
 
 def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
     """(vec_id, vector): every component as floor(scale * x); vectors null or with null or non-finite components go."""
-    # size and element checks come before the cast to long, which raises on values out of range
-    x = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("double"))
-    whole = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    small = F.forall(x, lambda v: F.abs(v) < F.lit(2.0**31))
-    return embeddings.where(F.col("embedding").isNotNull() & whole).where(small).select("vec_id", F.transform(x, lambda v: v.cast("long")).alias("vector"))
+    # floor() of a double is a long; from 2**53 on a double is whole
+    whole = lambda y: F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return embeddings.where(F.col("embedding").isNotNull() & finite).select("vec_id", F.transform("embedding", lambda v: whole(F.lit(scale) * v.cast("double"))).alias("vector"))
 
 
 def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

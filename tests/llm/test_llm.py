@@ -1,6 +1,7 @@
 """Corpus operators against SQL or slow versions, and on awkward tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -376,3 +377,20 @@ def test_licenses_told_apart(spark):
     rows = list(enumerate(wanted))
     got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(rows[k][1][:99], got[k]) for k in range(len(rows))] == [(x[:99], names) for x, names in wanted.items()]
+
+
+def test_topk_repeated_ids_and_huge_vectors(spark):
+    # squared norms of the huge ones pass a long, their scores with the others do not; the last row takes no part
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 1.0]), (1, [2.0, 0.0]), (1, [3.0, 0.5]), (1, [3.0, 0.5]), (2, [2.0**40, 0.0]), (3, [-(2.0**42), 5.0]), (40, [2.0**41, 0.0]), (4, [float("nan"), 1.0])]
+    exact = {}
+    vectors = [(i, [math.floor(64 * x) for x in v]) for i, v in rows[:-1]]
+    for i, q in vectors:
+        if i % 20 == 0 and i != 40:
+            exact.setdefault(i, []).extend((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors if j != i)
+    v = vector_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {}
+    for r in vector_search.exact_topk(v, v.where("vec_id in (0, 20)"), 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert got == {i: sorted(x)[:6] for i, x in exact.items()}
+    with pytest.raises(Exception, match="fit a long"):
+        vector_search.exact_topk(v, v.where("vec_id = 40"), 6).collect()
