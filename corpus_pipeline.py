@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.llm import byte_bpe, near_dedup, personal_data, source_mixing, toxicity
-from reelframe.llm.common import cut, table
+from reelframe.llm.common import cut, table, unused
 
 #: Of the tokens that reach the mixing stage, the share to be kept; no document is taken twice.
 MIX_PERCENT = 80
@@ -29,16 +29,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Of rows that repeat its id, the least stays. Rows with a null id stay.
+    Rows are told apart, not ids: of rows that repeat an id those stay whose
+    texts are near copies of no other, and one of any group. Rows with a null
+    id stay.
     """
-    found = cut(near_dedup.near_duplicates(docs, NEAR_PERCENT))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = cut(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not repeated.isEmpty():
-        least = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-        left = left.join(repeated, "doc_id", "left_anti").unionByName(least)
-    return left.select(*docs.columns)
+    row = unused("row", docs.columns)
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    named = rows.where(F.col("doc_id").isNotNull()).select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"), "text")
+    found = cut(near_dedup.near_duplicates(named.select("doc_id", "text"), NEAR_PERCENT).select("doc_id", "component_id"))
+    groups = found.join(found.where("doc_id <> component_id").select("component_id").distinct(), "component_id", "left_semi")
+    groups = cut(groups.join(named.select("doc_id", "id"), "doc_id"))
+    kept = groups.groupBy("component_id").agg(F.min_by("doc_id", F.struct("id", "doc_id")).alias("doc_id"))
+    gone = groups.join(kept, ["component_id", "doc_id"], "left_anti").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

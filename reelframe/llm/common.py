@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder in spark.checkpoint.dir, or else the one set for the context; in a local session one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="reelframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -41,6 +43,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has, upper and lower case alike."""
+    taken = {c.lower() for c in columns}
+    return next(x for k in range(len(taken) + 1) if (x := f"_{name}_{k}") not in taken)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 

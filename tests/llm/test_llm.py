@@ -394,3 +394,39 @@ def test_topk_repeated_ids_and_huge_vectors(spark):
     assert got == {i: sorted(x)[:6] for i, x in exact.items()}
     with pytest.raises(Exception, match="fit a long"):
         vector_search.exact_topk(v, v.where("vec_id = 40"), 6).collect()
+
+
+def test_near_copies_dealt_to_blocks(spark, monkeypatch):
+    rows = varied(7, 260) + [(1000 + k, t) for k, t in varied(7, 40)]
+    for long, many, large in ((8, 99, 1500), (4, 2, 600)):
+        monkeypatch.setattr(near_dedup, "LONG_LIST", long)
+        monkeypatch.setattr(near_dedup, "MANY_BLOCKS", many)
+        monkeypatch.setattr(near_dedup, "LARGE_GROUP", large)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        assert got == linked(rows)
+
+
+@pytest.mark.parametrize("turn", (1, -1))
+def test_near_copies_of_an_id_with_several_texts(spark, small, turn):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    text = lambda words, *new: " ".join([*words, *new])
+    rows = [(1, text(a)), (1, text(b)), (2, text(a, "x")), (3, text(b, "y")), (0, text(b, "z")), (5, ""), (5, text(a, "w")), (7, None), (7, "")][::turn]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = near_dedup.near_duplicates(d, 80).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 0), (5, 0), (7, 7)} and len(got) == 9
+    kept = corpus_pipeline.drop_near_copies(spark, d.withColumn("_row_0", F.lit("mine")), small).collect()
+    # rows are told apart there: one near copy of a, one of b, and those without words
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["text"]) == [(0, text(b, "z")), (1, text(a))]
+    assert len(kept) == 5 and all(r["_row_0"] == "mine" for r in kept)
+
+
+def test_components_of_random_links(spark):
+    r = random.Random(4)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(330)]
+    label = {k: k for link in links for k in link}
+    for x, y in links:
+        x, y = sorted((label[x], label[y]))
+        label = {k: x if v == y else v for k, v in label.items()}
+    real = {k for link in links if link[0] != link[1] for k in link}
+    got = {x["id"]: x["component"] for x in components.components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()}
+    assert got == {k: label[k] for k in real}
