@@ -360,22 +360,20 @@ def class_links(classes: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     posted = classes.select("node", F.col("node").alias("label"), "size", "bits", F.posexplode("heads").alias("c", "v"))
     posted = posted.select(F.expr("shiftleft(cast(c as bigint), 32) | v").alias("list"), "node", "label", "size", "bits")
     groups = components(collisions(posted, least).select(F.col("u").alias("a"), F.col("v").alias("b")))
-    members = cut(classes.join(groups.withColumnRenamed("id", "node"), "node").select(F.col("component").alias("group"), "node", F.col("node").alias("label"), "id", "key", F.col("size").alias("weight"), "bits"))
-    large = cut(members.groupBy("group").agg(F.sum("weight").alias("w")).where(F.col("w") > LARGE_GROUP).withColumn("blocks", F.ceil(F.col("w") / LARGE_GROUP)))
-
-    def with_texts(rows: DataFrame) -> DataFrame:
-        return rows.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-
+    members = classes.join(groups.withColumnRenamed("id", "node"), "node").select(F.col("component").alias("group"), "node", F.col("node").alias("label"), "id", "key", F.col("size").alias("weight"), "bits")
+    # texts are brought to their classes once, for both passes
+    members = cut(members.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").drop("id"))
+    large = cut(members.groupBy("group").agg(F.sum("weight").alias("w")).where(F.col("w") > LARGE_GROUP).select("group", F.ceil(F.col("w") / LARGE_GROUP).alias("blocks")))
     if large.isEmpty():
-        return cut(confirmed(with_texts(members.withColumn("task", F.xxhash64("group"))), least))
+        return cut(confirmed(members.withColumn("task", F.xxhash64("group")), least))
     # two deals of a large group: the blocks of each connect those of the other
     deals = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))
-    dealt = members.join(large.select("group", "blocks"), "group", "left").withColumn("deal", deals)
-    links = cut(confirmed(with_texts(dealt.withColumn("task", F.xxhash64("group", "deal", F.pmod(F.xxhash64("node", "deal"), F.coalesce("blocks", F.lit(1)))))), least))
+    dealt = members.join(large, "group", "left").withColumn("deal", deals)
+    links = cut(confirmed(dealt.withColumn("task", F.xxhash64("group", "deal", F.pmod(F.xxhash64("node", "deal"), F.coalesce("blocks", F.lit(1))))), least))
     labels = cut(components(links))
     rest = members.join(large.select("group"), "group", "left_semi").drop("label").join(labels.withColumnRenamed("id", "node"), "node", "left")
     across, _ = crossed(rest.withColumn("label", F.coalesce("component", "node")).drop("component"), "group", LARGE_GROUP)
-    return links.unionByName(cut(confirmed(with_texts(across), least)))
+    return links.unionByName(cut(confirmed(across, least)))
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
