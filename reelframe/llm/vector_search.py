@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from reelframe.llm.common import parallelism, table
 
-#: Segments of each level; a level with more segments than components is left out.
-LEVELS = (4, 16, 32)
+#: Segments of each level, as far as they are fewer than components by four times.
+LEVELS = (4, 16, 64)
 QUERY_BLOCK = 16_384
 CANDIDATE_BLOCK = 65_536
 #: Candidates and queries that are compared at once within a block.
@@ -47,6 +47,11 @@ def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(parts, axis=1).astype(np.float32)
 
 
+def levels_of(width: int) -> list[int]:
+    """The levels that cost less than scores: two numbers a segment, on at most half as many as there are components."""
+    return [n for n in LEVELS if 4 * n <= width] or [1]
+
+
 def iter_bounds(width: int, segments: int) -> list[int]:
     return [width * i // segments for i in range(segments + 1)]
 
@@ -62,13 +67,16 @@ def best_of(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np
 
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) of each query's k best among these vectors, its own row left out."""
-    levels = [n for n in LEVELS if n <= vectors.shape[1]]
+    levels = levels_of(vectors.shape[1])
     fine = [statistics(vectors, n) for n in levels]
-    norm = math.sqrt(float((vectors.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
+    double = vectors.astype(np.float64)
+    norm = math.sqrt(float((double**2).sum(axis=1).max(initial=0)))
     out = []
     for q0 in range(0, len(query_ids), QUERY_STEP):
         own_ids, own = query_ids[q0 : q0 + QUERY_STEP], queries[q0 : q0 + QUERY_STEP]
-        own_fine = [statistics(own, n) for n in levels]
+        own_fine, own_double = [statistics(own, n) for n in levels], own.astype(np.float64)
+        # every partial sum of a score is a whole number below this
+        exact_doubles = norm * math.sqrt(float((own_double**2).sum(axis=1).max(initial=0))) < 2.0**52
         # the bounds are computed in single precision
         slack = 1e-3 + 1e-5 * norm * np.sqrt((own.astype(np.float64) ** 2).sum(axis=1))[:, None]
         kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -81,16 +89,22 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
                 if level == 0 and c0 == 0 and len(cols) > 4 * k:
                     # the most promising candidates give a first threshold
                     first = np.argpartition(-np.where(alive, bound, -np.inf), 2 * k, axis=1)[:, : 2 * k]
-                    score = np.einsum("qd,qcd->qc", own, vectors[cols[first]])
-                    score = np.where(np.take_along_axis(alive, first, axis=1), score.astype(np.float64), -np.inf)
+                    score = np.einsum("qd,qcd->qc", own_double, double[cols[first]])
+                    score = np.where(np.take_along_axis(alive, first, axis=1), score, -np.inf)
                     least = np.maximum(least, np.sort(score, axis=1)[:, -k][:, None])
                 alive &= bound >= least - slack
                 some = alive.any(axis=0)
                 cols, alive = cols[some], alive[:, some]
-            qi, ci = np.nonzero(alive)
+            # where bounds exclude little, all of the block's scores in one product cost less than the pairs; both are exact
+            dense = exact_doubles and 8 * int(alive.sum()) > alive.size
+            scores = own_double @ double[cols].T if dense else None
+            if dense and len(cols) >= k:
+                # each query's k-th score here; below its least bound nothing is kept
+                least = np.maximum(least, np.partition(np.where(alive, scores, -np.inf), -k, axis=1)[:, -k][:, None])
+            qi, ci = np.nonzero(alive & (scores >= least)) if dense else np.nonzero(alive)
             for p in range(0, len(qi), 1 << 18):
                 a, b = qi[p : p + (1 << 18)], cols[ci[p : p + (1 << 18)]]
-                score = np.einsum("nd,nd->n", own[a], vectors[b])
+                score = scores[a, ci[p : p + (1 << 18)]].astype(np.int64) if dense else np.einsum("nd,nd->n", own[a], vectors[b])
                 near = score >= least[a, 0]
                 kept = tuple(np.concatenate(x) for x in zip(kept, (a[near], ids[b[near]], score[near])))
                 keep = best_of(kept[0], kept[2], kept[1], k)
