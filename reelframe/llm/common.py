@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once.
 CHUNK_BYTES = 2_000_000
@@ -49,6 +50,16 @@ def unused(name: str, columns: list[str]) -> str:
     return next(x for k in range(len(taken) + 1) if (x := f"_{name}_{k}") not in taken)
 
 
+def boxed(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """docs as one struct column `row`, beside other columns made from it: any names of its own may be in use."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *columns)
+
+
+def unboxed(columns: list[str]) -> list[Column]:
+    """The columns that boxed() put away."""
+    return [F.col("row").getField(c).alias(c) for c in columns]
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 

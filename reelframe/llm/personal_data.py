@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, table
+from reelframe.llm.common import boxed, cut, table, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -54,6 +54,10 @@ CUES = {
     "phone": "phone|call|tel|mobile|telefon|téléphone|teléfono|fax",
 }
 CONTEXT = 24
+#: Elements of an array that are folded at once.
+BLOCK = 64
+#: Characters of a piece of a text that is rewritten.
+PIECE = 1_024
 LABELERS = 4
 ROUNDS = 30
 ACCEPT = 0.9
@@ -115,7 +119,18 @@ def located(kind: str, strict: bool, values: Column, gaps: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
     none = F.expr(f"cast(array() as array<{CANDIDATE}>)")
-    return F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    # an array that grows is copied each time: blocks begin where the sums of their lengths say
+    length = lambda x: F.length(x["gap"]) + F.length(x["value"])
+    blocks = in_blocks(each)
+    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + length(x)))
+    starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    within = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), add, lambda s: s["out"])
+    return F.aggregate(F.array(F.struct(blocks.alias("blocks"), starts.alias("starts"))), none, lambda _, x: F.flatten(F.zip_with(x["blocks"], F.slice(x["starts"], 1, F.size(x["blocks"])), within)))
+
+
+def in_blocks(x: Column) -> Column:
+    """An array as an array of arrays of BLOCK elements, the last one shorter; one empty array for none."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(x), F.lit(1)) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, BLOCK))
 
 
 CANDIDATE = "struct<start:int,k:int,end:int,base:boolean,loose:boolean,votes:int,size:int,left:int,right:int>"
@@ -217,39 +232,67 @@ def judged(found: DataFrame, weights: DataFrame) -> DataFrame:
             odds = odds + w(f)
         return 1 / (1 + F.exp(-odds)) >= ACCEPT
 
-    plain = lambda x: F.array_sort(F.array_distinct(F.transform(x, lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end")))))
-    found = found.withColumn("_base", F.filter("candidates", lambda c: c["base"]))
-    free = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    found = found.withColumn("_more", F.filter("candidates", lambda c: c["loose"] & free(c) & likely(c)))
-    return found.withColumns({"base": plain(F.col("_base")), "spans": plain(F.concat("_base", "_more"))}).drop("_base", "_more", "weights")
+    plain = lambda x: F.array_sort(F.transform(x, lambda c: F.struct(c["start"].alias("start"), c["k"].alias("k"), c["end"].alias("end"))))
+    found = found.withColumn("base", plain(F.filter("candidates", lambda c: c["base"])))
+    # base spans by blocks with their extent, so that a candidate is held against few of them
+    extent = lambda block: F.struct(F.array_min(F.transform(block, lambda b: b["start"])).alias("low"), F.array_max(F.transform(block, lambda b: b["end"])).alias("high"), block.alias("block"))
+    found = found.withColumn("blocks", F.transform(in_blocks(F.col("base")), extent))
+    meets = lambda c, low, high: (low < c["end"]) & (c["start"] < high)
+    free = lambda c: ~F.exists("blocks", lambda x: F.coalesce(meets(c, x["low"], x["high"]), F.lit(False)) & F.exists(x["block"], lambda b: meets(c, b["start"], b["end"])))
+    found = found.withColumn("more", F.filter("candidates", lambda c: c["loose"] & free(c) & likely(c)))
+    # no two kinds and no two matches of a kind make the same span, and what is added is free of base spans
+    return found.withColumn("spans", F.when(F.size("more") > 0, F.array_sort(F.concat("base", plain(F.col("more"))))).otherwise(F.col("base"))).drop("blocks", "more", "weights")
+
+
+def candidates_of(docs: DataFrame) -> DataFrame:
+    """(row, text, candidates) of docs, written once: training and judging read them."""
+    return cut(with_candidates(boxed(docs, "text")))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """docs (text among its columns) with `base` and `spans`: arrays of struct<start, k, end>.
 
     Offsets count code points, the end is exclusive, and k is a place in KINDS.
-    A null text counts as empty. Columns of those names, and `candidates`, are
-    replaced. Repeated rows are judged alike, and each counts in training. No
-    rows give no rows.
+    A null text counts as empty. Columns `base` and `spans` of docs are replaced,
+    others stay whatever their names. Repeated rows are judged alike, and each
+    counts in training. No rows give no rows. Time and memory are in proportion
+    to a text's length and matches.
     """
-    found = with_candidates(docs.drop("base", "spans", "candidates"))
-    return judged(found, cut(classifier(found.select("candidates")))).drop("candidates")
+    found = candidates_of(docs.drop("base", "spans"))
+    kept = [c for c in docs.columns if c.lower() not in ("base", "spans")]
+    return judged(found, cut(classifier(found.select("candidates")))).select(*unboxed(kept), "base", "spans")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span in `text` replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    found = find_personal_data(docs)
+    """docs with every span in `text` replaced by its kind in angle brackets; of overlapping spans the first counts.
+
+    All other columns stay as they are, whatever their names; a null text stays null.
+    """
+    found = candidates_of(docs)
+    found = judged(found, cut(classifier(found.select("candidates"))))
+    # code points are counted from the start of a string, so a long text is taken in pieces
+    pieces = F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    found = found.withColumn("pieces", pieces)
     kinds = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
+    def between(a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        some = F.array_join(F.slice("pieces", first + 1, F.floor(b / PIECE).cast("int") - first + 1), "")
+        return F.substring(some, a - first * PIECE + 1, b - a)
+
     def add(state: Column, s: Column) -> Column:
         # what stands between the last span and this one, then the kind
-        keep = F.substring("text", state["at"] + 1, s["start"] - state["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(keep, F.get(kinds, s["k"]))).alias("out"))
+        new = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(between(state["at"], s["start"]), F.get(kinds, s["k"]))).alias("out"))
         return F.when(s["start"] >= state["at"], new).otherwise(state)
 
+    def block(state: Column, spans: Column) -> Column:
+        none = F.struct(state["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(spans, none, add, lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(s["out"], ""))).alias("out")))
+
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.aggregate("spans", none, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.aggregate(in_blocks(F.col("spans")), none, block, lambda s: F.concat(F.array_join(s["out"], ""), between(s["at"], F.size("pieces") * PIECE)))
+    new = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
+    return found.select("row", new.alias("text")).select(*(F.col("text") if c == "text" else x for c, x in zip(docs.columns, unboxed(docs.columns))))
 
 
 def listed(spans: Column) -> Column:

@@ -430,3 +430,34 @@ def test_components_of_random_links(spark):
     real = {k for link in links if link[0] != link[1] for k in link}
     got = {x["id"]: x["component"] for x in components.components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()}
     assert got == {k: label[k] for k in real}
+
+
+def test_personal_data_of_a_long_text(spark):
+    r = random.Random(6)
+    parts = ["mail ana{0}@example.org", "call +49 170 {1}", "at 10.0.0.7", "naïve 🙂 {0}", "555-123-{2}", "card 4111 1111 1111 1111"]
+    text = " ".join(r.choice(parts).format(k, r.randrange(10**6, 10**7), r.randrange(1000, 9999)) for k in range(6_000))
+    rows = [(1, text), (2, text[:700]), (3, "clean"), (4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: (x["b"], x["spans"]) for x in personal_data.find_personal_data(d).select("doc_id", personal_data.listed(F.col("base")).alias("b"), "spans").collect()}
+    out = {x["doc_id"]: x["text"] for x in personal_data.redacted(d).collect()}
+    for i, t in rows:
+        assert found[i][0] == base_spans(t)
+        wanted, at = [], 0
+        for s in found[i][1]:
+            if s["start"] >= at:
+                wanted += [t[at : s["start"]], f"<{personal_data.KINDS[s['k']]}>"]
+                at = s["end"]
+        assert out[i] == (t and "".join([*wanted, t[at:]]))
+    assert len(found[1][1]) > 3_000
+
+
+def test_personal_data_query_columns(spark, small):
+    got = {x["doc_id"]: x for x in personal_data.op6_weak_supervision(spark, small).collect()}
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for i, t in rows:
+        base = base_spans(t)
+        kinds = [x.split(":")[0] for x in filter(None, base.split(","))]
+        assert [got[i][f"n_{k}"] for k in personal_data.KINDS] == [kinds.count(k) for k in personal_data.KINDS]
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(filter(None, got[i]["spans"].split(",")))
