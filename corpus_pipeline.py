@@ -21,9 +21,9 @@ NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    """Documents that the toxicity classifier does not reject; null texts and repeated rows are judged like any others."""
+    model, score = toxicity.train(docs, table(spark, sf_dir, "labels")), unused("toxicity", docs.columns)
+    return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,17 +45,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data in their texts replaced by its kind."""
+    """Documents with personal data in their texts replaced by its kind, and n_chars to match; null texts stay null."""
     return personal_data.redacted(docs).withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else personal_data.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the weights of domains, languages and sources call for."""
-    return source_mixing.mix(docs, percent=MIX_PERCENT, epochs=1).select(*docs.columns)
+    """The documents that the weights of domains, languages and sources call for.
+
+    A null language or source is a leaf of its own; a document without tokens is taken with its leaf's others.
+    """
+    copies = [c for c in docs.columns if c.lower() == "copies"]
+    rows = docs.withColumnRenamed("copies", held := unused("copies", docs.columns)) if copies else docs
+    mixed = source_mixing.mix(rows, percent=MIX_PERCENT, epochs=1).drop("copies")
+    return mixed.withColumnRenamed(held, copies[0]) if copies else mixed
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids, and whether they decode to its text."""
+    """Each document's token ids, and whether they decode to its text; a null text has none and counts as empty."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks), ranks)
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, table
+from reelframe.llm.common import boxed, cut, table, unboxed
 
 DOMAIN_WEIGHTS = {"web": 5, "books": 3, "news": 2}
 LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 1, "es": 1}
@@ -132,12 +132,13 @@ def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, se
     docs: (doc_id, text, lang, source) among other columns. Tokens are runs
     without white space; a null text has none. A null language or source is a
     leaf of its own. Rows that share an id and a leaf have the same place and
-    are taken together. A column `copies` or `leaf` of docs is replaced. An
-    empty table gives no rows.
+    are taken together. A column `copies` of docs is replaced, others stay
+    whatever their names. An empty table gives no rows.
     """
-    kept = docs.drop("copies", "leaf")
-    counted = cut(with_leaf(kept).select("doc_id", "leaf", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens")))
-    return chosen(with_leaf(kept), cuts(counted, percent, epochs, seed), seed).drop("leaf")
+    kept = docs.drop("copies")
+    rows = with_leaf(boxed(kept, "doc_id", "text", "lang", "source"))
+    counted = cut(rows.select("doc_id", "leaf", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens")))
+    return chosen(rows.select("row", "doc_id", "leaf"), cuts(counted, percent, epochs, seed), seed).select(*unboxed(kept.columns), "copies")
 
 
 def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

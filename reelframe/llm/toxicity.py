@@ -135,7 +135,9 @@ def in_sample(doc_id: Column, bound: int, n: int, salt: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic); an id with several labels is toxic if one says so.
 
-    Without toxic labels to learn from, every text scores zero.
+    Rows of docs that repeat an id all count, a null or empty text is an example
+    without words, and rows with a null id are not learned from. Without toxic
+    labels of any of docs, every text scores zero.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_labels, n_toxic = usable.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
@@ -164,6 +166,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     sizes = sample.agg(F.sum(F.col("positive").cast("long")), F.sum(F.col("unlabelled").cast("long"))).first()
     n_p, n_u = (x or 0 for x in sizes)
+    if not n_p or not n_u:
+        return Model({}, -500.0)
     counts = sample.mapInArrow(counted, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     expected = (F.col("u") + 1) * (n_p / max(n_u, 1))
     evidence = F.col("p") * F.log(F.col("p") / expected) - F.col("p") + expected

@@ -1,15 +1,18 @@
 """URL filter: listed rules first, then a character language-model ratio.
 
 Two smoothed variable-order Markov models, one of accepted and one of rejected
-URLs, give each symbol a probability after its two predecessors, backed by the
-shorter contexts as far as the longer ones were seen (Witten-Bell weights). A
+URLs, give each character a probability after the ORDER characters before it in
+its token, backed by every shorter context as far as the longer ones were seen
+(Witten-Bell weights). A token is a run of delimiters with the characters that
+follow it, so whole words are learned as far as the table supports them. A
 URL's score is the difference of the log-likelihoods divided by its length; the
 limit is the one with the least balanced error on labelled URLs that the models
 have not seen.
 
-Plan: one narrow pass over the URLs counts symbol triples (at most 2 * 32^3
-groups, whatever the input), the model is an array of 32^3 numbers, and scoring
-is a narrow map with a scalar subquery. No row of `pages` is ever shuffled.
+Plan: what repeats is counted once. Distinct URLs give distinct tokens, these
+give distinct grams (a character with the longest context that it has), and
+only grams meet the counts, by two joins. The model is a table of grams that
+grows with the URLs; nothing of it is broadcast by hand or sent to the driver.
 Everything is DataFrame functions; log ratios are scaled to integers so that
 sums do not depend on their order.
 """
@@ -19,13 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, table
+from reelframe.llm.common import boxed, cut, table, unboxed
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: The symbols: a run of digits is one 0, what is not listed is ~, and ^ stands before and after a URL.
-SYMBOLS = "abcdefghijklmnopqrstuvwxyz0./-~^"
-N = len(SYMBOLS)
+#: Characters of the longest context. ^ stands before a token, $ after it.
+ORDER = 5
+#: The probability of a character that no context says anything about.
+UNIFORM = 1 / 256
+DELIMITERS = "/?#&=:.@_~%+-"
+TOKEN = f"[{DELIMITERS}]+[^{DELIMITERS}]*|[^{DELIMITERS}]+"
 #: Parts of a nat in a log ratio, and in a step of the limit.
 SCALE = 65_536
 STEP = 1_024
@@ -51,78 +57,98 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def codes(host: Column, path: Column) -> Column:
-    """A URL's symbol triples as numbers under N^3, one for each symbol and one for the end."""
-    plain = F.translate(F.concat(host, path), UPPER, LOWER)
-    plain = F.regexp_replace(F.regexp_replace(plain, "[0-9]+", "0"), "[^a-z0./-]", "~")
-    # split into single characters once: substring() would scan from the start each time
-    each = F.transform(F.split(F.concat(F.lit("^^"), plain, F.lit("^")), ""), lambda c: (F.instr(F.lit(SYMBOLS), c) - 1).cast("long"))
-    triple = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.get(x, i) * (N * N) + F.get(x, i + 1) * N + F.get(x, i + 2))
-    return F.aggregate(F.array(each), F.array().cast("array<long>"), lambda _, x: triple(x))
+def tokens(url: Column) -> Column:
+    """A URL's tokens, A-Z lower-cased; none for null or the empty string."""
+    return F.regexp_extract_all(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER), F.lit(TOKEN), F.lit(0))
 
 
-def model(triples: DataFrame) -> DataFrame:
-    """One row with `model`, an array of N^3 scaled log ratios, from (accepted boolean, code, n).
+def grams(token: Column) -> Column:
+    """Each character of a token, and its end, with the up to ORDER characters before it."""
+    # split into characters once: substring() would scan from the start each time
+    each = F.split(F.concat(F.lit("^"), token, F.lit("$")), "")
+    found = lambda c: F.transform(F.sequence(F.lit(2), F.size(c)), lambda i: F.array_join(F.slice(c, F.greatest(i - ORDER, F.lit(1)), F.least(i, F.lit(ORDER + 1))), ""))
+    return F.aggregate(F.array(each), F.array().cast("array<string>"), lambda _, c: found(c))
 
-    Both classes smooth to the uniform distribution, so without any labelled
+
+def ends(gram: Column) -> Column:
+    """A gram with its context shortened step by step, the bare character first."""
+    return F.transform(F.sequence(F.lit(1), F.length(gram)), lambda k: F.right(gram, k))
+
+
+def before(gram: Column) -> Column:
+    return F.substring(gram, F.lit(1), F.length(gram) - 1)
+
+
+def counts(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How often each gram, and each context with how many characters, occurs among accepted and rejected URLs.
+
+    urls: (url, accepted, n). Returns (own, a, r) and (context, total_a, kinds_a, total_r, kinds_r).
+    """
+    side = lambda c, yes: F.sum(F.when(F.col("accepted") == yes, F.col(c)).otherwise(0))
+    token = urls.select("accepted", "n", F.explode(tokens(F.col("url"))).alias("token")).groupBy("token").agg(side("n", True).alias("a"), side("n", False).alias("r"))
+    gram = token.select("a", "r", F.explode(grams(F.col("token"))).alias("gram")).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    own = cut(gram.select("a", "r", F.explode(ends(F.col("gram"))).alias("own")).groupBy("own").agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
+    kinds = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    context = own.groupBy(before(F.col("own")).alias("context")).agg(F.sum("a").alias("total_a"), kinds("a").alias("kinds_a"), F.sum("r").alias("total_r"), kinds("r").alias("kinds_r"))
+    return own, context
+
+
+def ratios(gram: DataFrame, own: DataFrame, context: DataFrame) -> DataFrame:
+    """(gram, ratio): the scaled log ratio of each distinct gram's last character.
+
+    Both models smooth to the same uniform distribution, so without any labelled
     URL every ratio is zero.
     """
+    each = gram.select("gram", F.explode(ends(F.col("gram"))).alias("own"))
+    each = each.join(own, "own", "left").withColumn("context", before(F.col("own"))).join(context, "context", "left")
+    known = [F.coalesce(c, F.lit(0)).alias(c) for c in ("a", "r", "total_a", "kinds_a", "total_r", "kinds_r")]
+    # at most ORDER + 1 rows a gram
+    levels = each.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(F.length("own").alias("k"), *known))).alias("levels"))
+
+    def chance(n: str) -> Column:
+        step = lambda p, x: F.when(x[f"total_{n}"] > 0, (x[n] + x[f"kinds_{n}"] * p) / (x[f"total_{n}"] + x[f"kinds_{n}"])).otherwise(p)
+        return F.aggregate("levels", F.lit(UNIFORM), step)
 
-    def level(x: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-        """Counts by the last symbols of a code, and by their context: (n, ctx) and (total, kinds)."""
-        own = x.groupBy("accepted", (F.col("code") % width).alias("code")).agg(F.sum("n").alias("n"))
-        return own, own.groupBy("accepted", F.expr(f"code div {N}").alias("code")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-
-    grid = triples.sparkSession.range(N**3).select(F.explode(F.array(F.lit(True), F.lit(False))).alias("accepted"), F.col("id").alias("code"))
-    p = F.lit(1.0 / N)
-    for k in (1, 2, 3):
-        own, context = level(triples, N**k)
-        own = own.select(F.col("accepted"), F.col("code").alias(f"code{k}"), F.col("n").alias(f"n{k}"))
-        context = context.select(F.col("accepted"), F.col("code").alias(f"before{k}"), F.col("total").alias(f"total{k}"), F.col("kinds").alias(f"kinds{k}"))
-        grid = grid.withColumn(f"code{k}", F.col("code") % N**k).withColumn(f"before{k}", F.expr(f"code{k} div {N}"))
-        # both sides are bounded by 2 * N^3 rows
-        grid = grid.join(F.broadcast(own), ["accepted", f"code{k}"], "left").join(F.broadcast(context), ["accepted", f"before{k}"], "left")
-        n, total, kinds = (F.coalesce(f"{c}{k}", F.lit(0)) for c in ("n", "total", "kinds"))
-        p = F.when(total > 0, (n + kinds * p) / (total + kinds)).otherwise(p)
-    # the longest context's estimate may still be zero-free: every level adds a share of the level below
-    ratio = F.sum(F.when(F.col("accepted"), F.log(F.col("p"))).otherwise(-F.log(F.col("p"))))
-    by_code = grid.select("accepted", "code", p.alias("p")).groupBy("code").agg(F.floor(ratio * SCALE).alias("ratio"))
-    return by_code.agg(F.transform(F.sort_array(F.collect_list(F.struct("code", "ratio"))), lambda x: x["ratio"]).alias("model"))
+    return levels.select("gram", F.floor((F.log(chance("a")) - F.log(chance("r"))) * SCALE).alias("ratio"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages (url among its columns) with host, path, rule, verdict and score.
 
-    A null URL, or one without ://, has an empty host and path, fits no rule and
-    is judged by the method as the empty string. Repeated rows are judged alike,
-    and each counts in training. Without labelled URLs of both kinds the method
-    allows everything. Columns of those names are replaced. No rows give no rows.
+    A null URL, or one without ://, has an empty host and path and fits no rule.
+    The models read the whole URL; null and the empty string score zero.
+    Repeated rows are judged alike, and each counts in training. Without
+    labelled URLs of both kinds the method allows everything. Columns of those
+    five names are replaced, others stay whatever their names. No rows give no
+    rows.
     """
-    kept = pages.drop("host", "path", "rule", "verdict", "score")
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "score")]
+    rows = boxed(pages.select(*(F.col(f"`{c}`") for c in kept)), F.coalesce("url", F.lit("")).alias("url"))
     host, path = parts(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = kept.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "by_rule": verdict})
-    labelled = judged.where(F.col("by_rule").isNotNull()).select("url", "host", "path", (F.col("by_rule") == "allow").alias("accepted"), F.substring(F.md5("url"), 1, 1).isin(*HELD_OUT).alias("held_out"))
-    triples = labelled.where(~F.col("held_out")).select("accepted", F.explode(codes(F.col("host"), F.col("path"))).alias("code"))
-    ratios = cut(model(cut(triples.groupBy("accepted", "code").agg(F.count("*").alias("n")))))
-
-    def scored(df: DataFrame) -> DataFrame:
-        df = df.withColumn("model", ratios.scalar()).withColumn("codes", codes(F.col("host"), F.col("path")))
-        total = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a + F.coalesce(F.get("model", c), F.lit(0).cast("long")))
-        return df.withColumn("score", F.floor(total / F.size("codes").cast("double"))).drop("model", "codes")
+    distinct = rows.groupBy("url").agg(F.count("*").alias("n"))
+    held_out = F.substring(F.md5("url"), 1, 1).isin(*HELD_OUT)
+    urls = cut(distinct.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "by_rule": verdict}).withColumns({"accepted": F.col("by_rule") == "allow", "held_out": held_out}))
+    own, context = counts(urls.where("accepted is not null and not held_out"))
+    token = cut(urls.select(F.explode(tokens(F.col("url"))).alias("token")).distinct())
+    gram = token.select("token", F.explode(grams(F.col("token"))).alias("gram"))
+    by_gram = cut(ratios(gram.select("gram").distinct(), own, context))
+    by_token = cut(gram.join(by_gram, "gram").groupBy("token").agg(F.sum("ratio").alias("total"), F.count("*").alias("length")))
+    total = urls.select("url", F.explode(tokens(F.col("url"))).alias("token")).join(by_token, "token").groupBy("url").agg(F.floor(F.sum("total") / F.sum("length").cast("double")).alias("score"))
+    scored = cut(urls.join(total, "url", "left").withColumn("score", F.coalesce("score", F.lit(0).cast("long"))))
 
     step = F.floor(F.col("score") / F.lit(float(STEP)))
-    counts = scored(labelled.where("held_out")).groupBy(step.alias("step")).agg(F.sum(F.col("accepted").cast("long")).alias("good"), F.sum((~F.col("accepted")).cast("long")).alias("bad"))
+    held = scored.where("accepted is not null and held_out").groupBy(step.alias("step")).agg(F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(~F.col("accepted"), F.col("n")).otherwise(0)).alias("bad"))
     # a row for each step of the limit: bounded by the range of a mean log ratio
-    before, every = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    errors = counts.select(
+    earlier, every = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    errors = held.select(
         "step",
-        (F.coalesce(F.sum("good").over(before), F.lit(0)) * F.sum("bad").over(every) + (F.sum("bad").over(every) - F.coalesce(F.sum("bad").over(before), F.lit(0))) * F.sum("good").over(every)).alias("error"),
+        (F.coalesce(F.sum("good").over(earlier), F.lit(0)) * F.sum("bad").over(every) + (F.sum("bad").over(every) - F.coalesce(F.sum("bad").over(earlier), F.lit(0))) * F.sum("good").over(every)).alias("error"),
     )
     limit = cut(errors.agg(F.coalesce(F.min_by("step", F.struct("error", F.abs("step"), "step")), F.lit(0).cast("long")).alias("limit")))
-    out = scored(judged).withColumn("limit", limit.scalar())
-    by_model = F.when(step >= F.col("limit"), "allow").otherwise("block")
-    return out.withColumn("verdict", F.coalesce("by_rule", by_model)).select(*kept.columns, "host", "path", "rule", "verdict", "score")
+    by_model = F.when(step >= limit.scalar(), "allow").otherwise("block")
+    judged = scored.select("url", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score")
+    return rows.join(judged, "url").select(*unboxed(kept), "host", "path", "rule", "verdict", "score")
 
 
 def op2_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,35 +160,41 @@ def _rule_sql(column: int) -> str:
     return f"CASE{case} END"
 
 
+def _chance_sql(n: str) -> str:
+    p = repr(UNIFORM)
+    for k in range(1, ORDER + 2):
+        p = f"(CASE WHEN coalesce(t{n}{k}, 0) > 0 THEN (coalesce({n}{k}, 0) + k{n}{k} * {p}) / (t{n}{k} + k{n}{k}) ELSE {p} END)"
+    return f"ln({p})"
+
+
+_LEVELS = range(1, ORDER + 2)
 OP2_SQL = f"""
-WITH a AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-b AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-j AS (SELECT row_number() OVER () AS r, page_id, url, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS by_rule,
-  '^^' || regexp_replace(regexp_replace(translate(host || path, '{UPPER}', '{LOWER}'), '[0-9]+', '0', 'g'), '[^a-z0./-]', '~', 'g') || '^' AS s FROM b),
-pos AS (SELECT r, s, by_rule, substr(md5(url), 1, 1) IN ('0', '1', '2') AS held_out, unnest(range(1, length(s) - 1)) AS i FROM j),
-code AS (SELECT r, by_rule, held_out,
-  (instr('{SYMBOLS}', substr(s, i, 1)) - 1) * {N * N} + (instr('{SYMBOLS}', substr(s, i + 1, 1)) - 1) * {N} + instr('{SYMBOLS}', substr(s, i + 2, 1)) - 1 AS code FROM pos),
-t3 AS (SELECT by_rule = 'allow' AS acc, code, count(*) AS n FROM code WHERE by_rule IS NOT NULL AND NOT held_out GROUP BY ALL),
-t2 AS (SELECT acc, code % {N * N} AS code, sum(n) AS n FROM t3 GROUP BY ALL),
-t1 AS (SELECT acc, code % {N} AS code, sum(n) AS n FROM t3 GROUP BY ALL),
-c3 AS (SELECT acc, code // {N} AS code, sum(n) AS total, count(*) AS kinds FROM t3 GROUP BY ALL),
-c2 AS (SELECT acc, code // {N} AS code, sum(n) AS total, count(*) AS kinds FROM t2 GROUP BY ALL),
-c1 AS (SELECT acc, sum(n) AS total, count(*) AS kinds FROM t1 GROUP BY ALL),
-used AS (SELECT DISTINCT code FROM code),
-g AS (SELECT acc, code FROM used, (VALUES (true), (false)) v(acc)),
-p1 AS (SELECT g.acc, g.code, CASE WHEN c1.total > 0 THEN (coalesce(t1.n, 0) + c1.kinds * {1.0 / N!r}::DOUBLE) / (c1.total + c1.kinds) ELSE {1.0 / N!r}::DOUBLE END AS p
-  FROM g LEFT JOIN t1 ON t1.acc = g.acc AND t1.code = g.code % {N} LEFT JOIN c1 ON c1.acc = g.acc),
-p2 AS (SELECT g.acc, g.code, CASE WHEN c2.total > 0 THEN (coalesce(t2.n, 0) + c2.kinds * p) / (c2.total + c2.kinds) ELSE p END AS p
-  FROM p1 g LEFT JOIN t2 ON t2.acc = g.acc AND t2.code = g.code % {N * N} LEFT JOIN c2 ON c2.acc = g.acc AND c2.code = (g.code % {N * N}) // {N}),
-p3 AS (SELECT g.acc, g.code, CASE WHEN c3.total > 0 THEN (coalesce(t3.n, 0) + c3.kinds * p) / (c3.total + c3.kinds) ELSE p END AS p
-  FROM p2 g LEFT JOIN t3 ON t3.acc = g.acc AND t3.code = g.code LEFT JOIN c3 ON c3.acc = g.acc AND c3.code = g.code // {N}),
-m AS (SELECT code, CAST(floor((sum(CASE WHEN acc THEN ln(p) ELSE -ln(p) END)) * {SCALE}) AS BIGINT) AS ratio FROM p3 GROUP BY code),
-sc AS (SELECT r, any_value(by_rule) AS by_rule, any_value(held_out) AS held_out, CAST(floor(sum(ratio) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS score FROM code JOIN m USING (code) GROUP BY r),
-h AS (SELECT floor(score / {STEP}.0) AS step, sum(CASE WHEN by_rule = 'allow' THEN 1 ELSE 0 END) AS good, sum(CASE WHEN by_rule = 'block' THEN 1 ELSE 0 END) AS bad
-  FROM sc WHERE by_rule IS NOT NULL AND held_out GROUP BY ALL),
-e AS (SELECT step, coalesce(sum(good) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(bad) OVER ()
+WITH x AS (SELECT coalesce(url, '') AS url, count(*) AS n FROM pages GROUP BY ALL),
+y AS (SELECT url, n, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM x),
+z AS (SELECT url, n, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM y),
+j AS (SELECT url, n, host, path, {_rule_sql(0)} AS rule, {_rule_sql(1)} AS by_rule, substr(md5(url), 1, 1) IN ('0', '1', '2') AS held_out,
+  regexp_extract_all(translate(url, '{UPPER}', '{LOWER}'), '{TOKEN}') AS tokens FROM z),
+t AS (SELECT url, n, by_rule, held_out, unnest(tokens) AS token FROM j),
+w AS (SELECT DISTINCT token, '^' || token || '$' AS s FROM t),
+g AS (SELECT token, unnest(list_transform(range(2, length(s) + 1), lambda i: substr(s, greatest(i - {ORDER}, 1), least(i, {ORDER + 1})))) AS gram FROM w),
+gc AS (SELECT gram, sum(CASE WHEN by_rule = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN by_rule = 'block' THEN n ELSE 0 END) AS r
+  FROM t JOIN g USING (token) WHERE by_rule IS NOT NULL AND NOT held_out GROUP BY gram),
+e AS (SELECT a, r, unnest(list_transform(range(1, length(gram) + 1), lambda k: right(gram, k))) AS own FROM gc),
+o AS (SELECT own, sum(a) AS a, sum(r) AS r FROM e GROUP BY own),
+c AS (SELECT substr(own, 1, length(own) - 1) AS context, sum(a) AS ta, sum(CASE WHEN a > 0 THEN 1 ELSE 0 END) AS ka, sum(r) AS tr, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS kr FROM o GROUP BY ALL),
+d AS (SELECT DISTINCT gram FROM g),
+u AS (SELECT gram, k, right(gram, k) AS own, substr(right(gram, k), 1, k - 1) AS context FROM d, (SELECT unnest(range(1, {ORDER + 2})) AS k) WHERE k <= length(gram)),
+v AS (SELECT gram, {", ".join(f"max(CASE WHEN k = {k} THEN {c} END) AS {c}{k}" for k in _LEVELS for c in ("a", "r", "ta", "ka", "tr", "kr"))}
+  FROM (SELECT u.gram, u.k, o.a::DOUBLE AS a, o.r::DOUBLE AS r, c.ta::DOUBLE AS ta, c.ka::DOUBLE AS ka, c.tr::DOUBLE AS tr, c.kr::DOUBLE AS kr FROM u LEFT JOIN o USING (own) LEFT JOIN c USING (context)) GROUP BY gram),
+m AS (SELECT gram, CAST(floor(({_chance_sql("a")} - {_chance_sql("r")}) * {SCALE}) AS BIGINT) AS ratio FROM v),
+b AS (SELECT token, sum(ratio) AS total, count(*) AS length FROM g JOIN m USING (gram) GROUP BY token),
+sc AS (SELECT url, CAST(floor(sum(total) / CAST(sum(length) AS DOUBLE)) AS BIGINT) AS score FROM t JOIN b USING (token) GROUP BY url),
+f AS (SELECT j.*, coalesce(sc.score, 0) AS score FROM j LEFT JOIN sc USING (url)),
+h AS (SELECT floor(score / {STEP}.0) AS step, sum(CASE WHEN by_rule = 'allow' THEN n ELSE 0 END) AS good, sum(CASE WHEN by_rule = 'block' THEN n ELSE 0 END) AS bad
+  FROM f WHERE by_rule IS NOT NULL AND held_out GROUP BY ALL),
+er AS (SELECT step, coalesce(sum(good) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(bad) OVER ()
   + (sum(bad) OVER () - coalesce(sum(bad) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * sum(good) OVER () AS error FROM h),
-l AS (SELECT coalesce((SELECT step FROM e ORDER BY error, abs(step), step LIMIT 1), 0) AS lim)
-SELECT page_id, host, path, rule, coalesce(j.by_rule, CASE WHEN floor(score / {STEP}.0) >= lim THEN 'allow' ELSE 'block' END) AS verdict, score
-FROM j JOIN sc USING (r), l
+l AS (SELECT coalesce((SELECT step FROM er ORDER BY error, abs(step), step LIMIT 1), 0) AS lim)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN floor(score / {STEP}.0) >= lim THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM pages p JOIN f ON coalesce(p.url, '') = f.url, l
 """

@@ -461,3 +461,38 @@ def test_personal_data_query_columns(spark, small):
         assert [got[i][f"n_{k}"] for k in personal_data.KINDS] == [kinds.count(k) for k in personal_data.KINDS]
         assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(filter(None, got[i]["spans"].split(",")))
+
+
+#: Names that operators use inside themselves, and others.
+NAMES = """row leaf passes rest bucket last place model codes limit by_rule held_out accepted n token gram own context total length step score weights _base _more base
+candidates pieces blocks more _email_1 _email_1v _toxicity decoded copies task node label group key heads bits list id component component_id kept first deal host path
+rule verdict size left right votes start end k c x tokens row_ text_bytes licenses license words positive unlabelled hits url_ domain given room weight budget spans ids""".split()
+
+
+@pytest.mark.parametrize("name", ["urls", "mix", "find", "redacted", "score", "encode", "licenses", "toxicity", "near_dedup", "personal_data", "mixing", "byte_bpe"])
+def test_clashing_columns_come_back(spark, small, name):
+    rows = [(k, t, "en", "src0", len(t or "")) for k, t in enumerate(TEXTS[:6] + TEXTS[8:])]
+    d = spark.createDataFrame(rows, DOC)
+    d = d.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in NAMES), F.col("doc_id").alias("`").alias("a column"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    stages = dict(corpus_pipeline.STAGES)
+    run, replaced = {
+        "urls": (lambda: url_filter.judge_urls(d.withColumn("url", F.col("text"))), {"host", "path", "rule", "verdict", "score"}),
+        "mix": (lambda: source_mixing.mix(d, percent=100, epochs=1), {"copies"}),
+        "find": (lambda: personal_data.find_personal_data(d), {"base", "spans"}),
+        "redacted": (lambda: personal_data.redacted(d), set()),
+        "score": (lambda: toxicity.score(d, toxicity.Model({}, -1.0)), {"score"}),
+        "encode": (lambda: byte_bpe.decode(byte_bpe.encode(d, path), path), {"ids", "decoded"}),
+        "licenses": (lambda: license_scan.scan_licenses(d), {"licenses"}),
+    }.get(name, (lambda: stages[name](spark, d, small), set()))
+    got = run()
+    if name == "byte_bpe":
+        assert got.count() == len(rows)
+        return
+    if name in stages:
+        assert got.columns == d.columns
+    found = got.collect()
+    # one of the copies goes, and the mixing stage takes 80 % of the tokens
+    assert len(found) == (len(rows) - 1 if name in ("near_dedup", "mixing") else len(rows))
+    for r in found:
+        assert all(r[c] == f"{c}:{r['doc_id']}" for c in NAMES if c not in replaced)
