@@ -31,17 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows are told apart, not ids: of rows that repeat an id those stay whose
     texts are near copies of no other, and one of any group. Rows with a null
-    id stay.
+    id, or a text without words, stay.
     """
-    row = unused("row", docs.columns)
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    named = rows.where(F.col("doc_id").isNotNull()).select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"), "text")
-    found = cut(near_dedup.near_duplicates(named.select("doc_id", "text"), NEAR_PERCENT).select("doc_id", "component_id"))
-    groups = found.join(found.where("doc_id <> component_id").select("component_id").distinct(), "component_id", "left_semi")
-    groups = cut(groups.join(named.select("doc_id", "id"), "doc_id"))
-    kept = groups.groupBy("component_id").agg(F.min_by("doc_id", F.struct("id", "doc_id")).alias("doc_id"))
-    gone = groups.join(kept, ["component_id", "doc_id"], "left_anti").select(F.col("doc_id").alias(row))
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+    return near_dedup.without_near_copies(docs, NEAR_PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

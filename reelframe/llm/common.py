@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,14 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes inside goes at the end, but for what is cut with keep=True."""
+    held = _FOLDER.set(f"{_FOLDER.get() or shared_dir(spark)}/reelframe-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDER.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _FOLDER.reset(held)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """df written as a table in the shared folder and read again.
 
     Later jobs start from the written files, so a lost executor costs one
-    task and iterations do not grow the plan.
+    task and iterations do not grow the plan. keep: it outlives scratch().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reelframe-{uuid.uuid4().hex}"
+    path = f"{(None if keep else _FOLDER.get()) or shared_dir(spark)}/reelframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import cut, pieces, table
+from reelframe.llm.common import cut, pieces, scratch, table, unused
 from reelframe.llm.components import components, stars
 
 WORDS = 5
@@ -139,7 +139,7 @@ def identity(s: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame, prefix: int) -> DataFrame:
-    """(doc_id, n_shingles, key, bits, heads): the set's size, identity, low bytes of its signature, and its first `prefix` values."""
+    """(doc_id, digest, n_shingles, key, bits, heads): the text's md5, the set's size, identity, low bytes of its signature, and its first `prefix` values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = np.seterr(over="ignore")
@@ -153,10 +153,10 @@ def sketched(docs: DataFrame, prefix: int) -> DataFrame:
                 low, values = (sig & np.uint64(255)).astype(np.uint8), sig[:, :prefix].astype(np.int64)
                 for row, i in enumerate(np.flatnonzero(size)):
                     bits[i], heads[i], keys[i] = low[row].tobytes(), values[row], identity(sets[i])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "bits", "heads"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "digest", "n_shingles", "key", "bits", "heads"])
         np.seterr(**old)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bits binary, heads array<long>")
+    return docs.select("doc_id", "text", F.md5("text").alias("digest")).mapInArrow(run, "doc_id long, digest string, n_shingles long, key binary, bits binary, heads array<long>")
 
 
 def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -376,6 +376,35 @@ def class_links(classes: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     return links.unionByName(cut(confirmed(across, least)))
 
 
+def near_rows(docs: DataFrame, least: int = LEAST, by_id: bool = True) -> DataFrame:
+    """(doc_id, digest, n_shingles, component, component_id) for every row of docs (doc_id, text).
+
+    digest is the text's md5, component a number that linked rows share, and
+    component_id their smallest id. by_id: rows that repeat an id are one
+    document. A row with a null id, or without words, has a null component but
+    where its id has other texts. What is written on the way is deleted.
+    """
+    with scratch(docs.sparkSession):
+        sketches = cut(sketched(docs, tries_for(least)))
+        classes = sketches.where("doc_id is not null and key is not null").groupBy("key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "bits", "heads")).alias("x"))
+        classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "key", F.col("x.doc_id").alias("id"), "x.size", "x.bits", "x.heads"))
+        links = class_links(classes, docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), least)
+        rows = sketches.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+        rows = rows.join(classes.select("key", "node"), "key", "left").drop("key")
+        if by_id:
+            # ids with several sets, or with a set and a text without words
+            several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max(F.col("node").isNull()).alias("empty"))
+            several = cut(several.where("first <> last or first is not null and empty").select("doc_id", "first"))
+            if not several.isEmpty():
+                rows = rows.join(several, "doc_id", "left")
+                links = links.unionByName(rows.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+                rows = rows.withColumn("node", F.coalesce("node", "first")).drop("first")
+        labels = cut(components(links).withColumnRenamed("id", "node"))
+        named = classes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least_id = named.groupBy("component").agg(F.min("id").alias("component_id"))
+        return cut(rows.join(named.join(least_id, "component").select("node", "component", "component_id"), "node", "left").drop("node"), keep=True)
+
+
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -387,23 +416,32 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     row is returned. A row with a null id is linked with nothing, has a null
     component, and is kept. No rows give no rows. Other columns are not read.
     """
-    sketches = cut(sketched(docs, tries_for(least)))
-    classes = sketches.where("doc_id is not null and key is not null").groupBy("key").agg(F.min(F.struct("doc_id", F.col("n_shingles").alias("size"), "bits", "heads")).alias("x"))
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "key", F.col("x.doc_id").alias("id"), "x.size", "x.bits", "x.heads"))
-    links = class_links(classes, docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), least)
-    rows = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(classes.select("key", "node"), "key", "left").drop("key")
-    # ids with several sets, or with a set and an empty text
-    several = cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max(F.col("node").isNull()).alias("empty")).where("first <> last or first is not null and empty").select("doc_id", "first"))
-    if not several.isEmpty():
-        rows = rows.join(several, "doc_id", "left")
-        links = links.unionByName(rows.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-        rows = rows.select("doc_id", "n_shingles", F.coalesce("node", "first").alias("node"))
-    labels = cut(components(links).withColumnRenamed("id", "node"))
-    named = classes.select("node", "id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least_id = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    out = rows.join(named.join(least_id, "component").select("node", "component_id"), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = near_rows(docs, least).select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_copies(docs: DataFrame, least: int) -> DataFrame:
+    """docs (doc_id, text among its columns) with one row of each group of near copies: the one with the smallest id.
+
+    Rows are told apart, not ids: of rows that repeat an id those stay whose
+    texts are near copies of no other, and one of any group. Rows with a null
+    id, or a text without words, stay.
+    """
+    spark, digest = docs.sparkSession, unused("digest", docs.columns)
+    found = near_rows(docs, least, by_id=False)
+    with scratch(spark):
+        rows = cut(found.where(F.col("component").isNotNull()).groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n")))
+        first = cut(rows.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("x")).select("component", "x.*"))
+        key = ["component", "doc_id", "digest"]
+        gone = cut(rows.join(first, key, "left_anti").select("doc_id", F.col("digest").alias(digest)), keep=True)
+        again = cut(rows.join(first, key, "left_semi").where("n > 1").select("doc_id", F.col("digest").alias(digest)), keep=True)
+    left = docs.withColumn(digest, F.md5("text")).join(gone, ["doc_id", digest], "left_anti")
+    if not again.isEmpty():
+        # the same text more than once under an id
+        one = left.join(again, ["doc_id", digest], "left_semi").groupBy("doc_id", digest).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("row"))
+        left = left.join(again, ["doc_id", digest], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(one.select("row.*"))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
