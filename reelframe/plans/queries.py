@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, text
 from reelframe.operators import clip, cues, events, jobs, live, select
 from reelframe.sources import adapters as a
+from reelframe.sources import playlists
 
 AD = "/ad/"
 START, END = 20.0, 60.0
@@ -19,6 +20,7 @@ CHANNELS = "CASE channels WHEN '2' THEN 2 WHEN '6/JOC' THEN 6 ELSE 0 END"
 BEST = f"{RANK}, bandwidth DESC NULLS LAST, {CHANNELS} DESC, stream_pos"
 ALIKE = ", ".join(select.IDENTITY)
 KEYS = ["manifest_id", "stream_pos"]
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
 
 def segments(spark, d):
@@ -118,7 +120,46 @@ def aligned(spark, d):
     return live.aligned_start(x, "manifest_id", 3).groupBy("manifest_id", "stream_id").agg(F.count("*").alias("n"), F.min("seg_index").alias("first_index"))
 
 
+def quoted(name: str, value) -> Column:
+    """An attribute with a comma before it; nothing for null."""
+    return F.coalesce(F.concat(F.lit(f',{name}="'), value, F.lit('"')), F.lit(""))
+
+
+def media_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A media playlist of each order, a segment of each of its lines."""
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    part, supp, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    said = lambda c: c.cast("string")
+    key = F.when(supp % 3 == 0, F.concat(F.lit('#EXT-X-KEY:METHOD=AES-128,URI="k'), said(supp), F.lit('.key"'), F.when(supp % 2 == 0, ",IV=0x000102030405060708090A0B0C0D0E0F").otherwise(""), F.lit("\n"))).when(supp % 3 == 1, "#EXT-X-KEY:METHOD=NONE\n").otherwise("")
+    size = F.when(part % 3 == 0, F.concat(F.lit("#EXT-X-BYTERANGE:"), said(part), F.lit("@"), said(supp), F.lit("\n"))).when(part % 3 == 1, F.concat(F.lit("#EXT-X-BYTERANGE:"), said(part), F.lit("\n"))).otherwise("")
+    one = F.concat(F.when(n % 3 == 0, "#EXT-X-DISCONTINUITY\n").otherwise(""), key, F.lit("#EXTINF:"), said(F.col("l_quantity")), F.lit(",title\n"), size, F.lit("seg"), said(part), F.lit(".ts\n"))
+    each = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER, one.alias("line")))).alias("x"))
+    order = F.col("l_orderkey")
+    head = F.concat(F.lit("\ufeff#EXTM3U\r\n#EXT-X-TARGETDURATION:"), said(order % 9 + 1), F.lit("\r\n#EXT-X-MEDIA-SEQUENCE:"), said(order % 100), F.lit('\n\n#EXT-X-MAP:URI="init.mp4"\n'))
+    body = F.array_join(F.transform("x", lambda x: x["line"]), "")
+    return each.select(order.alias("manifest_id"), F.concat(F.lit("http://cdn.example/m/"), said(order), F.lit("/list.m3u8?q=1")).alias("url"), F.concat(head, body, F.when(order % 2 == 0, "#EXT-X-ENDLIST\n").otherwise("")).alias("text"))
+
+
+def master_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A master playlist of each manifest, a variant or rendition of each stream."""
+    s = streams(spark, sf_dir)
+    kind = F.replace(F.upper("media_type"), F.lit("CLOSEDCAPTIONS"), F.lit("CLOSED-CAPTIONS"))
+    media = F.concat(F.lit("#EXT-X-MEDIA:TYPE="), kind, quoted("GROUP-ID", F.col("group_id")), quoted("LANGUAGE", F.col("language")), quoted("NAME", F.col("name")), quoted("CHANNELS", F.col("channels")), quoted("URI", F.col("url")), F.lit("\n"))
+    plain = lambda name, c: F.coalesce(F.concat(F.lit(f",{name}="), F.col(c).cast("string")), F.lit(""))
+    variant = F.concat(F.lit("#EXT-X-STREAM-INF:PROGRAM-ID=1"), plain("BANDWIDTH", "bandwidth"), plain("RESOLUTION", "resolution"), plain("FRAME-RATE", "frame_rate"), quoted("CODECS", F.concat("codecs", F.lit(",mp4a.40.2"))),
+                       quoted("AUDIO", F.col("audio_id")), quoted("SUBTITLES", F.col("subtitle_id")), plain("VIDEO-RANGE", "video_range"), F.lit("\n"), F.col("url"), F.lit("\n"))
+    each = s.groupBy("manifest_id").agg(F.sort_array(F.collect_list(F.struct("stream_pos", F.when(kind.isNull(), variant).otherwise(media).alias("line")))).alias("x"))
+    return each.select("manifest_id", F.lit("http://cdn.example/master.m3u8").alias("url"), F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("x", lambda x: x["line"]), "")).alias("text"))
+
+
+def segment_rows(spark, d):
+    return playlists.media_segments(media_playlists(spark, d)).withColumn("iv", F.lower(F.hex("iv"))).drop("date_time")
+
+
 QUERIES = {
+    "hls_media": segment_rows,
+    "hls_facts": lambda s, d: playlists.playlist_facts(media_playlists(s, d)),
+    "hls_master": lambda s, d: playlists.master_streams(master_playlists(s, d)).drop("pos"),
     "time_range_clip": lambda s, d: clip.clip_summary(segments(s, d), START, END),
     "index_range_clip": lambda s, d: clip.clip_summary(segments(s, d), 2, 4, "index"),
     "clip_rows": lambda s, d: clip.clip(segments(s, d), START, END).select("stream_id", "part_pos", "seg_index", "url", "before"),
@@ -221,6 +262,28 @@ def _cue_text(kind: str) -> str:
 
 
 SQL = {
+    "hls_media": f"""
+        WITH n AS (SELECT *, row_number() OVER w AS nth, sum(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) OVER w AS cuts,
+            last_value(CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey WHEN l_suppkey % 3 = 1 THEN -1 END IGNORE NULLS) OVER w AS k
+          FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)} ROWS UNBOUNDED PRECEDING)),
+        p AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY cuts) - 1 AS part FROM n),
+        c AS (SELECT *, sum(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, part ORDER BY nth ROWS UNBOUNDED PRECEDING) AS chain, CASE WHEN l_partkey % 3 < 2 THEN l_partkey END AS size FROM p),
+        r AS (SELECT *, first_value(CASE WHEN l_partkey % 3 = 0 THEN l_suppkey END) OVER (PARTITION BY l_orderkey, part, chain ORDER BY nth) AS first_start,
+            coalesce(sum(size) OVER (PARTITION BY l_orderkey, part, chain ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+        SELECT l_orderkey AS manifest_id, CAST(part AS INT) AS part, l_orderkey % 100 + nth - 1 AS seg_index, 'http://cdn.example/m/' || l_orderkey || '/seg' || l_partkey || '.ts' AS url, l_quantity AS duration,
+          CAST(CASE WHEN size IS NOT NULL THEN first_start + before END AS BIGINT) AS range_start, CAST(size AS BIGINT) AS range_length, CASE WHEN k >= 0 THEN 'Aes128' ELSE 'None' END AS method,
+          CASE WHEN k >= 0 THEN 'http://cdn.example/m/' || l_orderkey || '/k' || k || '.key' END AS key_uri,
+          CASE WHEN k >= 0 AND k % 2 = 0 THEN '000102030405060708090a0b0c0d0e0f' WHEN k >= 0 THEN lower(lpad(to_hex(CAST(l_orderkey % 100 + nth - 1 AS BIGINT)), 32, '0')) END AS iv FROM r""",
+    "hls_facts": """
+        SELECT l_orderkey AS manifest_id, CAST(l_orderkey % 9 + 1 AS DOUBLE) AS target_duration, l_orderkey % 2 <> 0 AS is_live,
+          CASE WHEN l_orderkey % 2 <> 0 THEN CAST((l_orderkey % 9 + 1) * 2000 AS BIGINT) END AS refresh_ms, 'http://cdn.example/m/' || l_orderkey || '/init.mp4' AS map_url FROM (SELECT DISTINCT l_orderkey FROM lineitem)""",
+    "hls_master": f"""
+        SELECT manifest_id, media_type, CASE WHEN media_type IS NOT NULL THEN group_id END AS group_id, CASE WHEN media_type IS NOT NULL THEN nullif(language, '') END AS language,
+          CASE WHEN media_type IS NOT NULL THEN name END AS name, CASE WHEN media_type IS NOT NULL THEN channels END AS channels, CASE WHEN media_type IS NULL THEN coalesce(bandwidth, 0) END AS bandwidth,
+          CASE WHEN media_type IS NULL THEN codecs || CASE WHEN audio_id IS NULL THEN ',mp4a.40.2' ELSE '' END END AS codecs, CASE WHEN media_type IS NULL THEN resolution END AS resolution,
+          CASE WHEN media_type IS NULL THEN frame_rate END AS frame_rate, CASE WHEN media_type IS NULL THEN audio_id END AS audio_id, CASE WHEN media_type IS NULL THEN subtitle_id END AS subtitle_id,
+          CASE WHEN media_type IS NULL THEN video_range END AS video_range, url
+        FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, url ORDER BY stream_pos) AS nth FROM {STR} WHERE media_type IS NULL OR media_type <> 'ClosedCaptions') WHERE nth = 1""",
     "time_range_clip": _clip(f"before BETWEEN {START} AND {END}"),
     "index_range_clip": _clip("seg_index BETWEEN 2 AND 4"),
     "clip_rows": f"SELECT stream_id, part_pos, seg_index, url, before FROM ({BEFORE}) WHERE before BETWEEN {START} AND {END}",
