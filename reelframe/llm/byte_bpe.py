@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from reelframe.llm.common import pieces, table
 
 #: Pre-tokens that a worker remembers before it starts afresh, and the longest that it remembers.
-CACHED = 300_000
+CACHED = 150_000
 CACHED_CHARS = 48
 _MASK = (1 << 64) - 1
 

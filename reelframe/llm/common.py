@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,3 +93,6 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             size += n
         if at < batch.num_rows:
             yield batch.slice(at)
+    # workers are used again: what the last batches took goes back
+    del batches
+    pa.default_memory_pool().release_unused()
