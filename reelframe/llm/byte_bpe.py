@@ -182,33 +182,65 @@ def encode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
+class Decoder:
+    """The bytes of ids, from the tokens of a rank file."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.array([len(x) for x in tokens])
+        self.start, self.joined = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        n = self.length[ids]
+        first = np.cumsum(n) - n
+        return self.joined[np.arange(n.sum()) + np.repeat(self.start[ids] - first, n)].tobytes()
+
+
 def decode(docs: DataFrame, ranks: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """docs with a column of the bytes that the ids stand for; null ids give no bytes."""
+    """docs with a column of the bytes that the ids stand for; null ids give no bytes.
+
+    A column of that name is replaced. Repeated rows are decoded alike; no rows give no rows.
+    """
     kept = docs.drop(decoded)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
-        length = np.array([len(x) for x in tokens])
-        start, joined = np.cumsum(length) - length, np.frombuffer(b"".join(tokens), np.uint8)
+        decoder = Decoder(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = []
-                for row in part.column(ids):
-                    x = row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)
-                    n = length[x]
-                    first = np.cumsum(n) - n
-                    out.append(joined[np.arange(n.sum()) + np.repeat(start[x] - first, n)].tobytes())
+                out = [decoder.decode(row.values.to_numpy(zero_copy_only=False) if row.is_valid else np.zeros(0, np.int32)) for row in part.column(ids)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, decoded])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(decoded, T.BinaryType())]))
 
 
+def encode_and_decode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """docs with `text` replaced by `ids` and the bytes `decoded` from them, in one pass over the texts.
+
+    As encode() and decode() one after the other, but with one Python process a
+    task, and without texts that travel back. Columns of those names are replaced.
+    """
+    kept = docs.drop("ids", "decoded")
+    rest = [f for f in kept.schema.fields if f.name != "text"]
+    shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(ranks), pattern))  # fixed size: the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = shared.value.start()
+        decoder = Decoder(tokenizer.tokens)
+        for batch in pieces(batches):
+            found = [tokenizer.encode(x or "") for x in batch.column("text").to_pylist()]
+            offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+            out = pa.array([decoder.decode(x) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), column, out], [*(f.name for f in rest), "ids", "decoded"])
+
+    return kept.mapInArrow(run, T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, ranks).drop("text"), ranks)
+    coded = encode_and_decode(docs, ranks)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -496,3 +496,14 @@ def test_clashing_columns_come_back(spark, small, name):
     assert len(found) == (len(rows) - 1 if name in ("near_dedup", "mixing") else len(rows))
     for r in found:
         assert all(r[c] == f"{c}:{r['doc_id']}" for c in NAMES if c not in replaced)
+
+
+def test_bpe_query_columns(spark, small):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(byte_bpe.read_ranks(path)) if t}, special_tokens={})
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    wanted = {}
+    for i, t in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(t or "", disallowed_special=())
+        wanted[i] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()))
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.op8_byte_bpe(spark, small).collect()} == wanted
