@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelframe.functions import blobs, moments, text
 from reelframe.operators import clip, cues, events, jobs, live, select
 from reelframe.sources import adapters as a
-from reelframe.sources import playlists
+from reelframe.sources import manifests, playlists
 
 AD = "/ad/"
 START, END = 20.0, 60.0
@@ -152,6 +152,51 @@ def master_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("manifest_id", F.lit("http://cdn.example/master.m3u8").alias("url"), F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("x", lambda x: x["line"]), "")).alias("text"))
 
 
+def dash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A DASH document of each order: a timeline and a list of its lines in two periods, and a numbered track in both."""
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    part, order = F.col("l_partkey"), F.col("l_orderkey")
+    said = lambda c: c.cast("string")
+    entry = F.concat(F.lit("<S"), F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(' t="'), said(F.col("l_suppkey")), F.lit('"'))).otherwise(""), F.lit(' d="'), said(F.col("l_quantity").cast("long")), F.lit('" r="'), F.when(part % 10 == 9, "-1").otherwise(said(part % 3)), F.lit('"/>'))
+    listed = F.concat(F.lit('<SegmentURL media="x'), said(part), F.lit('.m4s" mediaRange="'), said(part), F.lit("-"), said(part + 9), F.lit('"/>'))
+    each = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER, entry.alias("entry"), listed.alias("listed")))).alias("x"))
+    joined = lambda c: F.array_join(F.transform("x", lambda x: x[c]), "")
+    audio = lambda name: F.concat(F.lit(f'<AdaptationSet contentType="audio" lang="en"><Representation id="a" bandwidth="64"><SegmentTemplate media="{name}'), F.lit('/$Number$-$Bandwidth$.m4s" duration="'), said(order % 7 + 3), F.lit('"/></Representation></AdaptationSet>'))
+    body = F.concat(
+        F.lit('\ufeff<?xml version="1.0"?>\n<MPD xmlns="urn:mpeg:dash:schema:mpd:2011" type="static" mediaPresentationDuration="PT'), said(order % 50 + 10), F.lit('S"><BaseURL>http://cdn.example/d/'), said(order), F.lit("/</BaseURL>"),
+        F.lit('<Period id="p0"><AdaptationSet mimeType="video/mp4"><Label>main</Label><SegmentTemplate timescale="2" media="v-$RepresentationID$-$Number%05d$-$Time$.m4s" initialization="init-$RepresentationID$.mp4" startNumber="'), said(order % 10), F.lit('"><SegmentTimeline>'),
+        joined("entry"), F.lit('</SegmentTimeline></SegmentTemplate><Representation id="v" bandwidth="'), said(order), F.lit('" width="640" height="360" codecs="avc1.640028" frameRate="30000/1001"/></AdaptationSet>'), audio("a"),
+        F.lit('</Period><Period id="p1"><AdaptationSet mimeType="video/mp4"><Role value="main"/><BaseURL>two/</BaseURL><Representation id="v" width="640" height="360"><SegmentList duration="4" timescale="2"><Initialization sourceURL="i.mp4" range="0-99"/>'),
+        joined("listed"), F.lit("</SegmentList></Representation></AdaptationSet>"), F.when(order % 2 == 0, audio("a")).otherwise(audio("b")), F.lit("</Period></MPD>"),
+    )
+    return each.select(order.alias("manifest_id"), F.lit("http://origin.example/x.mpd").alias("url"), body.alias("text"))
+
+
+def smooth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Smooth Streaming document of each order, a chunk entry of each of its lines."""
+    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    part, order = F.col("l_partkey"), F.col("l_orderkey")
+    said = lambda c: c.cast("string")
+    entry = F.concat(F.lit("<c"), F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(' t="'), said(F.col("l_suppkey")), F.lit('"'))).otherwise(""), F.lit(' d="'), said(F.col("l_quantity").cast("long")), F.lit('"'),
+                     F.when(part % 10 == 9, ' r="-1"').when(part % 3 > 0, F.concat(F.lit(' r="'), said(part % 3), F.lit('"'))).otherwise(""), F.lit("/>"))
+    each = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER, entry.alias("entry")))).alias("x"))
+    body = F.concat(
+        F.lit('<?xml version="1.0"?><SmoothStreamingMedia TimeScale="4" Duration="'), said(order % 50 + 10), F.lit('"><StreamIndex Type="video" Name="video" Url="q({bitrate})/f({start time})">'),
+        F.lit('<QualityLevel Index="0" FourCC="h264" Bitrate="'), said(order), F.lit('" MaxWidth="640" MaxHeight="360" CodecPrivateData="000000016742C01E0000000168"/><QualityLevel Index="1" FourCC="WVC1" Bitrate="5"/><QualityLevel Index="2" FourCC="HVC1" Bitrate="7" CodecPrivateData="00" Url="h/{bitrate}.m4s"/>'),
+        F.array_join(F.transform("x", lambda x: x["entry"]), ""), F.lit('</StreamIndex><StreamIndex Type="audio" Language="eng" Url="a({Bitrate})/f({start_time})"><QualityLevel Index="0" FourCC="AACL" Bitrate="9" Channels="2" CodecPrivateData="1210"/><c t="0" d="8" r="2"/></StreamIndex></SmoothStreamingMedia>'),
+    )
+    return each.select(order.alias("manifest_id"), F.concat(F.lit("http://cdn.example/s/"), said(order), F.lit("/Manifest")).alias("url"), body.alias("text"))
+
+
+def dash(spark, d):
+    return manifests.representations(dash_documents(spark, d))
+
+
+def dash_joined(spark, d):
+    found = dash(spark, d)
+    return manifests.merged(manifests.dash_streams(found), manifests.dash_segments(found)).select("manifest_id", "period_pos", "set_pos", "part", "seg_index", "url", "duration")
+
+
 def segment_rows(spark, d):
     return playlists.media_segments(media_playlists(spark, d)).withColumn("iv", F.lower(F.hex("iv"))).drop("date_time")
 
@@ -160,6 +205,11 @@ QUERIES = {
     "hls_media": segment_rows,
     "hls_facts": lambda s, d: playlists.playlist_facts(media_playlists(s, d)),
     "hls_master": lambda s, d: playlists.master_streams(master_playlists(s, d)).drop("pos"),
+    "dash_streams": lambda s, d: manifests.dash_streams(dash(s, d)),
+    "dash_segments": lambda s, d: manifests.dash_segments(dash(s, d)).drop("seg_pos"),
+    "dash_merged": dash_joined,
+    "smooth_streams": lambda s, d: manifests.smooth_streams(manifests.smooth_levels(smooth_documents(s, d))),
+    "smooth_segments": lambda s, d: manifests.smooth_segments(manifests.smooth_levels(smooth_documents(s, d))),
     "time_range_clip": lambda s, d: clip.clip_summary(segments(s, d), START, END),
     "index_range_clip": lambda s, d: clip.clip_summary(segments(s, d), 2, 4, "index"),
     "clip_rows": lambda s, d: clip.clip(segments(s, d), START, END).select("stream_id", "part_pos", "seg_index", "url", "before"),
@@ -232,6 +282,22 @@ def _clip(kept: str) -> str:
       coalesce(sum(CASE WHEN seg_index < first_kept THEN duration END), 0.0::DOUBLE) AS skipped_duration FROM f GROUP BY stream_id"""
 
 
+def _entries(times: str) -> str:
+    """Entries of timelines with how often each runs, what runs before it, and its first tick."""
+    by, w = "PARTITION BY l_orderkey", f"PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}"
+    return f"""n AS (SELECT l_orderkey AS o, l_partkey, row_number() OVER ({w}) AS nth, CAST(l_quantity AS BIGINT) AS d, CASE WHEN l_partkey % 10 = 9 THEN greatest(CAST(ceil(({times}) / CAST(l_quantity AS BIGINT)) AS BIGINT), 1) ELSE greatest(l_partkey % 3 + %s, 1) END AS c,
+          CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey END AS t FROM lineitem),
+        k AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY o ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(t) OVER (PARTITION BY o ORDER BY nth ROWS UNBOUNDED PRECEDING) AS island FROM n),
+        s AS (SELECT *, coalesce(first_value(t) OVER (PARTITION BY o, island ORDER BY nth), 0) + coalesce(sum(c * d) OVER (PARTITION BY o, island ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS began FROM k),
+        e AS (SELECT *, unnest(range(c)) AS i FROM s)"""
+
+
+ORDERS = "(SELECT DISTINCT l_orderkey AS o, 'http://cdn.example/d/' || l_orderkey || '/' AS base, CAST(ceil((l_orderkey % 50 + 10.0) / (l_orderkey % 7 + 3)) AS BIGINT) AS n FROM lineitem)"
+DASH = f"""{_entries("(l_orderkey % 50 + 10) * 2.0").replace("%s", "1")},
+        d AS (SELECT o AS manifest_id, 0 AS period_pos, 0 AS set_pos, CAST(before + i AS BIGINT) AS seg_index, 'http://cdn.example/d/' || o || '/v-v-' || printf('%05d', CAST(o % 10 + before + i AS BIGINT)) || '-' || CAST(began + i * d AS BIGINT) || '.m4s' AS url, d / 2.0::DOUBLE AS duration,
+            CAST(CAST(began + i * d AS BIGINT) AS VARCHAR) AS name, NULL::BIGINT AS range_start, NULL::BIGINT AS range_length FROM e
+          UNION ALL SELECT o, 1, 0, nth - 1, 'http://cdn.example/d/' || o || '/two/x' || l_partkey || '.m4s', 2.0, NULL, l_partkey, 10 FROM n
+          UNION ALL SELECT o, p, 1, i, base || CASE WHEN p = 1 AND o % 2 = 1 THEN 'b/' ELSE 'a/' END || (i + 1) || '-64.m4s', CAST(o % 7 + 3 AS DOUBLE), CAST(i + 1 AS VARCHAR), NULL, NULL FROM (SELECT *, unnest(range(n)) AS i FROM {ORDERS}), (SELECT unnest([0, 1]) AS p))"""
 TOTALS = f"""(SELECT s.*, coalesce(n, 0) AS segment_count, total_duration, coalesce(methods, '') AS methods FROM {STR} s LEFT JOIN
   (SELECT stream_id, count(*) AS n, sum(duration) AS total_duration, string_agg(DISTINCT CASE WHEN method <> 'None' THEN method END, ',' ORDER BY CASE WHEN method <> 'None' THEN method END) AS methods FROM {SEG} GROUP BY stream_id) g
   ON g.stream_id = s.stream_pos)"""
@@ -284,6 +350,27 @@ SQL = {
           CASE WHEN media_type IS NULL THEN frame_rate END AS frame_rate, CASE WHEN media_type IS NULL THEN audio_id END AS audio_id, CASE WHEN media_type IS NULL THEN subtitle_id END AS subtitle_id,
           CASE WHEN media_type IS NULL THEN video_range END AS video_range, url
         FROM (SELECT *, row_number() OVER (PARTITION BY manifest_id, url ORDER BY stream_pos) AS nth FROM {STR} WHERE media_type IS NULL OR media_type <> 'ClosedCaptions') WHERE nth = 1""",
+    "dash_streams": f"""
+        SELECT b.o AS manifest_id, p AS period_pos, a AS set_pos, 0 AS rep_pos, 'p' || p AS period_id, CASE a WHEN 0 THEN 'v' ELSE 'a' END AS group_id, CASE WHEN a = 1 THEN 'Audio' END AS media_type,
+          CAST(CASE WHEN a = 1 THEN 64 WHEN p = 0 THEN b.o ELSE 0 END AS BIGINT) AS bandwidth, CASE WHEN a = 0 AND p = 0 THEN 'avc1.640028' END AS codecs, CASE WHEN a = 1 THEN 'en' END AS language, CASE WHEN a = 0 AND p = 0 THEN 'main' END AS name,
+          CASE WHEN a = 0 AND p = 0 THEN 29.97::DOUBLE END AS frame_rate, CASE WHEN a = 0 THEN '640x360' END AS resolution, NULL::VARCHAR AS channels, CASE WHEN a = 0 AND m = 1 THEN 'mp4' ELSE 'm4s' END AS extension, CASE WHEN a = 0 AND p = 1 THEN 'Main' END AS role, NULL::VARCHAR AS video_range,
+          false AS is_live, NULL::DOUBLE AS refresh_ms, CASE WHEN a = 0 THEN base || CASE p WHEN 0 THEN 'init-v.mp4' ELSE 'two/i.mp4' END END AS init_url, CASE WHEN a = 0 AND p = 1 THEN '0-99' END AS init_range, CAST(m AS BIGINT) AS segment_count
+        FROM (SELECT *, CASE WHEN a = 1 THEN n ELSE m0 END AS m FROM {ORDERS} b JOIN (SELECT manifest_id AS mo, period_pos AS p, set_pos AS a, count(*) AS m0 FROM (WITH {DASH} SELECT * FROM d) GROUP BY ALL) ON mo = o) b""",
+    "dash_segments": f"WITH {DASH} SELECT *, 0 AS rep_pos FROM d",
+    "dash_merged": f"""
+        WITH {DASH}, g AS (SELECT *, max(CASE WHEN period_pos = 0 THEN seg_index END) OVER (PARTITION BY manifest_id, set_pos) AS last FROM d),
+          x AS (SELECT *, set_pos = 1 AND manifest_id % 2 = 0 AS same FROM g)
+        SELECT manifest_id, 0 AS period_pos, set_pos, CAST(period_pos AS BIGINT) AS part, seg_index + CASE WHEN period_pos = 1 THEN last + 1 ELSE 0 END AS seg_index, url,
+          duration + CASE WHEN same AND seg_index = last THEN (last + 1) * duration ELSE 0 END AS duration FROM x WHERE NOT (same AND period_pos = 1)""",
+    "smooth_streams": """
+        SELECT o AS manifest_id, i AS index_pos, l AS level_pos, CASE WHEN i = 1 THEN 'Audio' END AS media_type, CASE WHEN i = 1 THEN '0' ELSE 'video' END AS group_id, CASE WHEN i = 1 THEN 'eng' END AS language, CAST(CASE WHEN i = 1 THEN 9 WHEN l = 0 THEN o ELSE 7 END AS BIGINT) AS bandwidth,
+          CASE WHEN i = 1 THEN 'mp4a.40.2' WHEN l = 0 THEN 'avc1.42C01E' ELSE 'hvc1' END AS codecs, CASE WHEN i = 0 AND l = 0 THEN '640x360' END AS resolution, CASE WHEN i = 1 THEN '2' END AS channels, 'm4s' AS extension, false AS is_live
+        FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem), (VALUES (0, 0), (0, 2), (1, 0)) v(i, l)""",
+    "smooth_segments": f"""
+        WITH {_entries("l_orderkey % 50 + 10.0").replace("%s", "0")}, u AS (SELECT *, 'http://cdn.example/s/' || o || '/' AS base, CAST(began + i * d AS BIGINT) AS tick FROM e)
+        SELECT o AS manifest_id, 0 AS index_pos, 0 AS level_pos, CAST(before + i AS BIGINT) AS seg_index, base || 'q(' || o || ')/f(' || tick || ')' AS url, d / 4.0::DOUBLE AS duration, CAST(tick AS VARCHAR) AS name FROM u
+        UNION ALL SELECT o, 0, 2, CAST(before + i AS BIGINT), base || 'h/7.m4s', d / 4.0, NULL FROM u
+        UNION ALL SELECT o, 1, 0, i, 'http://cdn.example/s/' || o || '/a(9)/f(' || i * 8 || ')', 2.0, CAST(i * 8 AS VARCHAR) FROM (SELECT DISTINCT o, j AS i FROM n, (SELECT unnest(range(2)) AS j))""",
     "time_range_clip": _clip(f"before BETWEEN {START} AND {END}"),
     "index_range_clip": _clip("seg_index BETWEEN 2 AND 4"),
     "clip_rows": f"SELECT stream_id, part_pos, seg_index, url, before FROM ({BEFORE}) WHERE before BETWEEN {START} AND {END}",
