@@ -19,7 +19,8 @@ def is_transport_stream(data: Column) -> Column:
 
 
 def is_gzip(data: Column) -> Column:
-    return F.hex(F.substring(data, 1, 2)) == "1F8B"
+    """The two bytes of the format, and more after them."""
+    return (F.length(data) > 2) & (F.hex(F.substring(data, 1, 2)) == "1F8B")
 
 
 def without_disguise(data: Column) -> Column:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.functions import planning, text
+
 
 @dataclass
 class Seen:
@@ -123,3 +125,15 @@ def aligned_start(segments: DataFrame, by: str, take: int) -> DataFrame:
     counts = cut.groupBy(by, "stream_id").count().groupBy(by).agg(F.min("count").alias("fewest"), F.max("count").alias("most"))
     skip: Column = F.when(F.col("most") <= take, 0).otherwise(F.greatest(F.col("fewest") - take + 1, F.lit(0)))
     return x.join(counts, by).where(F.col("_n") > skip).drop("_all", "_n", "fewest", "most")
+
+
+def same_names(segments: DataFrame, by: str) -> DataFrame:
+    """(by, same_name): whether a list's segments, two at least, would all get one name from their URLs."""
+    name = text.save_name(F.col("url"))
+    return segments.groupBy(by).agg(((F.count("*") > 1) & (F.count(name) == F.count("*")) & (F.min(name) == F.max(name))).alias("same_name"))
+
+
+def grouped_files(files: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """files with `file`: the group of each list's files that are first put together."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    return files.withColumn("file", planning.combine_group(place, F.count("*").over(Window.partitionBy(by))))

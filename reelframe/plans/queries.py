@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.functions import blobs, moments, text
+from reelframe.functions import blobs, moments, planning, text
 from reelframe.operators import clip, cues, events, jobs, live, select
 from reelframe.sources import adapters as a
 from reelframe.sources import manifests, playlists
@@ -78,7 +78,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clip.split_ranges(files(spark, sf_dir).where("o_orderkey % 20 = 0"), length=10_000_000)
+    return clip.split_ranges(files(spark, sf_dir), length=10_000_000)
 
 
 def hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +188,42 @@ def smooth_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(order.alias("manifest_id"), F.concat(F.lit("http://cdn.example/s/"), said(order), F.lit("/Manifest")).alias("url"), body.alias("text"))
 
 
+def seen_progress(spark, d):
+    """Progress as shown; the numbers of segments are made to vary."""
+    e = progress(spark, d)
+    n = F.col("event_seq")
+    done, total = n % 3, F.when(n % 4 > 0, n % 4)
+    sizes = F.col("downloaded_bytes"), F.col("total_bytes")
+    level = F.when(F.col("kind") == "Warning", "Warn").when(F.col("kind") == "StreamProgress", "Debug").otherwise("Info")
+    return e.select("event_seq", planning.progress_percent(done, total, *sizes).alias("percent"), planning.display_total(done, total, *sizes).alias("shown_bytes"),
+                    *(planning.should_log(x, level).alias(f"log_{x.lower()}") for x in ("Debug", "Info", "Error")), events.items_per_second(done, n).alias("rate"), moments.bandwidth_bps(n).alias("bps"))
+
+
+def planned(spark, d):
+    s = with_totals(spark, d)
+    extension = F.when(F.col("codecs").startswith("hvc1"), "mp4").when(F.col("codecs").startswith("mp4a"), "m4s").when(F.col("stream_pos") % 2 == 0, "vtt")
+    name = planning.task_name(F.col("stream_pos"), F.col("group_id"), F.col("codecs"), F.col("bandwidth"), F.col("language"))
+    support = planning.encode_support(F.col("methods"), F.when(F.col("stream_pos") % 13 > 0, F.col("codecs")), F.col("media_type"))
+    return s.select(*KEYS, F.concat(name, planning.output_extension(extension, F.col("media_type"))).alias("path"), planning.output_extension(extension, F.col("media_type"), "srt").alias("repaired"), support.alias("support"))
+
+
+def combined(spark, d):
+    """The segments of a supplier as one list of files."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", *LINE_ORDER)
+    return live.grouped_files(x, "l_suppkey", ["l_orderkey", *LINE_ORDER[:2], *LINE_ORDER[3:]]).groupBy("l_suppkey", "file").agg(F.count("*").alias("n"))
+
+
+def words(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    n = F.col("o_orderkey")
+    said = n.cast("string")
+    digest = F.md5(said.cast("binary"))
+    kid = F.concat(F.lit("{"), F.left(digest, F.lit(8)), F.lit("-"), F.substring(digest, 9, 24), F.lit("} more"))
+    speed = F.concat(said, F.when(n % 4 == 0, "k").when(n % 4 == 1, "M").when(n % 4 == 2, "x").otherwise(""))
+    return o.select("o_orderkey", F.lower(F.hex(planning.key_id(kid))).alias("kid"), planning.speed_bytes(speed).alias("speed"), planning.second_millis(F.concat(said, F.lit("."), (n % 9).cast("string"), F.lit("77"), said)).alias("millis"),
+                    moments.frame_rate(F.concat(said, F.lit("/4"))).alias("rate"))
+
+
 def dash(spark, d):
     return manifests.representations(dash_documents(spark, d))
 
@@ -210,6 +246,11 @@ QUERIES = {
     "dash_merged": dash_joined,
     "smooth_streams": lambda s, d: manifests.smooth_streams(manifests.smooth_levels(smooth_documents(s, d))),
     "smooth_segments": lambda s, d: manifests.smooth_segments(manifests.smooth_levels(smooth_documents(s, d))),
+    "progress_view": seen_progress,
+    "planned_outputs": planned,
+    "combine_groups": combined,
+    "same_names": lambda s, d: live.same_names(segments(s, d), "stream_id"),
+    "option_words": words,
     "time_range_clip": lambda s, d: clip.clip_summary(segments(s, d), START, END),
     "index_range_clip": lambda s, d: clip.clip_summary(segments(s, d), 2, 4, "index"),
     "clip_rows": lambda s, d: clip.clip(segments(s, d), START, END).select("stream_id", "part_pos", "seg_index", "url", "before"),
@@ -371,6 +412,25 @@ SQL = {
         SELECT o AS manifest_id, 0 AS index_pos, 0 AS level_pos, CAST(before + i AS BIGINT) AS seg_index, base || 'q(' || o || ')/f(' || tick || ')' AS url, d / 4.0::DOUBLE AS duration, CAST(tick AS VARCHAR) AS name FROM u
         UNION ALL SELECT o, 0, 2, CAST(before + i AS BIGINT), base || 'h/7.m4s', d / 4.0, NULL FROM u
         UNION ALL SELECT o, 1, 0, i, 'http://cdn.example/s/' || o || '/a(9)/f(' || i * 8 || ')', 2.0, CAST(i * 8 AS VARCHAR) FROM (SELECT DISTINCT o, j AS i FROM n, (SELECT unnest(range(2)) AS j))""",
+    "progress_view": f"""
+        WITH e AS (SELECT *, event_seq % 3 AS done, nullif(event_seq % 4, 0) AS total, CASE kind WHEN 'Warning' THEN 2 WHEN 'StreamProgress' THEN 0 ELSE 1 END AS level FROM {EVT}),
+          b AS (SELECT *, CASE WHEN total_bytes > 0 THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, (downloaded_bytes / total_bytes) * 100.0::DOUBLE)) END AS by_bytes FROM e)
+        SELECT event_seq, CASE WHEN total = 1 AND done = 0 AND by_bytes IS NOT NULL THEN by_bytes WHEN total IS NOT NULL THEN least(100.0::DOUBLE, (done / total) * 100.0::DOUBLE) ELSE coalesce(by_bytes, 0.0::DOUBLE) END AS percent,
+          CASE WHEN total_bytes IS NOT NULL THEN total_bytes WHEN done > 0 AND done < total THEN CAST(floor(downloaded_bytes * total / done) AS BIGINT) END AS shown_bytes, true AS log_debug, level > 0 AS log_info, false AS log_error,
+          done * 1000 // greatest(event_seq, 1) AS rate, event_seq * 1000 AS bps FROM b""",
+    "planned_outputs": f"""
+        WITH t AS (SELECT *, CASE WHEN codecs LIKE 'hvc1%' THEN 'mp4' WHEN codecs LIKE 'mp4a%' THEN 'm4s' WHEN stream_pos % 2 = 0 THEN 'vtt' END AS ext FROM {TOTALS}),
+          x AS (SELECT *, CASE WHEN ext IN ('mp4', 'm4s') AND media_type = 'Audio' THEN '.m4a' WHEN ext IN ('mp4', 'm4s') AND media_type IS DISTINCT FROM 'Subtitles' THEN '.mp4' ELSE '.' || coalesce(ext, 'ts') END AS dot FROM t)
+        SELECT manifest_id, stream_pos, stream_pos || '_' || group_id || '_' || codecs || '_' || coalesce(CAST(bandwidth AS VARCHAR), '') || '_' || coalesce(language, '') || dot AS path,
+          CASE WHEN media_type = 'Subtitles' THEN '.srt' ELSE dot END AS repaired,
+          CASE WHEN methods LIKE '%SampleAes%' OR methods LIKE '%Unknown%' THEN 'Unsupported' WHEN stream_pos % 13 = 0 THEN 'RequiresProbe' WHEN media_type IN ('Subtitles', 'ClosedCaptions') OR media_type = 'Audio' AND codecs NOT LIKE 'mp4a%' THEN 'Refused' ELSE 'Supported' END AS support FROM x""",
+    "combine_groups": f"""
+        SELECT l_suppkey, printf('T%04d.ts', CAST(place // CASE WHEN c <= 90000 THEN 100 ELSE 200 END AS BIGINT)) AS file, count(*) AS n
+        FROM (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, {", ".join(LINE_ORDER)}) - 1 AS place, count(*) OVER (PARTITION BY l_suppkey) AS c FROM lineitem) GROUP BY ALL""",
+    "same_names": "SELECT l_orderkey AS stream_id, count(*) > 1 AND count(DISTINCT l_partkey) = 1 AS same_name FROM lineitem GROUP BY l_orderkey",
+    "option_words": """
+        SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS kid, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 1024 WHEN 1 THEN o_orderkey * 1048576 WHEN 3 THEN o_orderkey END AS speed,
+          o_orderkey * 1000 + o_orderkey % 9 * 100 + 77 AS millis, round(o_orderkey / 4, 3) AS rate FROM orders""",
     "time_range_clip": _clip(f"before BETWEEN {START} AND {END}"),
     "index_range_clip": _clip("seg_index BETWEEN 2 AND 4"),
     "clip_rows": f"SELECT stream_id, part_pos, seg_index, url, before FROM ({BEFORE}) WHERE before BETWEEN {START} AND {END}",
@@ -384,7 +444,7 @@ SQL = {
     "segment_batches": f"SELECT stream_id, seg_index, tie, price, (row_number() OVER (PARTITION BY stream_id ORDER BY seg_index, tie, price) - 1) // 3 AS batch FROM {SEG}",
     "range_split": """SELECT o_orderkey, file_size, i AS index, i * 10000001 AS start_range, CASE WHEN i = n - 1 THEN file_size - i * 10000001 + 1 ELSE 10000001 END AS expected_length,
       CASE WHEN i = n - 1 THEN file_size - i * 10000001 + 1 ELSE 10000001 END > 0 AS is_valid
-      FROM (SELECT o_orderkey, file_size, n, unnest(range(n)) AS i FROM (SELECT *, (file_size + 9999999) // 10000000 AS n FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 97) AS BIGINT) AS file_size FROM orders WHERE o_orderkey % 20 = 0)))""",
+      FROM (SELECT o_orderkey, file_size, n, unnest(range(n)) AS i FROM (SELECT *, (file_size + 9999999) // 10000000 AS n FROM (SELECT o_orderkey, CAST(floor(o_totalprice * 97) AS BIGINT) AS file_size FROM orders)))""",
     "range_split_all": """WITH f AS (SELECT o_orderkey, CAST(floor(o_totalprice * 97) AS BIGINT) AS file_size FROM orders),
       r AS (SELECT *, (file_size + 9999999) // 10000000 - 1 AS last, unnest(range((file_size + 9999999) // 10000000)) AS index FROM f),
       e AS (SELECT o_orderkey, file_size, index, index * 10000001 AS start_range, CASE WHEN index = last THEN file_size - index * 10000001 + 1 ELSE 10000001 END AS expected_length FROM r)
