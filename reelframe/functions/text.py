@@ -102,13 +102,13 @@ def template(text: Column, values: dict[str, Column]) -> Column:
 def combine_url(base: Column, ref: Column) -> Column:
     """ref as seen from base: absolute, from the host's root, a query only, or beside the base's last name."""
     origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    plain = F.regexp_replace(base, "[?#].*$", "")
-    folder = F.when(F.length(plain) == F.length(origin), F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(plain, "[^/]*$", ""))
+    bare = base.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?(?:[?#]|$)")
+    folder = F.when(bare, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(base, "^([^?#]*/)", 1))
     full = (
         F.when(ref.rlike(ABSOLUTE), ref)
         .when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), ref))
         .when(ref.startswith("/"), F.concat(origin, ref))
-        .when(ref.startswith("?"), F.concat(plain, ref))
+        .when(ref.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), ref))
         .when(ref == "", base)
         .otherwise(F.concat(folder, ref))
     )
@@ -118,7 +118,9 @@ def combine_url(base: Column, ref: Column) -> Column:
     steps = F.split(path, "/")
     folded = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
     ends = F.when(F.element_at(steps, -1).isin(".", ".."), "/").otherwise("")
-    return F.when(~path.rlike(r"(?:^|/)\.\.?(?:/|$)"), full).otherwise(F.concat(head, F.array_join(folded, "/"), ends, rest))
+    # asked of the whole URL, so that one without dots costs one look; folding leaves what this lets through by its host alone
+    dotted = full.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?(?:[^?#]*/)?\.\.?(?:[/?#]|$)")
+    return F.when(~dotted, full).otherwise(F.concat(head, F.array_join(folded, "/"), ends, rest))
 
 
 def hls_attribute(line: Column, key: str) -> Column:

@@ -39,9 +39,12 @@ _RUN = "struct<kind: string, ref: string, range: string, t: bigint, d: bigint, n
 
 
 def parsed(documents: DataFrame, schema: str) -> DataFrame:
-    """(manifest_id, url, x): white space and a byte order mark before a document go."""
+    """(manifest_id, url, the document's attributes): white space and a byte order mark before it go.
+
+    A row of one struct through inline(): fields of a projected struct would each parse the document again.
+    """
     body = F.regexp_replace("text", "^[\\s﻿]+", "")
-    return documents.select("manifest_id", "url", F.from_xml(body, T.StructType.fromDDL(schema), XML).alias("x"))
+    return documents.select("manifest_id", "url", F.inline(F.array(F.from_xml(body, T.StructType.fromDDL(schema), XML))))
 
 
 def based(url: Column, *given: str) -> Column:
@@ -68,7 +71,7 @@ def representations(documents: DataFrame, now: Column | None = None) -> DataFram
     that a representation's template lacks are those of its adaptation set's.
     """
     now = F.unix_timestamp() if now is None else now
-    x = parsed(documents, MPD).select("manifest_id", "url", "x.*")
+    x = parsed(documents, MPD)
     seconds = lambda c: moments.iso_duration(F.col(c))
     depth = F.coalesce(F.when(F.col("_timeShiftBufferDepth") != "", seconds("_timeShiftBufferDepth")), F.lit(WINDOW_SECONDS))
     x = x.select("manifest_id", "url", F.coalesce(F.col("_type") == "dynamic", F.lit(False)).alias("is_live"), depth.alias("depth"), F.unix_timestamp(F.to_timestamp("_availabilityStartTime")).alias("since"),
@@ -209,7 +212,7 @@ def smooth_codec(four_cc: Column, private: Column) -> Column:
 
 def smooth_levels(documents: DataFrame) -> DataFrame:
     """One row per quality level of Smooth Streaming documents, its chunks still folded; unknown kinds of samples are left out."""
-    x = parsed(documents, SMOOTH).select("manifest_id", "url", "x.*")
+    x = parsed(documents, SMOOTH)
     x = x.select("manifest_id", "url", F.coalesce("_TimeScale", F.lit(SMOOTH_TICKS)).alias("scale"), F.coalesce("_Duration", F.lit(0)).alias("whole"), F.coalesce(F.lower("_IsLive") == "true", F.lit(False)).alias("is_live"), F.posexplode("StreamIndex").alias("index_pos", "s"))
     x = x.select("*", F.posexplode("s.QualityLevel").alias("level_pos", "q")).withColumn("four_cc", F.upper("q._FourCC")).where(F.col("four_cc").isin(*FOUR_CC))
     pattern = F.coalesce("q._Url", "s._Url")
