@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from reelframe.llm.common import pieces, table
 
-#: Pre-tokens that a worker remembers before it starts afresh, and the longest that it remembers.
+#: Pre-tokens in each of the two generations that a worker remembers, and the longest that it remembers.
 CACHED = 150_000
 CACHED_CHARS = 48
 _MASK = (1 << 64) - 1
@@ -143,19 +143,27 @@ class Tokenizer:
         return array("i", [whole] if whole >= 0 else self.merge(raw)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if len(self.memory) > CACHED:
-            self.memory.clear()
         memory = self.memory
+        if len(memory) > CACHED:
+            memory.age()
         return np.frombuffer(b"".join([memory[x] for x in self.find(text)]), np.int32)
 
 
 class _Memory(dict):
+    """Ids of pre-tokens met lately; what is asked for again passes from the older generation to the younger."""
+
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.older = tokenizer, {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.tokenizer.piece_ids(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.tokenizer.piece_ids(piece)
         if len(piece) <= CACHED_CHARS:
             self[piece] = ids
         return ids

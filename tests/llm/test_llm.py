@@ -241,6 +241,18 @@ def test_bpe_against_tiktoken(spark, docs):
     assert byte_bpe.encode(d.where("false"), path).count() == 0
 
 
+def test_bpe_memory_ages(docs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHED", 20)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = byte_bpe.read_ranks(path)
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens) if t}, special_tokens={})
+    tokenizer = byte_bpe.Tokenizer(tokens, public_tokenizers.PATTERN).start()
+    texts = [t or "" for _, t in docs.limit(50).collect()] * 2
+    for t in texts:
+        assert tokenizer.encode(t).tolist() == library.encode(t, disallowed_special=())
+    assert tokenizer.memory.older
+
+
 def test_perfect_hash():
     keys = [str(k).encode() for k in range(5000)]
     h = byte_bpe.MinimalPerfectHash(keys)
