@@ -122,6 +122,26 @@ def choose(streams: DataFrame, choice: str, order: list[Column] | None = None) -
     return streams.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= n).drop("_n")
 
 
+def flagged(streams: DataFrame, f: StreamFilter, order: list[Column] | None = None) -> DataFrame:
+    """streams with `_in`: whether the filter keeps a stream; windows in place of a second pass over the streams."""
+    plain = StreamFilter(**{**f.__dict__, "duration_min": None, "duration_max": None, "bandwidth_min": None, "bandwidth_max": None, "role": None})
+    out = streams.withColumn("_in", matches(plain))
+    for bound, condition in ((f.segments_max, lambda v: F.col("segment_count") < v), (f.segments_min, lambda v: F.col("segment_count") > v)):
+        if bound is not None:
+            least = F.min(F.when(F.col("_in"), F.col("segment_count"))).over(Window.partitionBy(BY))
+            out = out.withColumn("_least", least).withColumn("_in", F.col("_in") & F.coalesce((F.col("_least") <= 0) | condition(bound), F.lit(False))).drop("_least")
+    rest = StreamFilter(duration_min=f.duration_min, duration_max=f.duration_max, bandwidth_min=f.bandwidth_min, bandwidth_max=f.bandwidth_max, role=f.role)
+    out = out.withColumn("_in", F.col("_in") & matches(rest))
+    if f.choice == "all":
+        return out
+    found = re.fullmatch(r"(best|worst)(\d*)", f.choice)
+    n = int(found[2]) if found and found[2] else 1
+    alike = Window.partitionBy(BY, "_in")
+    nth = F.row_number().over(alike.orderBy(*(order or [F.col("stream_pos")])))
+    chosen = nth > F.count("*").over(alike) - n if found and found[1] == "worst" else nth <= n
+    return out.withColumn("_chosen", chosen).withColumn("_in", F.col("_in") & F.col("_chosen")).drop("_chosen")
+
+
 def filter_keep(streams: DataFrame, f: StreamFilter | None, order: list[Column] | None = None) -> DataFrame:
     """Streams that meet the filter, then its choice; no filter keeps nothing.
 
@@ -130,14 +150,7 @@ def filter_keep(streams: DataFrame, f: StreamFilter | None, order: list[Column]
     """
     if f is None:
         return streams.limit(0)
-    plain = StreamFilter(**{**f.__dict__, "duration_min": None, "duration_max": None, "bandwidth_min": None, "bandwidth_max": None, "role": None})
-    out = streams.where(matches(plain))
-    for bound, condition in ((f.segments_max, lambda v: F.col("segment_count") < v), (f.segments_min, lambda v: F.col("segment_count") > v)):
-        if bound is not None:
-            least = F.min("segment_count").over(Window.partitionBy(BY))
-            out = out.withColumn("_least", least).where((F.col("_least") <= 0) | condition(bound)).drop("_least")
-    rest = StreamFilter(duration_min=f.duration_min, duration_max=f.duration_max, bandwidth_min=f.bandwidth_min, bandwidth_max=f.bandwidth_max, role=f.role)
-    return choose(out.where(matches(rest)), f.choice, order)
+    return flagged(streams, f, order).where("_in").drop("_in")
 
 
 def listed_as() -> Column:
@@ -156,8 +169,8 @@ def filter_drop(streams: DataFrame, f: StreamFilter | None, order: list[Column]
     """Without the streams that the filter keeps, and without those that look like them; no filter drops nothing."""
     if f is None:
         return streams
-    gone = filter_keep(streams, f, order).select(BY, listed_as().alias("_listed")).distinct()
-    return streams.withColumn("_listed", listed_as()).join(gone, [BY, "_listed"], "left_anti").drop("_listed")
+    x = flagged(streams, f, order).withColumn("_listed", listed_as())
+    return x.withColumn("_gone", F.max("_in").over(Window.partitionBy(BY, "_listed"))).where("not _gone").drop("_in", "_listed", "_gone")
 
 
 def of_type(streams: DataFrame, kind: str) -> DataFrame:
