@@ -16,6 +16,8 @@ over all of them: a group by of bounded size. DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -300,9 +302,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def of_kind(k: int) -> Callable[[Column], Column]:
+    """Whether a span is of a kind. Spark gives a second parameter of a lambda the index, so k must not be one."""
+    return lambda s: s["k"] == k
+
+
 def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = cut(with_candidates(docs).select("doc_id", "candidates"))
     spans = judged(found, cut(classifier(found)))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -519,3 +519,10 @@ def test_bpe_query_columns(spark, small):
         ids = library.encode(t or "", disallowed_special=())
         wanted[i] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode()))
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.op8_byte_bpe(spark, small).collect()} == wanted
+
+
+def test_personal_data_counts_by_kind(spark, tmp_path):
+    rows = [(1, "a@b.cd then 1.2.3.4 and 5.6.7.8"), (2, "4111 1111 1111 1111 or 4111111111111111"), (3, None), (4, "+49 170 1234567 x@y.z")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: tuple(r[f"n_{k}"] for k in personal_data.KINDS) for r in personal_data.op6_weak_supervision(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2, 0, 0), 2: (0, 0, 2, 0), 3: (0, 0, 0, 0), 4: (1, 0, 0, 1)}
