@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelframe.llm import byte_bpe, fill_in_middle, license_scan, near_dedup, personal_data, prefix_fingerprint, source_mixing, suffix_dedup, toxicity, url_filter, vector_search
+from reelframe.llm import block_max, byte_bpe, fill_in_middle, license_scan, near_dedup, personal_data, prefix_fingerprint, source_mixing, suffix_dedup, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_segment_topk": vector_search.op1_segment_topk,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_prefix_fingerprint": prefix_fingerprint.op9_prefix_fingerprint,
     "op10_patience_licenses": license_scan.op10_patience_licenses,
+    "op11_block_max": block_max.op11_block_max,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 SQL = {
     "op1_segment_topk": vector_search.OP1_SQL,
     "op2_url_models": url_filter.OP2_SQL,
     "op7_hierarchical_mixing": source_mixing.OP7_SQL,
+    "op11_block_max": block_max.OP11_SQL,
     "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }

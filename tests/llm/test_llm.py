@@ -39,7 +39,7 @@ def docs(spark, small):
 @pytest.mark.parametrize("name", registry.SQL)
 def test_against_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     df = registry.QUERIES[name](spark, small)
     columns = sorted(df.columns)
