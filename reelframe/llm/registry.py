@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelframe.llm import block_max, byte_bpe, fill_in_middle, license_scan, near_dedup, personal_data, prefix_fingerprint, source_mixing, suffix_dedup, toxicity, url_filter, vector_search
+from reelframe.llm import block_max, byte_bpe, fill_in_middle, html_wrapper, license_scan, near_dedup, personal_data, prefix_fingerprint, source_mixing, suffix_dedup, toxicity, url_filter, vector_search
 
 QUERIES = {
     "op1_segment_topk": vector_search.op1_segment_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_prefix_fingerprint": prefix_fingerprint.op9_prefix_fingerprint,
     "op10_patience_licenses": license_scan.op10_patience_licenses,
     "op11_block_max": block_max.op11_block_max,
+    "op12_wrapper_induction": html_wrapper.op12_wrapper_induction,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 SQL = {
