@@ -20,62 +20,65 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelframe.llm.common import cut, pieces, scratch, table
 
-#: Documents and distinct terms of a document range, as far as one document has no more.
+#: Documents of a range at most; its texts have half a million bytes at most, as far as one document has no more.
 BLOCK_DOCS = 256
-BLOCK_POSTINGS = 60_000
 #: Blocks that each query scores for its first threshold.
 FIRST_BLOCKS = 2
 #: Blocks that a task puts in order of their bounds at once.
 TOGETHER = 32
 #: Terms of the queries that are searched for together; one longer query stands alone.
 BATCH_TERMS = 100_000
-TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").findall
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LOWERED = str.maketrans(UPPER, LOWER)
+#: What terms are made of, byte by byte, and what A-Z become.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+IN_TERM = np.array([x >= 0x80 or chr(x).isalnum() for x in range(256)])
+LOWERED = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
 BLOCKS = "block long, doc_id array<long>, n array<long>, term array<string>, df array<long>, doc array<int>, tf array<int>"
 
 
-def terms_of(text: str | None) -> list[str]:
-    return TERM(text.translate(LOWERED)) if text else []
-
-
-class Range:
-    """A document range while it is filled."""
-
-    def __init__(self):
-        self.ids: list[int | None] = []
-        self.n: list[int] = []
-        self.lists: dict[str, list[tuple[int, int]]] = {}
-        self.postings = 0
-
-    def add(self, doc_id: int | None, terms: list[str]) -> None:
-        at = len(self.ids)
-        self.ids.append(doc_id)
-        self.n.append(len(terms))
-        counts = Counter(terms)
-        self.postings += len(counts)
-        for term, tf in counts.items():
-            self.lists.setdefault(term, []).append((at, tf))
-
-    def full(self, docs: int, postings: int) -> bool:
-        return len(self.ids) >= docs or self.postings >= postings
-
-    def columns(self) -> list[list]:
-        names = sorted(self.lists)
-        lists = [self.lists[x] for x in names]
-        return [self.ids, self.n, names, [len(x) for x in lists], [d for x in lists for d, _ in x], [t for x in lists for _, t in x]]
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of some texts in order, lower-cased, and the text of each."""
+    raw = [(x or "").encode() for x in texts.to_pylist()]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    lengths = np.array([len(x) for x in raw], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    kept = IN_TERM[data]
+    start = kept.copy()
+    start[1:] &= ~kept[:-1]
+    at = begins[lengths > 0]
+    start[at] = kept[at]  # a term ends with its text
+    starts = np.flatnonzero(start)
+    rank = np.r_[0, np.cumsum(kept)]
+    offsets = np.r_[rank[starts], rank[-1]].astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(LOWERED[data[kept]]))])
+    return terms, np.searchsorted(np.cumsum(lengths), starts, side="right")
+
+
+def range_of(doc_id: pa.Array, texts: pa.Array) -> list[pa.Array] | None:
+    """The columns of BLOCKS after the first, for a document range; None without terms."""
+    terms, owner = tokens_of(texts)
+    if not len(terms):
+        return None
+    n = np.bincount(owner, minlength=len(texts))
+    with_terms = np.flatnonzero(n)
+    place = np.cumsum(n > 0) - 1
+    coded = terms.dictionary_encode()
+    # one entry a term and document, in order of both
+    entries, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(texts) + owner, return_counts=True)
+    term, doc = entries // len(texts), place[entries % len(texts)]
+    lists = [(doc_id.take(pa.array(with_terms)), pa.int64()), (n[with_terms], pa.int64()), (coded.dictionary.cast(pa.string()), pa.string()), (np.bincount(term), pa.int64()), (doc, pa.int32()), (tf, pa.int32())]
+    return [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind)) for x, kind in lists]
 
 
 @dataclass
@@ -109,7 +112,7 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield out
 
 
-def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_postings: int = BLOCK_POSTINGS) -> Index:
+def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Index:
     """The index of docs (doc_id long, text). Every row is a document, rows that share an id too; texts without terms are left out.
 
     No rows, or none with terms, give an index without blocks. A document of any
@@ -117,24 +120,11 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_postings: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = Range(), None
-
-        def out() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32())
-            arrays = [pa.array([first], pa.int64()), *(pa.array([x], pa.list_(k)) for x, k in zip(held.columns(), kinds))]
-            return pa.RecordBatch.from_arrays(arrays, ["block", "doc_id", "n", "term", "df", "doc", "tf"])
-
-        for batch in batches:
-            for part in pieces(iter([batch])):
-                for place, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("place", "doc_id", "text"))):
-                    if terms := terms_of(text):
-                        first = place if not held.ids else first
-                        held.add(doc_id, terms)
-                        if held.full(block_docs, block_postings):
-                            yield out()
-                            held = Range()
-        if held.ids:
-            yield out()
+        for batch in pieces(batches):
+            for at in range(0, batch.num_rows, block_docs):
+                part = batch.slice(at, block_docs)
+                if columns := range_of(part.column("doc_id"), part.column("text")):
+                    yield pa.RecordBatch.from_arrays([part.column("place").slice(0, 1), *columns], ["block", "doc_id", "n", "term", "df", "doc", "tf"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = cut(rows.mapInArrow(run, BLOCKS))
@@ -156,7 +146,7 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_postings: i
 class Queries:
     """A batch of queries: for each the terms it has, by number, and times * weight of each."""
 
-    names: dict[str, int]
+    terms: pa.Array
     ids: np.ndarray
     starts: np.ndarray
     term: np.ndarray
@@ -164,19 +154,20 @@ class Queries:
 
     def most_in(self, numbers: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Each query's bound for a block that has these terms, with these maxima."""
-        held = np.zeros(len(self.names), np.int64)
+        held = np.zeros(len(self.terms), np.int64)
         held[numbers] = most
         return np.add.reduceat(self.gain * held[self.term], self.starts)
 
-    def terms(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+    def asked(self, q: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.starts[q], self.starts[q + 1] if q + 1 < len(self.starts) else None)
         return self.term[at], self.gain[at]
 
 
 def known(queries: Queries, term: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The places in a block's terms, and the numbers, of those that some query has."""
-    found = [(i, k) for i, t in enumerate(term.to_pylist()) if (k := queries.names.get(t)) is not None]
-    return np.array([i for i, _ in found], np.int64), np.array([k for _, k in found], np.int64)
+    numbers = pc.index_in(term, value_set=queries.terms)
+    places = np.flatnonzero(numbers.is_valid().to_numpy(zero_copy_only=False))
+    return places, numbers.take(pa.array(places)).to_numpy().astype(np.int64)
 
 
 class Scored:
@@ -194,7 +185,7 @@ class Scored:
 
     def score(self, queries: Queries, q: int) -> np.ndarray:
         out = np.zeros(len(self.doc_id), np.int64)
-        for term, gain in zip(*queries.terms(q)):
+        for term, gain in zip(*queries.asked(q)):
             if (held := self.lists.get(int(term))) is not None:
                 out[held[0]] += gain * held[1]
         return out
@@ -283,12 +274,12 @@ def first_blocks(index: Index, queries: Queries) -> list[tuple[int, int]]:
     return [(r["block"], r["query"]) for r in top.select("block", "query").collect()]  # FIRST_BLOCKS a query of the batch
 
 
-def batch_of(rows: list, n_docs: int) -> Queries:
+def batch_of(rows: list) -> Queries:
     """rows: (query, term, times, w), the terms of whole queries."""
     rows = sorted(rows, key=lambda r: (r["query"], r["term"]))
     names = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
     ids, starts = np.unique([r["query"] for r in rows], return_index=True)
-    return Queries(names, ids, starts, np.array([names[r["term"]] for r in rows], np.int64), np.array([r["times"] * r["w"] for r in rows], np.int64))
+    return Queries(pa.array(list(names), pa.string()), ids, starts, np.array([names[r["term"]] for r in rows], np.int64), np.array([r["times"] * r["w"] for r in rows], np.int64))
 
 
 def weight(n_docs: int, df: Column) -> Column:
@@ -308,7 +299,7 @@ def search(index: Index, items: DataFrame, k: int) -> DataFrame:
     # a query's number is in the written table, so every later job sees the same
     queries = cut(items.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "text").select(F.monotonically_increasing_id().alias("query"), "row", "text"))
     lowered = F.translate("text", UPPER, LOWER)
-    words = F.regexp_extract_all(lowered, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    words = F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
     terms = cut(queries.select("query", F.explode(words).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times")))
     batches = max(1, math.ceil(terms.count() / BATCH_TERMS))
     out = None
@@ -320,7 +311,7 @@ def search(index: Index, items: DataFrame, k: int) -> DataFrame:
         rows = own.join(df, "term").withColumn("w", weight(index.n_docs, F.col("df"))).collect()  # about BATCH_TERMS
         if not rows:
             continue
-        batch = batch_of(rows, index.n_docs)
+        batch = batch_of(rows)
         least = np.zeros(len(batch.ids), np.int64)
         pairs = set(first_blocks(index, batch))
         start = index.blocks.where(F.col("block").isin(sorted({block for block, _ in pairs})))
