@@ -180,10 +180,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, vector): every component as floor(scale * x); vectors null or with null or non-finite components go."""
+    """(vec_id, vector): every component as floor(scale * x).
+
+    Vectors null or with null or non-finite components go, and those with a component that scaling takes beyond the doubles.
+    """
     # floor() of a double is a long; from 2**53 on a double is whole
     whole = lambda y: F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)
-    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(F.lit(scale) * v.cast("double")) < F.lit(float("inf"))))
     return embeddings.where(F.col("embedding").isNotNull() & finite).select("vec_id", F.transform("embedding", lambda v: whole(F.lit(scale) * v.cast("double"))).alias("vector"))
 
 
@@ -197,7 +200,7 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(64 * CAST(x AS DOUBLE)))) = 0
 ), pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id
