@@ -36,7 +36,7 @@ BLOCK_DOCS = 256
 #: Blocks that each query scores for its first threshold.
 FIRST_BLOCKS = 2
 #: Blocks that a task puts in order of their bounds at once.
-TOGETHER = 32
+TOGETHER = 16
 #: Terms of the queries that are searched for together; one longer query stands alone.
 BATCH_TERMS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,7 +94,7 @@ class Index:
 def impact(tf: np.ndarray, n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
     """What a term adds to a document's score for each unit of its weight."""
     m = 75 + (25 * n * n_docs) // max(n_terms, 1)
-    return (1_000_000_000 * tf) // (1_000 * tf + 12 * m)
+    return ((1_000_000_000 * tf) // (1_000 * tf + 12 * m)).astype(np.int32)  # below 10**6
 
 
 def impacts_of(block: dict, n_docs: int, n_terms: int) -> np.ndarray:
@@ -136,7 +136,7 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Index:
             for block in rows_of(batch):
                 starts = np.r_[0, np.cumsum(block["df"])[:-1]]
                 most = np.maximum.reduceat(impacts_of(block, n_docs, n_terms), starts)
-                yield pa.RecordBatch.from_arrays([pa.array([block["block"]], pa.int64()), pa.array([block["term"]], pa.list_(pa.string())), pa.array([most.astype(np.int32)], pa.list_(pa.int32()))], ["block", "term", "most"])
+                yield pa.RecordBatch.from_arrays([pa.array([block["block"]], pa.int64()), pa.array([block["term"]], pa.list_(pa.string())), pa.array([most], pa.list_(pa.int32()))], ["block", "term", "most"])
 
     maxima = cut(blocks.select("block", "n", "term", "df", "doc", "tf").mapInArrow(highest, "block long, term array<string>, most array<int>"))
     return Index(blocks, maxima, n_docs, n_terms)
@@ -179,8 +179,10 @@ class Scored:
         places, self.numbers = known(queries, block["term"])
         starts = np.r_[0, np.cumsum(block["df"])]
         impacts = impacts_of(block, *index)
-        self.lists = {int(k): (block["doc"][starts[i] : starts[i + 1]], impacts[starts[i] : starts[i + 1]]) for i, k in zip(places, self.numbers)}
-        most = np.array([int(self.lists[int(k)][1].max()) for k in self.numbers], np.int64)
+        # copies, so that the batch with all other terms can go
+        own = lambda i: slice(starts[i], starts[i + 1])
+        self.lists = {k: (block["doc"][own(i)].copy(), impacts[own(i)].copy()) for i, k in zip(places.tolist(), self.numbers.tolist())}
+        most = np.array([int(self.lists[k][1].max()) for k in self.numbers.tolist()], np.int64)
         self.bounds = queries.most_in(self.numbers, most)
 
     def score(self, queries: Queries, q: int) -> np.ndarray:
@@ -239,6 +241,7 @@ def found_in(index: Index, blocks: DataFrame, queries: Queries, k: int, least: n
                 if len(held) >= TOGETHER:
                     search_blocks(held, own, best, pairs)
                     held = []
+                    pa.default_memory_pool().release_unused()
         if held:
             search_blocks(held, own, best, pairs)
         q, d, s = zip(*best.rows()) if best.heaps and best.rows() else ((), (), ())
