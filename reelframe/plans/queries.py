@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, planning, text
 from reelframe.operators import clip, cues, events, jobs, live, select
+from reelframe.plans import media, protection
 from reelframe.sources import adapters as a
 from reelframe.sources import manifests, playlists
 
@@ -561,3 +562,8 @@ SQL = {
       CASE WHEN bandwidth < 1024 THEN bandwidth || 'B' WHEN bandwidth < 1048576 THEN printf('%.2fKiB', bandwidth / 1024.0) ELSE printf('%.2fMiB', bandwidth / 1048576.0) END AS size FROM {STR}""",
     "range_headers": f"SELECT stream_id, seg_index, tie, price, printf('bytes=%d-%d', tie, tie + seg_index - 1) AS header, CASE WHEN seg_index < 3 THEN '0000000000000000' ELSE '' END || lpad(CASE WHEN seg_index < 3 THEN printf('%016x', seg_index - 3) ELSE printf('%x', seg_index - 3) END, CASE WHEN seg_index < 3 THEN 16 ELSE 32 END, '0') AS iv FROM {SEG}",
 }
+
+# more queries, each with its SQL, by what they are about
+for more in (media, protection):
+    QUERIES |= more.QUERIES
+    SQL |= more.SQL
