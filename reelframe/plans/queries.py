@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, planning, text
 from reelframe.operators import clip, cues, events, jobs, live, select
-from reelframe.plans import media, protection
+from reelframe.plans import media, protection, subtitles
 from reelframe.sources import adapters as a
 from reelframe.sources import manifests, playlists
 
@@ -564,6 +564,6 @@ SQL = {
 }
 
 # more queries, each with its SQL, by what they are about
-for more in (media, protection):
+for more in (media, protection, subtitles):
     QUERIES |= more.QUERIES
     SQL |= more.SQL
