@@ -133,12 +133,12 @@ def media_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda c: c.cast("string")
     key = F.when(supp % 3 == 0, F.concat(F.lit('#EXT-X-KEY:METHOD=AES-128,URI="k'), said(supp), F.lit('.key"'), F.when(supp % 2 == 0, ",IV=0x000102030405060708090A0B0C0D0E0F").otherwise(""), F.lit("\n"))).when(supp % 3 == 1, "#EXT-X-KEY:METHOD=NONE\n").otherwise("")
     size = F.when(part % 3 == 0, F.concat(F.lit("#EXT-X-BYTERANGE:"), said(part), F.lit("@"), said(supp), F.lit("\n"))).when(part % 3 == 1, F.concat(F.lit("#EXT-X-BYTERANGE:"), said(part), F.lit("\n"))).otherwise("")
-    one = F.concat(F.when(n % 3 == 0, "#EXT-X-DISCONTINUITY\n").otherwise(""), key, F.lit("#EXTINF:"), said(F.col("l_quantity")), F.lit(",title\n"), size, F.lit("seg"), said(part), F.lit(".ts\n"))
+    one = F.concat(F.when(n % 3 == 0, "#EXT-X-DISCONTINUITY\n").otherwise(""), key, F.lit("#EXTINF:"), said(F.col("l_quantity")), F.lit(",title\n"), size, F.when(n % 2 == 0, F.concat(F.lit("#EXT-X-PROGRAM-DATE-TIME: 2024-01-0"), said(n), F.lit("T00:00:00Z\n"))).otherwise(""), F.lit("seg"), said(part), F.lit(".ts\n"))
     each = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER, one.alias("line")))).alias("x"))
     order = F.col("l_orderkey")
     head = F.concat(F.lit("\ufeff#EXTM3U\r\n#EXT-X-TARGETDURATION:"), said(order % 9 + 1), F.lit("\r\n#EXT-X-MEDIA-SEQUENCE:"), said(order % 100), F.lit('\n\n#EXT-X-MAP:URI="init.mp4"\n'))
     body = F.array_join(F.transform("x", lambda x: x["line"]), "")
-    return each.select(order.alias("manifest_id"), F.concat(F.lit("http://cdn.example/m/"), said(order), F.lit("/list.m3u8?q=1")).alias("url"), F.concat(head, body, F.when(order % 2 == 0, "#EXT-X-ENDLIST\n").otherwise("")).alias("text"))
+    return each.select(order.alias("manifest_id"), F.concat(F.lit("http://cdn.example/m/"), said(order), F.lit("/list.m3u8?q=1")).alias("url"), F.concat(head, body, F.when(order % 2 == 0, "#EXT-X-ENDLIST\n#EXTINF:1,\nlate.ts\n").when(order % 7 == 1, "#EXT-X-PLAYLIST-TYPE:VOD\n").otherwise("")).alias("text"))
 
 
 def master_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,13 +235,13 @@ def dash_joined(spark, d):
 
 
 def segment_rows(spark, d):
-    return playlists.media_segments(media_playlists(spark, d)).withColumn("iv", F.lower(F.hex("iv"))).drop("date_time")
+    return playlists.media_segments(media_playlists(spark, d)).withColumn("iv", F.lower(F.hex("iv")))
 
 
 QUERIES = {
     "hls_media": segment_rows,
     "hls_facts": lambda s, d: playlists.playlist_facts(media_playlists(s, d)),
-    "hls_master": lambda s, d: playlists.master_streams(master_playlists(s, d)).drop("pos"),
+    "hls_master": lambda s, d: playlists.master_streams(master_playlists(s, d)).drop("pos", "video_id", "characteristics"),
     "dash_streams": lambda s, d: manifests.dash_streams(dash(s, d)),
     "dash_segments": lambda s, d: manifests.dash_segments(dash(s, d)).drop("seg_pos"),
     "dash_merged": dash_joined,
@@ -378,13 +378,16 @@ SQL = {
         c AS (SELECT *, sum(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, part ORDER BY nth ROWS UNBOUNDED PRECEDING) AS chain, CASE WHEN l_partkey % 3 < 2 THEN l_partkey END AS size FROM p),
         r AS (SELECT *, first_value(CASE WHEN l_partkey % 3 = 0 THEN l_suppkey END) OVER (PARTITION BY l_orderkey, part, chain ORDER BY nth) AS first_start,
             coalesce(sum(size) OVER (PARTITION BY l_orderkey, part, chain ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
-        SELECT l_orderkey AS manifest_id, CAST(part AS INT) AS part, l_orderkey % 100 + nth - 1 AS seg_index, 'http://cdn.example/m/' || l_orderkey || '/seg' || l_partkey || '.ts' AS url, l_quantity AS duration,
+        SELECT l_orderkey AS manifest_id, CAST(part AS INT) AS part, l_orderkey % 100 + nth - 1 AS seg_index, CASE WHEN l_linenumber % 2 = 0 THEN '2024-01-0' || l_linenumber || 'T00:00:00Z' END AS date_time, 'http://cdn.example/m/' || l_orderkey || '/seg' || l_partkey || '.ts' AS url, l_quantity AS duration,
           CAST(CASE WHEN size IS NOT NULL THEN first_start + before END AS BIGINT) AS range_start, CAST(size AS BIGINT) AS range_length, CASE WHEN k >= 0 THEN 'Aes128' ELSE 'None' END AS method,
           CASE WHEN k >= 0 THEN 'http://cdn.example/m/' || l_orderkey || '/k' || k || '.key' END AS key_uri,
-          CASE WHEN k >= 0 AND k % 2 = 0 THEN '000102030405060708090a0b0c0d0e0f' WHEN k >= 0 THEN lower(lpad(to_hex(CAST(l_orderkey % 100 + nth - 1 AS BIGINT)), 32, '0')) END AS iv FROM r""",
+          CASE WHEN k >= 0 AND k % 2 = 0 THEN '000102030405060708090a0b0c0d0e0f' WHEN k >= 0 THEN lower(lpad(to_hex(CAST(l_orderkey % 100 + nth - 1 AS BIGINT)), 32, '0')) END AS iv FROM (SELECT *, max(cuts) OVER (PARTITION BY l_orderkey) AS last_cut FROM r) WHERE l_orderkey % 2 = 0 OR l_orderkey % 7 <> 1 OR cuts < last_cut""",
     "hls_facts": """
-        SELECT l_orderkey AS manifest_id, CAST(l_orderkey % 9 + 1 AS DOUBLE) AS target_duration, l_orderkey % 2 <> 0 AS is_live,
-          CASE WHEN l_orderkey % 2 <> 0 THEN CAST((l_orderkey % 9 + 1) * 2000 AS BIGINT) END AS refresh_ms, 'http://cdn.example/m/' || l_orderkey || '/init.mp4' AS map_url FROM (SELECT DISTINCT l_orderkey FROM lineitem)""",
+        WITH n AS (SELECT *, row_number() OVER w AS nth, sum(CASE WHEN l_linenumber % 3 = 0 THEN 1 ELSE 0 END) OVER w AS cuts FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {lines} ROWS UNBOUNDED PRECEDING)),
+        c AS (SELECT *, sum(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey, cuts ORDER BY nth ROWS UNBOUNDED PRECEDING) AS started FROM n)
+        SELECT l_orderkey AS manifest_id, CAST(l_orderkey % 9 + 1 AS DOUBLE) AS target_duration, l_orderkey % 2 <> 0 AND l_orderkey % 7 <> 1 AS is_live, NULL::BIGINT AS map_start, NULL::BIGINT AS map_length,
+          CASE WHEN bool_or(l_partkey % 3 = 1 AND started = 0) THEN 'byte range without a start' END AS error,
+          CASE WHEN l_orderkey % 2 <> 0 AND l_orderkey % 7 <> 1 THEN CAST((l_orderkey % 9 + 1) * 2000 AS BIGINT) END AS refresh_ms, 'http://cdn.example/m/' || l_orderkey || '/init.mp4' AS map_url FROM c GROUP BY l_orderkey""".replace("{lines}", ", ".join(LINE_ORDER)),
     "hls_master": f"""
         SELECT manifest_id, media_type, CASE WHEN media_type IS NOT NULL THEN group_id END AS group_id, CASE WHEN media_type IS NOT NULL THEN nullif(language, '') END AS language,
           CASE WHEN media_type IS NOT NULL THEN name END AS name, CASE WHEN media_type IS NOT NULL THEN channels END AS channels, CASE WHEN media_type IS NULL THEN coalesce(bandwidth, 0) END AS bandwidth,
