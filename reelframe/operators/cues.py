@@ -5,6 +5,9 @@ Cues are rows (doc_id, cue_pos, start_ms, end_ms, payload, settings).
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,24 +26,38 @@ def from_base(cues: DataFrame, base_ms: int) -> DataFrame:
     return cues.withColumns({c: F.when(moves, F.col(c) - base_ms).otherwise(F.col(c)) for c in ("start_ms", "end_ms")})
 
 
+def extend(kept: list[list], seen: Counter, cues: list[list]) -> None:
+    """Adds cues [start, end, payload, settings, ...] to those kept: not again, and one that goes on where the last ended, with its payload, extends it."""
+    for c in cues:
+        if seen[tuple(c[:4])]:
+            continue
+        last = kept[-1] if kept else None
+        if last and c[0] - last[1] <= 1 and c[2] == last[2]:
+            seen[tuple(last[:4])] -= 1
+            last[1] = c[1]
+            c = last
+        else:
+            kept.append(c)
+        seen[tuple(c[:4])] += 1
+
+
 def merged(cues: DataFrame) -> DataFrame:
     """Cues of a document, in order, without repeats; a cue that goes on where the last one ended, with the same payload, extends it.
 
     The rule depends on what was kept so far, so it is a fold over one
-    document's cues (a few thousand), not a window.
+    document's cues, linear in them; documents are dealt out.
     """
-    cue = F.struct("cue_pos", "start_ms", "end_ms", "payload", "settings")
-    lists = cues.groupBy(BY).agg(F.array_sort(F.collect_list(cue)).alias("cues"))
-    none = F.expr("cast(array() as array<struct<cue_pos:bigint,start_ms:bigint,end_ms:bigint,payload:string,settings:string>>)")
-    same = lambda a, b: (a["start_ms"] == b["start_ms"]) & (a["end_ms"] == b["end_ms"]) & (a["payload"] == b["payload"]) & (a["settings"] == b["settings"])
-
-    def add(kept: Column, c: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        longer = F.struct(last["cue_pos"].alias("cue_pos"), last["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), last["payload"].alias("payload"), last["settings"].alias("settings"))
-        goes_on = F.coalesce((c["start_ms"] - last["end_ms"] <= 1) & (c["payload"] == last["payload"]), F.lit(False))
-        return F.when(F.exists(kept, lambda k: same(k, c)), kept).when(goes_on, F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(kept, F.array(c)))
-
-    return lists.select(BY, F.inline(F.aggregate("cues", none, add)))
+    kind = cues.schema[BY].dataType.simpleString()
+
+    def fold(group: pa.Table) -> pa.Table:
+        kept: list[list] = []
+        rows = sorted(zip(*(group[c].to_pylist() for c in ("cue_pos", "start_ms", "end_ms", "payload", "settings"))), key=lambda r: r[0])
+        extend(kept, Counter(), [[*r[1:], r[0]] for r in rows])
+        start, end, payload, settings, pos = zip(*kept)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.Table.from_arrays([pa.array([group[BY][0].as_py()] * len(kept), group[BY].type), *(pa.array(x, t) for x, t in zip((pos, start, end, payload, settings), kinds))], [BY, "cue_pos", "start_ms", "end_ms", "payload", "settings"])
+
+    return cues.select(BY, "cue_pos", "start_ms", "end_ms", "payload", "settings").groupBy(BY).applyInArrow(fold, f"{BY} {kind}, cue_pos long, start_ms long, end_ms long, payload string, settings string")
 
 
 def grouped(cues: DataFrame) -> DataFrame:

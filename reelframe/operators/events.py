@@ -120,12 +120,23 @@ def bitfield(events: DataFrame) -> DataFrame:
 
 
 def stalls(events: DataFrame, most: int, step: str = "1 day") -> DataFrame:
-    """(session_id, tick, run): ticks without a downloaded byte, each with the length of the run that it ends; runs of `most` stop a download."""
-    ticks = events.groupBy(BY, F.window("ts", step)["start"].alias("tick")).agg(F.sum(F.when(F.col("kind") == "StreamProgress", F.col("downloaded_bytes")).otherwise(0)).alias("bytes"))
-    by = Window.partitionBy(BY).orderBy("tick")
-    x = ticks.withColumn("island", F.sum((F.col("bytes") > 0).cast("long")).over(by))
-    run = F.row_number().over(Window.partitionBy(BY, "island").orderBy("tick")) - F.when(F.min("bytes").over(Window.partitionBy(BY, "island")) > 0, 0).otherwise(F.when(F.max("bytes").over(Window.partitionBy(BY, "island")) > 0, 1).otherwise(0))
-    return x.withColumn("run", run.cast("long")).where(F.col("bytes") == 0).withColumn("stop", F.col("run") >= most).select(BY, "tick", "run", "stop")
+    """(session_id, tick, run, stop): ticks without a new byte, each with the length of the run that it ends; a run of `most` stops a download.
+
+    Progress tells a stream's bytes so far, so what is new in a tick is by how
+    much their maximum rises. All ticks from a session's first event to its last
+    count, those without events too.
+    """
+    at = F.window("ts", step)["start"].alias("tick")
+    so_far = events.where(F.col("kind") == "StreamProgress").groupBy(BY, "stream_id", at).agg(F.max("downloaded_bytes").alias("most"))
+    by = Window.partitionBy(BY, "stream_id").orderBy("tick")
+    rise = F.col("most") - F.coalesce(F.max("most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    new = so_far.withColumn("rise", F.greatest(rise, F.lit(0))).groupBy(BY, "tick").agg(F.sum("rise").alias("bytes"))
+    span = events.groupBy(BY).agg(F.min(F.window("ts", step)["start"]).alias("first"), F.max(F.window("ts", step)["start"]).alias("last"))
+    ticks = span.select(BY, F.explode(F.sequence("first", "last", F.expr(f"interval {step}"))).alias("tick"))
+    x = ticks.join(new, [BY, "tick"], "left").withColumn("moved", F.coalesce("bytes", F.lit(0)) > 0)
+    x = x.withColumn("island", F.sum(F.col("moved").cast("long")).over(Window.partitionBy(BY).orderBy("tick"))).where(~F.col("moved"))
+    run = F.row_number().over(Window.partitionBy(BY, "island").orderBy("tick")).cast("long")
+    return x.withColumn("run", run).withColumn("stop", F.col("run") >= most).select(BY, "tick", "run", "stop")
 
 
 def items_per_second(items: Column, elapsed_ms: Column) -> Column:

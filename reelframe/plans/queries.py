@@ -295,7 +295,7 @@ QUERIES = {
     "job_lookup": lambda s, d: jobs.lookup(queue(s, d), queue(s, d).select(F.left("gid", F.lit(3)).alias("prefix")).distinct(), 3),
     "job_status": lambda s, d: jobs.status(queue(s, d), ["gid", "status", "completed_length"]),
     "merged_cues": lambda s, d: cues.merged(lines(s, d)),
-    "grouped_cues": lambda s, d: cues.grouped(lines(s, d).withColumn("end_ms", F.col("start_ms")).withColumn("start_ms", F.lit(0).cast("long")).withColumn("end_ms", F.lit(1).cast("long"))),
+    "grouped_cues": lambda s, d: cues.grouped(lines(s, d).withColumns({"start_ms": F.expr("cue_pos div 3 * 1000"), "end_ms": F.expr("cue_pos div 3 * 1000 + cue_pos % 2 + 1")})),
     "shifted_cues": lambda s, d: cues.from_base(cues.left_shift(lines(s, d), 1500), 500).select("doc_id", "cue_pos", "start_ms", "end_ms"),
     "cues_as_srt": lambda s, d: cues.as_text(lines(s, d), "srt"),
     "cues_as_vtt": lambda s, d: cues.as_text(lines(s, d)),
@@ -505,8 +505,11 @@ SQL = {
       t AS (SELECT session_id, CAST(sum(pieces) AS BIGINT) AS n_pieces FROM o GROUP BY session_id),
       b AS (SELECT session_id, n_pieces, unnest(range((n_pieces + 7) // 8)) AS byte FROM t)
       SELECT t.session_id, t.n_pieces, coalesce(x, '') AS bitfield FROM t LEFT JOIN (SELECT b.session_id, string_agg(printf('%02x', coalesce(v, 0)), '' ORDER BY b.byte) AS x FROM b LEFT JOIN held h ON h.session_id = b.session_id AND h.byte = b.byte GROUP BY b.session_id) y USING (session_id)""",
-    "stalled_ticks": f"""WITH t AS (SELECT session_id, date_trunc('day', ts) AS tick, sum(CASE WHEN {STREAM} THEN downloaded_bytes ELSE 0 END) AS b FROM {EVT} GROUP BY ALL),
-      i AS (SELECT *, sum(CASE WHEN b > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY tick) AS island FROM t),
+    "stalled_ticks": f"""WITH p AS (SELECT session_id, stream_id, date_trunc('day', ts) AS tick, max(downloaded_bytes) AS m FROM {EVT} WHERE {STREAM} GROUP BY ALL),
+      r AS (SELECT session_id, tick, greatest(m - coalesce(max(m) OVER (PARTITION BY session_id, stream_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS rise FROM p),
+      n AS (SELECT session_id, tick, sum(rise) AS b FROM r GROUP BY ALL),
+      t AS (SELECT session_id, unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 DAY)) AS tick FROM {EVT} GROUP BY session_id),
+      i AS (SELECT t.session_id, t.tick, coalesce(b, 0) AS b, sum(CASE WHEN coalesce(b, 0) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY t.session_id ORDER BY t.tick) AS island FROM t LEFT JOIN n ON n.session_id = t.session_id AND n.tick = t.tick),
       z AS (SELECT session_id, tick, row_number() OVER (PARTITION BY session_id, island ORDER BY tick) AS run FROM i WHERE b = 0)
       SELECT session_id, tick, run, run >= 2 AS stop FROM z""",
     "queue_order": f"SELECT gid, row_number() OVER (ORDER BY {QUEUE_ORDER}) - 1 AS place FROM {JOB} WHERE status = 'waiting'",
@@ -529,7 +532,7 @@ SQL = {
         UNION ALL SELECT c.doc_id, c.n, CASE WHEN m THEN f.cue_pos ELSE c.cue_pos END, CASE WHEN m THEN f.start_ms ELSE c.start_ms END, c.end_ms, c.payload, CASE WHEN m THEN f.settings ELSE c.settings END
         FROM (SELECT f.*, c2.start_ms - f.end_ms <= 1 AND c2.payload = f.payload AS m FROM f JOIN c c2 ON c2.doc_id = f.doc_id AND c2.n = f.n + 1) f JOIN c ON c.doc_id = f.doc_id AND c.n = f.n + 1)
       SELECT doc_id, cue_pos, start_ms, end_ms, payload, settings FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, cue_pos ORDER BY n DESC) = 1""",
-    "grouped_cues": f"SELECT doc_id, min(cue_pos) AS cue_pos, CAST(0 AS BIGINT) AS start_ms, CAST(1 AS BIGINT) AS end_ms, string_agg(payload, e'\\r\\n' ORDER BY cue_pos) AS payload FROM {CUE} GROUP BY doc_id",
+    "grouped_cues": f"SELECT doc_id, min(cue_pos) AS cue_pos, cue_pos // 3 * 1000 AS start_ms, cue_pos // 3 * 1000 + cue_pos % 2 + 1 AS end_ms, string_agg(payload, e'\\r\\n' ORDER BY cue_pos) AS payload FROM {CUE} GROUP BY doc_id, cue_pos // 3, cue_pos % 2",
     "shifted_cues": f"""WITH s AS (SELECT doc_id, cue_pos, greatest(start_ms - 1500, 0) AS b, greatest(end_ms - 1500, 0) AS f FROM {CUE}),
       m AS (SELECT *, min(CASE WHEN b >= 500 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY cue_pos) AS ok FROM s)
       SELECT doc_id, cue_pos, CASE WHEN ok = 1 THEN b - 500 ELSE b END AS start_ms, CASE WHEN ok = 1 THEN f - 500 ELSE f END AS end_ms FROM m""",

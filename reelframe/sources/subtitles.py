@@ -6,6 +6,7 @@ by seg_pos. Lines and blocks are windows over one document.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import groupby
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions import moments
+from reelframe.operators import cues as cue_rules
 
 KEYS = ["doc_id", "seg_pos"]
 #: Fixed values of the format.
@@ -93,7 +95,7 @@ def joined(cues: DataFrame, clocks: DataFrame) -> DataFrame:
 
     def fold(group: pa.Table) -> pa.Table:
         kept: list[list] = []
-        seen: dict[tuple, int] = {}
+        seen: Counter = Counter()
         own = None
         of_segment = lambda r: (r["seg_pos"], r["mpegts"])
         ordered = sorted(group.to_pylist(), key=lambda r: (r["seg_pos"], r["cue_pos"] or 0))
@@ -102,24 +104,13 @@ def joined(cues: DataFrame, clocks: DataFrame) -> DataFrame:
             if own is None:
                 own = clock
                 kept = rows
-                for r in rows:
-                    seen[tuple(r)] = seen.get(tuple(r), 0) + 1
+                seen.update(tuple(r) for r in rows)
                 continue
             if clock and (rows[0][0] < kept[-1][1] and rows[0][1] != kept[-1][1] if rows and kept else not kept):
                 shift = int((clock - own) / CLOCK) * 1000
                 if rows and rows[0][0] < shift:
                     rows = [[a + shift, b + shift, p, s] for a, b, p, s in rows]
-            for r in rows:
-                if seen.get(tuple(r)):
-                    continue
-                last = kept[-1] if kept else None
-                if last and r[0] - last[1] <= 1 and r[2] == last[2]:
-                    seen[tuple(last)] -= 1
-                    last[1] = r[1]
-                    r = last
-                else:
-                    kept.append(r)
-                seen[tuple(r)] = seen.get(tuple(r), 0) + 1
+            cue_rules.extend(kept, seen, rows)
         start, end, payload, settings = zip(*kept) if kept else ((),) * 4
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = [pa.array(x, t) for x, t in zip((range(len(kept)), start, end, payload, settings), kinds)]
