@@ -53,6 +53,9 @@ SQL = {
       FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 5 AS m FROM orders)""",
     "signed_values": """SELECT o_orderkey AS id, translate(to_base64(unhex(md5((o_orderkey * 1000 + 60005) || '/p/' || o_custkey || 'secret'))), '+/', '-_') || ',' || (o_orderkey * 1000 + 60005) AS signed,
         CASE WHEN o_orderkey % 40 BETWEEN 15 AND 31 THEN CAST((o_orderkey % 40 - 15) * 86400 + 43200 AS BIGINT) END AS wait FROM orders""",
-    "filter_texts": f"""SELECT manifest_id, stream_pos FROM {a.as_sql(a.STREAMS)} s JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) g ON l_orderkey = stream_pos
-      WHERE (codecs LIKE 'avc1%' OR codecs LIKE 'hvc1%') AND (language LIKE '%en%' OR language LIKE '%fr%') AND bandwidth >= 50000 AND n >= 2""",
+    # a least number of segments is to be exceeded, unless a stream of the manifest has none
+    "filter_texts": f"""WITH t AS (SELECT s.manifest_id, stream_pos, bandwidth, coalesce(n, 0) AS n, min(coalesce(n, 0)) OVER (PARTITION BY manifest_id) AS least
+        FROM {a.as_sql(a.STREAMS)} s LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) g ON l_orderkey = stream_pos
+        WHERE (codecs LIKE 'avc1%' OR codecs LIKE 'hvc1%') AND (language LIKE '%en%' OR language LIKE '%fr%'))
+      SELECT manifest_id, stream_pos FROM t WHERE bandwidth >= 50000 AND (least <= 0 OR n > 2)""",
 }
