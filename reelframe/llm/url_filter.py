@@ -27,7 +27,9 @@ from reelframe.llm.common import boxed, cut, table, unboxed
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Characters of the longest context. ^ stands before a token, $ after it.
-ORDER = 5
+ORDER = 10
+#: Rows of counts of short grams and of short contexts up to which they are broadcast: any gram joins them.
+SHORT_ROWS = 50_000
 #: The probability of a character that no context says anything about.
 UNIFORM = 1 / 256
 DELIMITERS = "/?#&=:.@_~%+-"
@@ -99,8 +101,16 @@ def ratios(gram: DataFrame, own: DataFrame, context: DataFrame) -> DataFrame:
     Both models smooth to the same uniform distribution, so without any labelled
     URL every ratio is zero.
     """
-    each = gram.select("gram", F.explode(ends(F.col("gram"))).alias("own"))
-    each = each.join(own, "own", "left").withColumn("context", before(F.col("own"))).join(context, "context", "left")
+    each = gram.select("gram", F.explode(ends(F.col("gram"))).alias("own")).withColumn("context", before(F.col("own")))
+    # the empty context and single characters stand behind nearly every gram: as keys of an exchange they would be hot
+    short = lambda df, c, n: df.where(F.length(c) <= n)
+    few_own, few = short(own, "own", 2), short(context, "context", 1)
+    if few_own.count() <= SHORT_ROWS and few.count() <= SHORT_ROWS:
+        near = short(each, "own", 2).join(F.broadcast(few_own), "own", "left").join(F.broadcast(few), "context", "left")
+        far = each.where(F.length("own") > 2).join(own, "own", "left").join(context, "context", "left")
+        each = near.unionByName(far)
+    else:
+        each = each.join(own, "own", "left").join(context, "context", "left")
     known = [F.coalesce(c, F.lit(0)).alias(c) for c in ("a", "r", "total_a", "kinds_a", "total_r", "kinds_r")]
     # at most ORDER + 1 rows a gram
     levels = each.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct(F.length("own").alias("k"), *known))).alias("levels"))
@@ -161,10 +171,9 @@ def _rule_sql(column: int) -> str:
 
 
 def _chance_sql(n: str) -> str:
-    p = repr(UNIFORM)
-    for k in range(1, ORDER + 2):
-        p = f"(CASE WHEN coalesce(t{n}{k}, 0) > 0 THEN (coalesce({n}{k}, 0) + k{n}{k} * {p}) / (t{n}{k} + k{n}{k}) ELSE {p} END)"
-    return f"ln({p})"
+    """Columns p{n}1 to the last, each by the one before it."""
+    step = lambda k, p: f"CASE WHEN coalesce(t{n}{k}, 0) > 0 THEN (coalesce({n}{k}, 0) + k{n}{k} * {p}) / (t{n}{k} + k{n}{k}) ELSE {p} END AS p{n}{k}"
+    return ", ".join(step(k, repr(UNIFORM) if k == 1 else f"p{n}{k - 1}") for k in range(1, ORDER + 2))
 
 
 _LEVELS = range(1, ORDER + 2)
@@ -186,7 +195,8 @@ d AS (SELECT DISTINCT gram FROM g),
 u AS (SELECT gram, k, right(gram, k) AS own, substr(right(gram, k), 1, k - 1) AS context FROM d, (SELECT unnest(range(1, {ORDER + 2})) AS k) WHERE k <= length(gram)),
 v AS (SELECT gram, {", ".join(f"max(CASE WHEN k = {k} THEN {c} END) AS {c}{k}" for k in _LEVELS for c in ("a", "r", "ta", "ka", "tr", "kr"))}
   FROM (SELECT u.gram, u.k, o.a::DOUBLE AS a, o.r::DOUBLE AS r, c.ta::DOUBLE AS ta, c.ka::DOUBLE AS ka, c.tr::DOUBLE AS tr, c.kr::DOUBLE AS kr FROM u LEFT JOIN o USING (own) LEFT JOIN c USING (context)) GROUP BY gram),
-m AS (SELECT gram, CAST(floor(({_chance_sql("a")} - {_chance_sql("r")}) * {SCALE}) AS BIGINT) AS ratio FROM v),
+q AS (SELECT gram, {_chance_sql("a")}, {_chance_sql("r")} FROM v),
+m AS (SELECT gram, CAST(floor((ln(pa{ORDER + 1}) - ln(pr{ORDER + 1})) * {SCALE}) AS BIGINT) AS ratio FROM q),
 b AS (SELECT token, sum(ratio) AS total, count(*) AS length FROM g JOIN m USING (gram) GROUP BY token),
 sc AS (SELECT url, CAST(floor(sum(total) / CAST(sum(length) AS DOUBLE)) AS BIGINT) AS score FROM t JOIN b USING (token) GROUP BY url),
 f AS (SELECT j.*, coalesce(sc.score, 0) AS score FROM j LEFT JOIN sc USING (url)),
