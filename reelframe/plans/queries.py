@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, planning, text
 from reelframe.operators import clip, cues, events, jobs, live, select
-from reelframe.plans import grammar, media, protection, raw, subtitles, ttml
+from reelframe.plans import grammar, media, protection, raw, reports, subtitles, ttml
 from reelframe.sources import adapters as a
 from reelframe.sources import manifests, playlists
 
@@ -570,6 +570,6 @@ SQL = {
 }
 
 # more queries, each with its SQL, by what they are about
-for more in (grammar, media, protection, raw, subtitles, ttml):
+for more in (grammar, media, protection, raw, reports, subtitles, ttml):
     QUERIES |= more.QUERIES
     SQL |= more.SQL
