@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, planning, text
 from reelframe.operators import clip, cues, events, jobs, live, select
+from reelframe.operators.lineage import settled
 from reelframe.plans import grammar, media, protection, raw, reports, subtitles, ttml
 from reelframe.sources import adapters as a
 from reelframe.sources import manifests, playlists
@@ -230,7 +231,7 @@ def dash(spark, d):
 
 
 def dash_joined(spark, d):
-    found = dash(spark, d)
+    found = settled(dash(spark, d))  # streams and segments, twice, come from one parse
     return manifests.merged(manifests.dash_streams(found), manifests.dash_segments(found)).select("manifest_id", "period_pos", "set_pos", "part", "seg_index", "url", "duration")
 
 
