@@ -174,7 +174,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN
 
     Each match of the pattern is encoded separately, without special tokens. A
     null text counts as empty and has no ids. A column that is already named
-    `ids` is replaced.
+    `ids` is replaced. Repeated rows are encoded alike; no rows give no rows. A
+    text of any length is encoded whole, in memory in proportion to it.
     """
     kept = docs.drop(ids)
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(ranks), pattern))  # fixed size: the vocabulary
@@ -227,6 +228,7 @@ def encode_and_decode(docs: DataFrame, ranks: str, pattern: str = public_tokeniz
 
     As encode() and decode() one after the other, but with one Python process a
     task, and without texts that travel back. Columns of those names are replaced.
+    Nulls, repeated rows, no rows and very long texts are as in encode().
     """
     kept = docs.drop("ids", "decoded")
     rest = [f for f in kept.schema.fields if f.name != "text"]
