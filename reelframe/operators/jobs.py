@@ -54,16 +54,19 @@ def retained(jobs: DataFrame, most: int) -> DataFrame:
 
 
 def moved(jobs: DataFrame, gid: str, position: int, how: str) -> DataFrame:
-    """The queue (gid, place) after one job moved: POS_SET, POS_CUR or POS_END, as far as there is room."""
+    """The queue (gid, place) after one job moved: POS_SET, POS_CUR or POS_END, as far as there is room.
+
+    A job that is not in the queue fails the query when it runs; nothing runs before that.
+    """
     queue = numbered(jobs.where(F.col("status").isin(*QUEUED)))
-    found = queue.agg(F.max(F.when(F.col("gid") == gid, F.col("place"))).alias("current"), (F.count("*") - 1).alias("others")).first()
-    if found["current"] is None:
-        raise ValueError(f"not in the queue: {gid}")
-    target = {"POS_SET": position, "POS_CUR": found["current"] + position, "POS_END": found["others"] + position}[how]
-    target = min(max(0, target), found["others"])
-    without = F.when(F.col("place") > found["current"], F.col("place") - 1).otherwise(F.col("place"))
-    place = F.when(F.col("gid") == gid, F.lit(target)).when(without >= target, without + 1).otherwise(without)
-    return queue.select("gid", place.alias("place"))
+    found = queue.agg(F.struct(F.max(F.when(F.col("gid") == gid, F.col("place"))).alias("current"), (F.count("*") - 1).alias("others")).alias("found")).scalar()
+    x = queue.select("gid", "place", found.alias("found")).select("gid", "place", "found.*")
+    current = F.coalesce("current", F.raise_error(F.lit(f"not in the queue: {gid}")).cast("long"))
+    target = {"POS_SET": F.lit(position), "POS_CUR": F.col("current") + position, "POS_END": F.col("others") + position}[how]
+    x = x.withColumn("current", current).withColumn("target", F.least(F.greatest(target, F.lit(0)), F.col("others")))
+    without = F.when(F.col("place") > F.col("current"), F.col("place") - 1).otherwise(F.col("place"))
+    place = F.when(F.col("gid") == gid, F.col("target")).when(without >= F.col("target"), without + 1).otherwise(without)
+    return x.select("gid", place.alias("place"))
 
 
 def to_front(jobs: DataFrame, gid: str) -> DataFrame:

@@ -111,20 +111,24 @@ def wait_seconds(segments: DataFrame, override: int | None = None) -> DataFrame:
     return least.select(wait.cast("long").alias("wait"))
 
 
-def aligned_start(segments: DataFrame, by: str, take: int) -> DataFrame:
+def aligned_start(segments: DataFrame, by: str, take: int, time: str | None = None) -> DataFrame:
     """Segments of a manifest's streams from their common start on, the shortest with take - 1 of them.
 
-    The start is the largest of the streams' least indexes. Streams of a
-    manifest are few; both steps are aggregates and one window by stream.
+    The start is the largest of the streams' least indexes; with a column of
+    times, the largest of their least times, where all of a manifest's segments
+    have one. All is windows over one exchange by manifest.
     """
-    least = segments.groupBy(by, "stream_id").agg(F.min("seg_index").alias("least"))
-    start = least.groupBy(by).agg(F.max("least").alias("start"))
-    cut = segments.join(start, by).where(F.col("seg_index") >= F.col("start")).drop("start")
-    stream = Window.partitionBy(by, "stream_id")
-    x = cut.withColumn("_all", F.count("*").over(stream)).withColumn("_n", F.row_number().over(stream.orderBy("seg_index", "tie", "price")))
-    counts = cut.groupBy(by, "stream_id").count().groupBy(by).agg(F.min("count").alias("fewest"), F.max("count").alias("most"))
-    skip: Column = F.when(F.col("most") <= take, 0).otherwise(F.greatest(F.col("fewest") - take + 1, F.lit(0)))
-    return x.join(counts, by).where(F.col("_n") > skip).drop("_all", "_n", "fewest", "most")
+    whole, stream = Window.partitionBy(by), Window.partitionBy(by, "stream_id")
+    at = F.col("seg_index").cast("long")
+    x = segments.repartition(F.col(by))
+    if time is not None:
+        x = x.withColumn("_timed", F.min(F.col(time).isNotNull()).over(whole))
+        at = F.when(F.col("_timed"), F.col(time).cast("long")).otherwise(at)
+    x = x.withColumn("_at", at).withColumn("_least", F.min("_at").over(stream)).withColumn("_start", F.max("_least").over(whole)).where("_at >= _start")
+    x = x.withColumn("_all", F.count("*").over(stream)).withColumn("_n", F.row_number().over(stream.orderBy("seg_index", "tie", "price")))
+    x = x.withColumns({"_fewest": F.min("_all").over(whole), "_most": F.max("_all").over(whole)})
+    skip: Column = F.when(F.col("_most") <= take, 0).otherwise(F.greatest(F.col("_fewest") - take + 1, F.lit(0)))
+    return x.where(F.col("_n") > skip).select(*segments.columns)
 
 
 def same_names(segments: DataFrame, by: str) -> DataFrame:

@@ -246,3 +246,21 @@ def test_every_order_is_split(spark, small):
     got = queries.QUERIES["range_split_all"](spark, small).select("o_orderkey", "file_size", "index", "start_range", "expected_length", "is_valid").collect()
     assert sorted(map(tuple, got)) == sorted(wanted)
     assert any(key % 20 for key, *_ in wanted)
+
+
+def test_aligned_start_by_times(spark):
+    rows = [(1, 1, i, 100 + i) for i in range(5)] + [(1, 2, i, 102 + i) for i in range(5)] + [(2, 3, i, None if i == 1 else 7 + i) for i in range(3)] + [(2, 4, i + 1, 1 + i) for i in range(3)]
+    x = spark.createDataFrame([(*r, 0, 0.0) for r in rows], "manifest_id long, stream_id long, seg_index long, at long, tie long, price double")
+    found = lambda **more: sorted((r["stream_id"], r["seg_index"]) for r in live.aligned_start(x, "manifest_id", 9, **more).collect())
+    # by times stream 1 begins two later; the other manifest lacks a time and goes by index
+    assert found(time="at") == [(1, 2), (1, 3), (1, 4), *((2, i) for i in range(5)), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)]
+    assert found() == [*((s, i) for s in (1, 2) for i in range(5)), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)]
+    assert live.aligned_start(x, "manifest_id", 3, time="at").columns == x.columns
+
+
+def test_a_move_of_a_job_that_is_not_queued_fails(spark):
+    import pytest
+
+    q = spark.createDataFrame([("a", "waiting", 0, 0), ("b", "active", 1, 0)], "gid string, status string, queue_position long, created_at_ms long")
+    with pytest.raises(Exception, match="not in the queue"):
+        jobs.moved(q, "b", 0, "POS_SET").collect()
