@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelframe.functions.once import let
+
 #: The systems' identifiers.
 WIDEVINE, PLAYREADY, FAIRPLAY = "edef8ba979d64acea3c827dcd51d21ed", "9a04f07998404286ab92e65be0885f95", "94ce86fb07ff4f43adb893d2fa968ca2"
 #: The numbers that stand for sampling rates in audio configurations.
@@ -44,11 +46,6 @@ def joined(*parts: Column) -> Column:
     return F.concat(*parts) if parts else raw("")
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with the value computed once: sizes of nested boxes would else double the expression at each level."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def box(name: str | Column, *parts: Column, wide: bool = False) -> Column:
     """A box of a four-letter name; wide: its size takes 64 bits."""
     if wide:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelframe.functions.once import let
+
 #: Markers whose value is cut up to white space or one of & , " and those whose value is cut up to the next &.
 SECRET_MARKERS = ("key=", "decryption_key ", "--key ")
 SECRET_QUERIES = ("token=", "signature=", "sig=", "Policy=", "Key-Pair-Id=")
@@ -91,20 +95,30 @@ def label(*parts: Column) -> Column:
 def template(text: Column, values: dict[str, Column]) -> Column:
     """$Name$ replaced; $Number%05d$ pads with zeros, and never cuts digits."""
     for name, value in values.items():
-        width = F.coalesce(F.regexp_extract(text, rf"\${name}%0(\d+)d\$", 1).try_cast("int"), F.lit(0))
-        plain = value.cast("string")
-        padded = F.concat(F.repeat(F.lit("0"), F.greatest(width - F.length(plain), F.lit(0))), plain)
-        text = F.regexp_replace(text, F.lit(rf"\${name}%0\d+d\$"), padded)
-        text = F.replace(text, F.lit(f"${name}$"), F.coalesce(plain, F.lit("")))
+        text = let(F.struct(text.alias("text"), value.cast("string").alias("value")), _filler(name))
     return text
 
 
+def _filler(name: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(x["text"].contains(f"${name}"), _filled(x["text"], name, x["value"])).otherwise(x["text"])
+
+
+def _filled(text: Column, name: str, plain: Column) -> Column:
+    width = F.coalesce(F.regexp_extract(text, rf"\${name}%0(\d+)d\$", 1).try_cast("int"), F.lit(0))
+    padded = F.concat(F.repeat(F.lit("0"), F.greatest(width - F.length(plain), F.lit(0))), plain)
+    return F.replace(F.regexp_replace(text, F.lit(rf"\${name}%0\d+d\$"), padded), F.lit(f"${name}$"), F.coalesce(plain, F.lit("")))
+
+
 def combine_url(base: Column, ref: Column) -> Column:
     """ref as seen from base: absolute, from the host's root, a query only, or beside the base's last name."""
+    return let(F.struct(base.alias("base"), ref.alias("ref")), lambda x: let(_seen_from(x["base"], x["ref"]), _without_dots))
+
+
+def _seen_from(base: Column, ref: Column) -> Column:
     origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     bare = base.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?(?:[?#]|$)")
     folder = F.when(bare, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(base, "^([^?#]*/)", 1))
-    full = (
+    return (
         F.when(ref.rlike(ABSOLUTE), ref)
         .when(ref.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), ref))
         .when(ref.startswith("/"), F.concat(origin, ref))
@@ -112,6 +126,9 @@ def combine_url(base: Column, ref: Column) -> Column:
         .when(ref == "", base)
         .otherwise(F.concat(folder, ref))
     )
+
+
+def _without_dots(full: Column) -> Column:
     head = F.regexp_extract(full, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(F.substr(full, F.length(head) + 1), "^([^?#]*)", 1)
     rest = F.substr(full, F.length(head) + F.length(path) + 1)

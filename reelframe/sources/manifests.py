@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelframe.functions import moments, text as names
+from reelframe.functions.once import let
 
 XML = {"attributePrefix": "_", "ignoreNamespace": "true", "mode": "PERMISSIVE"}
 _INIT = "Initialization: struct<_sourceURL: string, _range: string>"
@@ -100,13 +101,15 @@ def representations(documents: DataFrame, now: Column | None = None) -> DataFram
     numbered = F.when(F.col("ticks") > 0, F.array(_run("number", t=behind, n=count, seconds=F.col("ticks") / F.col("scale")))).otherwise(none)
     # an entry without a media template has no segments of its own
     templated = F.when(F.col("media").isNull(), none).when(F.col("line").isNotNull(), F.coalesce(timeline, none)).otherwise(numbered)
-    runs = F.filter(F.concat(whole, urls, templated), lambda run: run["n"] > 0)
-    x = x.withColumn("runs", F.when(F.size(runs) > 0, runs).otherwise(F.array(_run("base", n=1, seconds=F.coalesce("seconds", F.lit(0.0))))))
+    one = F.array(_run("base", n=1, seconds=F.coalesce("seconds", F.lit(0.0))))
+    x = x.withColumn("runs", let(F.filter(F.concat(whole, urls, templated), lambda run: run["n"] > 0), lambda runs: F.when(F.size(runs) > 0, runs).otherwise(one)))
     fill = lambda c: names.template(c, {"RepresentationID": F.coalesce("r._id", F.lit("")), "Bandwidth": F.coalesce("r._bandwidth", F.lit(""))})
     begun, source = listed["Initialization"], F.col("r.SegmentBase.Initialization")
     begins = F.coalesce(fill(either("_initialization")), F.when(begun.isNotNull(), F.coalesce(begun["_sourceURL"], F.lit(""))), source["_sourceURL"])
     span = F.when(either("_initialization").isNull(), F.when(begun.isNotNull(), begun["_range"]).when(source["_sourceURL"].isNotNull(), source["_range"]))
-    return x.withColumns({"media": fill(F.col("media")), "begins": begins, "init_range": span})
+    x = x.withColumns({"media": fill(F.col("media")), "begins": begins, "init_range": span})
+    # the runs hold what these list, and each row would carry its whole set again
+    return x.select(*REPRESENTATION, "period_id", "is_live", "depth", "content", "base", "media", "first", "runs", "begins", "init_range", F.col("a").dropFields("Representation", "SegmentTemplate").alias("a"), F.col("r").dropFields("SegmentTemplate", "SegmentBase", "SegmentList").alias("r"))
 
 
 def role(text: Column) -> Column:
@@ -175,11 +178,13 @@ def merged(streams: DataFrame, segments: DataFrame) -> DataFrame:
     the position of the first. Each further period is a part, its indexes going on;
     one that ends at the same URL as what is before it only makes the last segment
     longer by all of its duration. Documents that change keep their streams apart.
+    Both joins are by sorting: there are as many rows as representations, which a
+    guess from the size of the folded documents would send to every executor.
     """
     ends = segments.groupBy(*REPRESENTATION).agg(F.max_by("url", "seg_pos").alias("last_url"), F.max("seg_pos").alias("last_pos"), F.max_by("seg_index", "seg_pos").alias("last_index"), F.sum("duration").alias("total"))
     alike = ["manifest_id", "group_id", "resolution", "media_type"]
     order = Window.partitionBy(*alike).orderBy("period_pos", "set_pos", "rep_pos")
-    x = streams.select(*REPRESENTATION, "period_id", "is_live", "group_id", "resolution", "media_type").join(ends, REPRESENTATION)
+    x = streams.select(*REPRESENTATION, "period_id", "is_live", "group_id", "resolution", "media_type").join(ends.hint("merge"), REPRESENTATION)
     head = F.first(F.struct("period_id", *REPRESENTATION[1:])).over(order)
     x = x.withColumn("head", head).withColumn("joins", ~F.col("is_live") & ~F.col("period_id").eqNullSafe(F.col("head.period_id")))
     at_head = (F.col("head.period_pos") == F.col("period_pos")) & (F.col("head.set_pos") == F.col("set_pos")) & (F.col("head.rep_pos") == F.col("rep_pos"))
@@ -190,7 +195,7 @@ def merged(streams: DataFrame, segments: DataFrame) -> DataFrame:
     kept = (~F.col("absorbed")).cast("int")
     x = x.withColumn("part", F.sum(kept).over(chain) - 1).withColumn("start", F.coalesce(F.sum(kept * (F.col("last_index") + 1)).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     x = x.withColumn("more", F.sum(F.when(F.col("absorbed"), F.col("total")).otherwise(0.0)).over(Window.partitionBy("manifest_id", "home", "part"))).where("not absorbed")
-    y = segments.join(x.select(*REPRESENTATION, "home", "part", "start", "more", "last_pos", "joins"), REPRESENTATION)
+    y = segments.join(x.select(*REPRESENTATION, "home", "part", "start", "more", "last_pos", "joins").hint("merge"), REPRESENTATION)
     last = F.col("seg_pos") == F.col("last_pos")
     return y.select("manifest_id", "home.*", "part", "seg_pos", (F.col("seg_index") + F.when(F.col("joins"), F.col("start")).otherwise(0)).alias("seg_index"), "url", (F.col("duration") + F.when(last, F.col("more")).otherwise(0.0)).alias("duration"),
                     "name", "range_start", "range_length")

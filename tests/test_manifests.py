@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, planning
+from reelframe.plans import queries
 from reelframe.sources import manifests
 
 MPD = '<MPD {head}><BaseURL>http://h/a/</BaseURL><Period id="1" duration="PT10S">{sets}</Period>{more}</MPD>'
@@ -65,3 +66,10 @@ def test_planning(spark):
     assert value(planning.should_log("Off", F.lit("Off"))) is False and value(planning.should_log("Warn", F.lit("Error"))) is True
     assert value(planning.combine_group(F.lit(199), F.lit(90_001))) == "T0000.ts" and value(planning.combine_group(F.lit(199), F.lit(90_000))) == "T0001.ts"
     assert value(blobs.is_gzip(F.unhex(F.lit("1F8B")))) is False and value(blobs.is_gzip(F.unhex(F.lit("1F8B08")))) is True
+
+
+def test_periods_are_joined_without_a_broadcast(spark, small):
+    """There are as many rows as representations, however small the folded documents are guessed to be."""
+    found = manifests.representations(queries.dash_documents(spark, small))
+    plan = manifests.merged(manifests.dash_streams(found), manifests.dash_segments(found))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
