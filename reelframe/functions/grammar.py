@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reelframe.functions import moments
+from reelframe.functions.once import let
 from reelframe.operators.select import StreamFilter
 
 #: What stands for the open end of a range.
@@ -45,15 +46,24 @@ def unit_seconds(text: Column) -> Column:
 
 def custom_range(text: Column) -> Column:
     """struct<kind, first, last, start, end, error> of "a-b": segments by index, or times where there is a colon; an open start is 0. Null for an empty text."""
-    parts = F.split(text, "-")
-    time = lambda k, empty: F.when(F.trim(F.get(parts, k)) == "", F.lit(empty)).when(F.trim(F.get(parts, k)).rlike(r"^\s*[+-]?\d+\s*([:：]\s*[+-]?\d+\s*)*$"), moments.colon_seconds(F.trim(F.get(parts, k))).cast("double"))
-    index = lambda pattern, empty: F.when(F.regexp_extract(text, pattern, 1) == "", F.lit(empty)).otherwise(F.regexp_extract(text, pattern, 1).try_cast("long"))
+    return let(F.struct(text.alias("text"), F.transform(F.split(text, "-"), lambda p: F.trim(p)).alias("parts")), lambda x: _custom_range(x["text"], x["parts"]))
+
+
+def _custom_range(text: Column, parts: Column) -> Column:
+    time = lambda k, empty: let(F.get(parts, k), lambda t: F.when(t == "", F.lit(empty)).when(t.rlike(r"^\s*[+-]?\d+\s*([:：]\s*[+-]?\d+\s*)*$"), moments.colon_seconds(t).cast("double")))
+    index = lambda pattern, empty: let(F.regexp_extract(text, pattern, 1), lambda t: F.when(t == "", F.lit(empty)).otherwise(t.try_cast("long")))
     timed = text.contains(":")
-    first, last = index(r"^[^-]*?(\d*)-", 0), index(r"^[^-]*-(\d*)", LAST_INDEX)
-    start, end = time(0, 0.0), time(1, LAST_SECOND)
-    error = F.when(F.size(parts) != 2, "start-end").when(timed & (start.isNull() | end.isNull()), "time").when(~timed & (first.isNull() | last.isNull()), "index")
-    good = error.isNull()
-    return F.when(text != "", F.struct(F.when(good, F.when(timed, "time").otherwise("segment")).alias("kind"), F.when(good & ~timed, first).alias("first"), F.when(good & ~timed, last).alias("last"), F.when(good & timed, start).alias("start"), F.when(good & timed, end).alias("end"), error.alias("error")))
+    bounds = F.struct(index(r"^[^-]*?(\d*)-", 0).alias("first"), index(r"^[^-]*-(\d*)", LAST_INDEX).alias("last"), time(0, 0.0).alias("start"), time(1, LAST_SECOND).alias("end"))
+
+    def checked(b: Column) -> Column:
+        error = F.when(F.size(parts) != 2, "start-end").when(timed & (b["start"].isNull() | b["end"].isNull()), "time").when(~timed & (b["first"].isNull() | b["last"].isNull()), "index")
+        return F.struct(b.alias("b"), error.alias("error"))
+
+    def told(x: Column) -> Column:
+        good, b = x["error"].isNull(), x["b"]
+        return F.struct(F.when(good, F.when(timed, "time").otherwise("segment")).alias("kind"), F.when(good & ~timed, b["first"]).alias("first"), F.when(good & ~timed, b["last"]).alias("last"), F.when(good & timed, b["start"]).alias("start"), F.when(good & timed, b["end"]).alias("end"), x["error"].alias("error"))
+
+    return F.when(text != "", let(let(bounds, checked), told))
 
 
 def header(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelframe.functions.once import let
+
 STAMP = r"^(\d{4}-\d\d-\d\d)[Tt ](\d\d:\d\d:\d\d)(?:\.(\d+))?(Z|z|[+-]\d\d(?::?\d\d)?)?$"
 
 
@@ -33,16 +35,22 @@ def iso_duration(text: Column) -> Column:
 
 def colon_seconds(text: Column) -> Column:
     """Seconds of d:h:m:s or less; full-width colons count, parts before the last four do not."""
-    parts = F.reverse(F.split(F.replace(text, F.lit("\uff1a"), F.lit(":")), ":"))
-    total = F.lit(0).cast("long")
-    for k, unit in enumerate((1, 60, 3_600, 86_400)):
-        total = total + F.coalesce(F.get(parts, F.lit(k)).try_cast("long"), F.lit(0)) * unit
-    return total
+
+    def added(parts: Column) -> Column:
+        total = F.lit(0).cast("long")
+        for k, unit in enumerate((1, 60, 3_600, 86_400)):
+            total = total + F.coalesce(F.get(parts, F.lit(k)).try_cast("long"), F.lit(0)) * unit
+        return total
+
+    return let(F.reverse(F.split(F.replace(text, F.lit("\uff1a"), F.lit(":")), ":")), added)
 
 
 def cue_millis(text: Column) -> Column:
     """Milliseconds of a subtitle time: [[h:]m:]s[.fff], or seconds with an s. Fraction digits beyond three are not scaled."""
-    t = F.replace(F.trim(text), F.lit(","), F.lit("."))
+    return let(F.replace(F.trim(text), F.lit(","), F.lit(".")), _cue_millis)
+
+
+def _cue_millis(t: Column) -> Column:
     whole, fraction = F.substring_index(t, ".", 1), F.when(t.contains("."), F.regexp_extract(t, r"\.(.*)$", 1)).otherwise("")
     parts = F.reverse(F.split(whole, ":"))
     total = F.aggregate(F.transform(parts, lambda p, i: p.try_cast("long") * F.pow(F.lit(60.0), i).cast("long") * 1000), F.lit(0).cast("long"), lambda a, x: a + x)

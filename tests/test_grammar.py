@@ -46,3 +46,10 @@ def test_filters():
     for bad in ("for=some", "segsMin=x", "plistDurMin=5", "lang=("):
         with pytest.raises((ValueError, grammar.re.error)):
             grammar.stream_filter(bad)
+
+
+def test_a_large_table_of_ranges_is_compiled_small(spark):
+    """The expression was too large to be compiled at all; keys beyond 32 bits in minutes."""
+    assert each(spark, grammar.custom_range, [f"{2**31}:05-"])[0]["start"] == 2.0**31 * 60 + 5
+    df = spark.range(1).select(grammar.custom_range(F.col("id").cast("string")).alias("x"))
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 20_000
