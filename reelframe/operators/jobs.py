@@ -107,4 +107,4 @@ def status(jobs: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def progress_text(done: Column, total: Column) -> Column:
     """Done of total in percent with two digits; without a total nothing."""
-    return F.when(total > 0, F.format_string("%.2f%%", done * 100.0 / total))
+    return F.when(total > 0, F.concat(F.replace(F.format_number(done * 100.0 / total, 2), F.lit(","), F.lit("")), F.lit("%")))

@@ -18,7 +18,8 @@ from reelframe.operators.lineage import settled
 
 def attempts(media_type: Column, resolution: Column, bandwidth: Column, language: Column, channels: Column) -> Column:
     """What a stream's facts add to a name, in the order in which they are tried."""
-    mbps = F.when(bandwidth.isNotNull(), F.format_string("%.1fMbps", bandwidth / 1_000_000.0))  # a format of null is text
+    # format_string would round what the decimals show (0.25 to 0.3), not the number
+    mbps = F.concat(F.replace(F.format_number(bandwidth / 1_000_000.0, 1), F.lit(","), F.lit("")), F.lit("Mbps"))
     kbps = F.concat(((bandwidth - bandwidth % 1000) / 1000).cast("long").cast("string"), F.lit("kbps"))
     ch = F.concat(channels, F.lit("ch"))
     both = lambda a, b: F.concat(a, F.lit("."), b)  # noqa: E731  null if one is

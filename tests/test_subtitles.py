@@ -104,3 +104,10 @@ def test_attempts(spark):
     df = spark.createDataFrame([("Video", "1x2", 1_260_000, "en", "2"), ("Video", None, 1, None, None), ("Video", "1x2", None, None, None), ("Audio", "1x2", 64_999, "en", "2"), ("Audio", None, None, None, "6"), ("Subtitles", "1x2", 5, "en", None), (None, "1x2", 5, "en", "2")], "m string, r string, b long, l string, c string")
     got = [x["t"] for x in df.select(reserve.attempts(*(F.col(c) for c in "mrblc")).alias("t")).collect()]
     assert got == [["1x2", "1.3Mbps", "1x2.1.3Mbps"], ["0.0Mbps"], ["1x2"], ["en", "2ch", "en.2ch", "64kbps"], ["6ch"], ["en"], []]
+
+
+def test_tenths_of_megabits_are_rounded_from_the_number(spark):
+    rates = [50_000, 150_000, 250_000, 350_000, 450_000, 950_000, 1_250_000, 1_234_567_890_123, None]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rates)], "k long, b long")
+    got = [x["t"] for x in df.select("k", reserve.attempts(F.lit("Video"), F.lit(None).cast("string"), F.col("b"), F.lit("en"), F.lit("2")).alias("t")).orderBy("k").collect()]
+    assert got == [[] if r is None else ["%.1fMbps" % (r / 1e6)] for r in rates]
