@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.functions import moments
@@ -79,22 +79,19 @@ def media_infos(outputs: DataFrame) -> DataFrame:
     """(id, pos, stream_id, media_type, text, base_info, bitrate, resolution, fps, start_ms, dolby_vision, hdr) from a tool's text on a file.
 
     outputs: (id, text). One row a line "  Stream #..."; a text without one is a row of unknown type.
+    Each text's rows come from the text alone: nothing is shuffled, sorted or joined.
     """
     part = lambda c, p, g=1: F.nullif(F.regexp_extract(c, p, g), F.lit(""))
     start = moments.cue_millis(F.concat(part(F.col("text"), r"Duration.*?start: (\d+\.?\d{0,3})"), F.lit("s")))
     dovi = F.col("text").rlike(r"DOVI configuration record.*profile: (\d).*compatibility id: (\d)")
-    x = outputs.select("id", start.alias("start_ms"), dovi.alias("dovi"), F.posexplode(F.split("text", "\r?\n")).alias("pos", "line")).where(F.col("line").startswith("  Stream #"))
+    streams = F.filter(F.split("text", "\r?\n"), lambda line: line.startswith("  Stream #"))
+    x = outputs.select("id", start.alias("start_ms"), dovi.alias("dovi"), F.posexplode_outer(streams).alias("pos", "line"))
     line, own = F.col("line"), F.col("own")
-    x = x.withColumn("media_type", part(line, r": (\w+): (.*)", 1)).withColumn("own", F.regexp_replace(part(line, r": (\w+): (.*)", 2), r"\s+$", ""))
+    x = x.withColumn("media_type", F.when(line.isNull(), "Unknown").otherwise(part(line, r": (\w+): (.*)", 1))).withColumn("own", F.regexp_replace(part(line, r": (\w+): (.*)", 2), r"\s+$", ""))
     x = x.withColumn("base_info", F.regexp_replace(F.regexp_extract("own", r"^(.*?)(,|$)", 1), r" / 0x\w+", ""))
     vision = F.col("base_info").rlike("dvhe|dvh1|DOVI") | F.col("media_type").contains("dvvideo") | (F.col("dovi") & (F.col("media_type") == "Video"))
-    x = x.select("id", "pos", part(line, r"#0:\d(\[0x\w+?\])").alias("stream_id"), "media_type", own.alias("text"), "base_info", part(own, r"(\d+ kb/s)").alias("bitrate"), part(own, r"(\d{2,}x\d+)").alias("resolution"),
-                 part(own, r"(\d+(?:\.\d+)? fps)").alias("fps"), "start_ms", F.coalesce(vision, F.lit(False)).alias("dolby_vision"), F.coalesce(own.contains("/bt2020/"), F.lit(False)).alias("hdr"))
-    order = Window.partitionBy("id").orderBy("pos")
-    rows = x.withColumn("pos", F.row_number().over(order) - 1)
-    none = [F.lit(None).cast(t).alias(c) for c, t in x.dtypes if c in ("text", "base_info", "bitrate", "resolution", "fps", "start_ms")]
-    bare = outputs.select("id").join(x.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("stream_id"), F.lit("Unknown").alias("media_type"), *none, F.lit(False).alias("dolby_vision"), F.lit(False).alias("hdr"))
-    return rows.unionByName(bare)
+    return x.select("id", F.coalesce("pos", F.lit(0)).alias("pos"), part(line, r"#0:\d(\[0x\w+?\])").alias("stream_id"), "media_type", own.alias("text"), "base_info", part(own, r"(\d+ kb/s)").alias("bitrate"), part(own, r"(\d{2,}x\d+)").alias("resolution"),
+                    part(own, r"(\d+(?:\.\d+)? fps)").alias("fps"), F.when(line.isNotNull(), F.col("start_ms")).alias("start_ms"), F.coalesce(vision, F.lit(False)).alias("dolby_vision"), F.coalesce(own.contains("/bt2020/"), F.lit(False)).alias("hdr"))
 
 
 def keys_of(kids: DataFrame, lines: DataFrame) -> DataFrame:

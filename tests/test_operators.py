@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, text
-from reelframe.operators import clip, cues, jobs, live, select
+from reelframe.operators import clip, cues, jobs, live, reports, select
 from reelframe.plans import queries
 from reelframe.streaming import live as streaming
 
@@ -264,3 +264,12 @@ def test_a_move_of_a_job_that_is_not_queued_fails(spark):
     q = spark.createDataFrame([("a", "waiting", 0, 0), ("b", "active", 1, 0)], "gid string, status string, queue_position long, created_at_ms long")
     with pytest.raises(Exception, match="not in the queue"):
         jobs.moved(q, "b", 0, "POS_SET").collect()
+
+
+def test_media_infos_need_no_exchange(spark):
+    df = spark.createDataFrame([(1, "Duration: x, start: 1.5\n  Stream #0:0[0x1]: Video: h264 / 0x1, 10x20, 5 kb/s\nx\n  Stream #0:1: Audio: aac"), (2, "nothing"), (3, None)], "id long, text string").repartition(2)
+    found = reports.media_infos(df)
+    got = sorted(tuple(r) for r in found.select("id", "pos", "media_type", "start_ms", "base_info", "hdr").collect())
+    assert got == [(1, 0, "Video", 1500, "h264", False), (1, 1, "Audio", 1500, "aac", False), (2, 0, "Unknown", None, None, False), (3, 0, "Unknown", None, None, False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
