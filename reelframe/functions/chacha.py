@@ -1,7 +1,7 @@
 """ChaCha20 (RFC 8439) with the counter at zero again for every 1,024 bytes, as some segments are coded.
 
-The key stream of a row's key and nonce is 16 blocks, computed for all rows of
-an Arrow batch at once; its bytes repeat over the data.
+The key stream of a row's key and nonce is 16 blocks, computed for some hundred
+rows at once; its bytes repeat over the data.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 #: Bytes after which the counter starts anew, and the blocks of the key stream that are.
 CHUNK = 1_024
 BLOCKS = CHUNK // 64
+#: Rows that are worked on at once: their key streams take some kilobytes each, whatever the size of an Arrow batch.
+ROWS = 256
 #: Fixed values of the cipher: "expand 32-byte k", and the words that each quarter round mixes.
 CONSTANTS = np.frombuffer(b"expand 32-byte k", "<u4")
 COLUMNS, DIAGONALS = ((0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11), (12, 13, 14, 15)), ((0, 1, 2, 3), (5, 6, 7, 4), (10, 11, 8, 9), (15, 12, 13, 14))
@@ -51,6 +53,11 @@ def key_streams(keys: np.ndarray, nonces: np.ndarray, blocks: int = BLOCKS, coun
     return np.ascontiguousarray((x + state).transpose(1, 2, 0)).astype("<u4").view(np.uint8).reshape(rows, 64 * blocks)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, so many at a time at most."""
+    return (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+
+
 def coded(df: DataFrame, data: str = "data", key: str = "key", nonce: str = "nonce", out: str = "coded") -> DataFrame:
     """df with `out`: data coded or decoded by key and nonce, which is the same.
 
@@ -60,7 +67,7 @@ def coded(df: DataFrame, data: str = "data", key: str = "key", nonce: str = "non
     kept = df.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             values = [batch.column(c).to_pylist() for c in (data, key, nonce)]
             good = [i for i, (d, k, n) in enumerate(zip(*values)) if d is not None and k is not None and n is not None and len(k) == 32 and len(n) in (8, 12)]
             result: list[bytes | None] = [None] * batch.num_rows

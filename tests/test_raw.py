@@ -4,6 +4,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,13 @@ def test_chacha_restarts(spark):
     assert [got[k]["coded"] for k in (3, 4, 9)] == [None] * 3
 
 
+def test_chacha_works_on_few_rows_at_once():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(2 * chacha.ROWS + 3))})
+    got = list(chacha.pieces(iter([batch, batch.slice(0, 0), batch.slice(0, 1)])))
+    assert [b.num_rows for b in got] == [chacha.ROWS, chacha.ROWS, 3, 1]
+    assert [x for b in got for x in b.column("id").to_pylist()] == [*range(2 * chacha.ROWS + 3), 0]
+
+
 @pytest.mark.parametrize("url,source,wanted", [
     ("http://a/b?x=1&y=2&x=3#f", "http://s/?x=9", "http://a/b?x=9&y=2"), ("http://a/b?x=1", "http://s/", "http://a/b?x=1"), ("http://a/b", "http://s/?k=1&k=2&k=", "http://a/b?k=1%2c2"), ("http://a/b?x", "http://s/?x=", "http://a/b?x="),
     ("http://a/b?x=1", "http://s/?x&y#z", "http://a/b?x=1&x&y"), ("http://a/b?p=a+b%21&q=%zz", "http://s/?r=(é)~'", "http://a/b?p=a+b!&q=%25zz&r=(%c3%a9)%7e%27"), ("http://a/b#f", "http://s/?&&??", "http://a/b"), ("http://a/b?=v", "http://s/?=w", "http://a/b?=w"), ("u?a=1=2", "s?b=3", "u?a=1%3d2&b=3"),
