@@ -127,9 +127,18 @@ def quoted(name: str, value) -> Column:
     return F.coalesce(F.concat(F.lit(f',{name}="'), value, F.lit('"')), F.lit(""))
 
 
+def dealt(rows: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """rows of a table dealt by a key to as many tasks as their number asks for.
+
+    What is built of them is many times larger; tasks that are put together by
+    the size of the rows would hold and sort ever more of it. The count is that of the files' footers.
+    """
+    return rows.repartition(-(-rows.count() // most) or 1, key)
+
+
 def media_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A media playlist of each order, a segment of each of its lines."""
-    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    i = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey")
     part, supp, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     said = lambda c: c.cast("string")
     key = F.when(supp % 3 == 0, F.concat(F.lit('#EXT-X-KEY:METHOD=AES-128,URI="k'), said(supp), F.lit('.key"'), F.when(supp % 2 == 0, ",IV=0x000102030405060708090A0B0C0D0E0F").otherwise(""), F.lit("\n"))).when(supp % 3 == 1, "#EXT-X-KEY:METHOD=NONE\n").otherwise("")
@@ -144,7 +153,7 @@ def media_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def master_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A master playlist of each manifest, a variant or rendition of each stream."""
-    s = streams(spark, sf_dir)
+    s = dealt(streams(spark, sf_dir), "manifest_id")
     kind = F.replace(F.upper("media_type"), F.lit("CLOSEDCAPTIONS"), F.lit("CLOSED-CAPTIONS"))
     media = F.concat(F.lit("#EXT-X-MEDIA:TYPE="), kind, quoted("GROUP-ID", F.col("group_id")), quoted("LANGUAGE", F.col("language")), quoted("NAME", F.col("name")), quoted("CHANNELS", F.col("channels")), quoted("URI", F.col("url")), F.lit("\n"))
     plain = lambda name, c: F.coalesce(F.concat(F.lit(f",{name}="), F.col(c).cast("string")), F.lit(""))

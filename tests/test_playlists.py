@@ -1,5 +1,6 @@
 """HLS rules with rows worked out by hand."""
 
+from reelframe.plans import queries
 from reelframe.sources import playlists
 
 
@@ -73,3 +74,9 @@ def test_masters(spark):
     assert got == {"a.m3u8": ("Audio", "describes-video", None), "o.m3u8": (None, None, None), "n.m3u8": (None, None, None), "v.m3u8": (None, None, "v")}
     bad = [text, "#EXT-X-STREAM-INF:BANDWIDTH=1x\nv\n", "#EXT-X-STREAM-INF:BANDWIDTH=1,FRAME-RATE=x\nv\n"]
     assert [tuple(r) for r in playlists.master_errors(table(spark, *bad)).orderBy("manifest_id").collect()] == [(0, "rendition without TYPE"), (1, "bandwidth"), (2, "frame rate")]
+
+
+def test_playlists_are_built_in_as_many_tasks_as_there_are_rows_for(spark):
+    rows = queries.dealt(spark.range(250).toDF("k"), "k", most=100)
+    assert rows.rdd.getNumPartitions() == 3 and queries.dealt(spark.range(0).toDF("k"), "k").count() == 0
+    assert rows.groupBy("k").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
