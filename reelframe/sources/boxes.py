@@ -2,13 +2,13 @@
 
 Where a box begins is known only from the size of the one before it, so a small
 loop over one file's headers makes the rows; it runs on Arrow batches and never
-copies what a box holds. Everything after that (fields, samples, joins of
-samples to bytes, cues) is DataFrame functions.
+copies what a box holds. The samples of a WebVTT fragment and their share of its
+bytes come from the same loop; what joins segments is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Boxes that hold boxes, and how many bytes of their own come first. Fixed values of the format.
 CONTAINERS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "dinf": 0, "mvex": 0, "moof": 0, "traf": 0, "sinf": 0, "schi": 0, "edts": 0, "udta": 0, "vttc": 0, "dref": 8, "stsd": 8}
 SAMPLE_ENTRIES = {"encv": 78, "avc1": 78, "hvc1": 78, "hev1": 78, "dvh1": 78, "enca": 28, "mp4a": 28, "ec-3": 28}
+#: Boxes of a WebVTT track's segments that hold boxes.
+IN_MEDIA = CONTAINERS | SAMPLE_ENTRIES | {"mdat": 0}
 ROW = "id {kind}, nth int, depth int, path string, name string, begin long, header int, size long, error string"
 
 
@@ -95,80 +97,140 @@ def timescale(init: Column) -> Column:
     return F.when(hexed.rlike(anywhere + b"wvtt".hex().upper()) & (F.length(digits) == 8), F.conv(digits, 16, 10).cast("long"))
 
 
+def number_at(data: bytes, at: int, size: int = 4) -> int | None:
+    """A big-endian number of a box's content; None past its end."""
+    return int.from_bytes(data[at : at + size]) if at + size <= len(data) else None
+
+
+def samples_of(parts: dict[str, bytes]) -> tuple[Iterator[tuple[int | None, int | None, int | None]], str | None]:
+    """(start, end, size) of a fragment's samples in time units, by its last tfdt, tfhd and trun; and what is wrong with them.
+
+    A sample has a size or None (one box). It starts where the one before it
+    ended, or its own offset after the fragment's time.
+    """
+    tfdt, tfhd, trun = (parts.get(x) for x in ("tfdt", "tfhd", "trun"))
+    n, flags = (number_at(trun, 4), int.from_bytes(trun[1:4])) if trun else (0, 0)
+    if not n:
+        return iter(()), None
+    width = lambda f, bits: sum(size for bit, size in bits if f & bit)
+    base = 0 if tfdt is None else number_at(tfdt, 4, 8 if tfdt[:1] == b"\1" else 4)
+    usual, fh = None, number_at(tfhd, 1, 3) if tfhd else None
+    if fh and fh & 8:
+        usual = number_at(tfhd, width(fh, ((1, 8), (2, 4))) + 8)
+    first, step = 8 + width(flags, ((1, 4), (4, 4))), width(flags, ((0x100, 4), (0x200, 4), (0x400, 4), (0x800, 4)))
+    if len(trun) < first + n * step:
+        return iter(()), "samples are cut off"
+    durations = [number_at(trun, first + k * step) for k in range(n)] if flags & 0x100 else [usual]
+    if None in durations:
+        return iter(()), "no sample duration"
+    if 0 in durations:
+        return iter(()), "a sample duration of zero"
+    to_size, to_moved = width(flags, ((0x100, 4),)), width(flags, ((0x100, 4), (0x200, 4), (0x400, 4)))
+
+    def each() -> Iterator[tuple[int | None, int | None, int | None]]:
+        end = base
+        for k in range(n):
+            at = first + k * step
+            if flags & 0x800 and base is not None:
+                end = base + int.from_bytes(trun[at + to_moved : at + to_moved + 4], signed=trun[0] != 0)
+            start, end = end, None if end is None else end + (durations[k] if flags & 0x100 else usual)
+            yield start, end, number_at(trun, at + to_size) if flags & 0x200 else None
+
+    return each(), None
+
+
+def fragment(data: memoryview | None) -> tuple[list[tuple], dict[str, bytes], str | None]:
+    """The boxes of a segment of a WebVTT track, what its last tfdt, tfhd and trun hold, and what is wrong with it."""
+    found = list(walk(data, IN_MEDIA)) if data is not None else []
+    parts = {name: bytes(data[at + header : at + size]) for _, _, name, at, header, size, error in found if error is None and name in ("tfdt", "tfhd", "trun")}
+    media = sum(x[2] == "mdat" for x in found)
+    error = max((x[6] for x in found if x[6]), default=None)
+    return found, parts, error or (None if media == 1 else "several media data boxes" if media else "no media data box")
+
+
+def cues_of(data: memoryview | None) -> Iterator[tuple[int, int | None, int | None, str, str]]:
+    """(nth, start, end, payload, settings) of a segment's cues, in time units; none of a segment with an error.
+
+    A sample takes the boxes of the media data that begin within its size, or one
+    box. The last payload and the last settings in a cue's box count.
+    """
+    found, parts, error = fragment(data)
+    samples, wrong = samples_of(parts)
+    if error or wrong:
+        return
+    tops: list[list] = []
+    at = 0
+    for nth, (depth, path, name, begin, header, size, _) in enumerate(found):
+        if depth == 1 and path.startswith("mdat/"):
+            tops.append([at, nth, name == "vttc", None, None])
+            at += size
+        elif path in ("mdat/vttc/payl", "mdat/vttc/sttg"):
+            tops[-1][3 if name == "payl" else 4] = bytes(data[begin + header : begin + size])
+    low, j = 0, 0
+    for k, (start, end, size) in enumerate(samples):
+        if size:
+            held, low = j, low + size
+            while j < len(tops) and tops[j][0] < low:
+                j += 1
+            held = range(held, j)
+        else:
+            held = range(k, min(k + 1, len(tops)))
+        for _, nth, is_cue, payload, settings in (tops[i] for i in held):
+            if is_cue and payload:
+                yield nth, start, end, payload.decode("utf-8", "replace"), (settings or b"").decode("utf-8", "replace")
+        if j == len(tops) and k >= len(tops):
+            return
+
+
+def per_segment(segments: DataFrame, of: Callable[[memoryview | None], Iterable[tuple]], fields: dict[str, str]) -> DataFrame:
+    """(doc_id, seg_pos, fields): the rows that a function tells of each segment (doc_id, seg_pos, data), on Arrow batches."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    keys = [f"{c} {segments.schema[c].dataType.simpleString()}" for c in ("doc_id", "seg_pos")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for i, x in enumerate(batch.column("data")):
+                rows += of(memoryview(x.as_buffer()) if x.is_valid else None)
+                owner += [i] * (len(rows) - len(owner))
+            columns = list(zip(*rows)) if rows else [()] * len(fields)
+            owners = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owners), batch.column("seg_pos").take(owners), *(pa.array(c, kinds[k]) for c, k in zip(columns, fields.values()))], ["doc_id", "seg_pos", *fields])
+
+    return segments.select("doc_id", "seg_pos", "data").mapInArrow(run, ", ".join([*keys, *(f"{c} {k}" for c, k in fields.items())]))
+
+
 def fragments(segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of segments (doc_id, seg_pos, data) of a WebVTT track: their boxes, their samples in order, their errors.
 
-    A sample has start and end in time units, and size (null: one box). It starts
-    where the one before it ended, or its own offset after the fragment's time.
-    The last tfdt, tfhd and trun of a segment count. Errors are one row a segment
+    Samples are (doc_id, seg_pos, k, start, end, size), see samples_of. Errors are one row a segment
     (doc_id, seg_pos, error), the first that applies.
     """
     files = segments.select(F.struct("doc_id", "seg_pos").alias("id"), "data")
-    found = boxes(files, ("mdat",))
-    last = payloads(files, found, "tfdt", "tfhd", "trun").groupBy("id").pivot("name", ["tfdt", "tfhd", "trun"]).agg(F.max_by("payload", "nth"))
-    flags = lambda c: uint(c, 1, 3)
-    bit = lambda f, b: f.bitwiseAND(F.lit(b)) != 0
-    size_of = lambda f, bits: sum((F.when(bit(f, b), n).otherwise(0) for b, n in bits), F.lit(0))
-    fh, tr = flags(F.col("tfhd")), flags(F.col("trun"))
-    heads = last.select(
-        "id", "trun", tr.alias("flags"), uint(F.col("trun"), 4).alias("n"), F.hex(F.substr("trun", F.lit(1), F.lit(1))).alias("version"),
-        F.when(F.col("tfdt").isNull(), 0).when(F.hex(F.substr("tfdt", F.lit(1), F.lit(1))) == "01", uint(F.col("tfdt"), 4, 8)).otherwise(uint(F.col("tfdt"), 4)).alias("base"),
-        F.when(bit(fh, 8), uint(F.col("tfhd"), size_of(fh, ((1, 8), (2, 4))) + 8)).alias("usual"),
-        (size_of(tr, ((1, 4), (4, 4))) + 8).alias("first"), size_of(tr, ((0x100, 4), (0x200, 4), (0x400, 4), (0x800, 4))).alias("step"),
-    )
-    each = heads.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("at", F.col("first") + F.col("k") * F.col("step"))
-    fl, at = F.col("flags"), F.col("at")
-    moved = uint(F.col("trun"), at + size_of(fl, ((0x100, 4), (0x200, 4), (0x400, 4))))
-    samples = each.select(
-        "id", "k", "base",
-        F.when(bit(fl, 0x100), uint(F.col("trun"), at)).otherwise(F.col("usual")).alias("duration"),
-        F.when(bit(fl, 0x200), uint(F.col("trun"), at + size_of(fl, ((0x100, 4),)))).alias("size"),
-        F.when(bit(fl, 0x800), F.when((F.col("version") != "00") & (moved >= 2**31), moved - 2**32).otherwise(moved)).alias("moved"),
-        (bit(fl, 0xF00) & (F.length("trun") < at + F.col("step"))).alias("cut_off"),
-    )
-    order = Window.partitionBy("id").orderBy("k")
-    samples = samples.withColumn("chain", F.count("moved").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chain = Window.partitionBy("id", "chain").orderBy("k")
-    before = F.coalesce(F.sum("duration").over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    anchor = F.col("base") + F.coalesce(F.first("moved").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))
-    samples = samples.withColumn("start", anchor + before).withColumn("end", F.col("start") + F.col("duration"))
-    seen = found.groupBy("id").agg(*(F.sum((F.col("name") == x).cast("int")).alias(x) for x in ("mdat", "tfdt", "trun")), F.max("error").alias("sizes"))
-    bad = samples.groupBy("id").agg(F.max("cut_off").alias("cut_off"), F.max(F.col("duration").isNull()).alias("missing"), F.max(F.coalesce(F.col("duration") == 0, F.lit(False))).alias("zero"))
-    x = files.select("id").join(seen, "id", "left").join(bad, "id", "left")
-    error = (
-        F.when(F.col("sizes").isNotNull(), F.col("sizes")).when(F.coalesce("mdat", F.lit(0)) > 1, "several media data boxes")
-        .when(F.coalesce("mdat", F.lit(0)) == 0, "no media data box").when(F.col("cut_off"), "samples are cut off").when(F.col("missing"), "no sample duration").when(F.col("zero"), "a sample duration of zero")
-    )
-    errors = x.select("id.doc_id", "id.seg_pos", error.alias("error")).where("error is not null")
-    return found, samples, errors
+
+    def samples(data: memoryview | None) -> Iterator[tuple]:
+        return ((k, *x) for k, x in enumerate(samples_of(fragment(data)[1])[0]))
+
+    def errors(data: memoryview | None) -> list[tuple[str]]:
+        _, parts, error = fragment(data)
+        error = error or samples_of(parts)[1]
+        return [(error,)] if error else []
+
+    times = {"k": "long", "start": "long", "end": "long", "size": "long"}
+    return boxes(files, ("mdat",)), per_segment(segments, samples, times), per_segment(segments, errors, {"error": "string"})
 
 
 def wvtt_cues(segments: DataFrame, units: int) -> DataFrame:
     """(doc_id, cue_pos, start_ms, end_ms, payload, settings) of a WebVTT track's segments (doc_id, seg_pos, data).
 
-    units: time units a second. A sample takes boxes of the media data up to its
-    size, or one. A cue that goes on where the last one ended, with its payload
-    and settings, extends it. Segments with an error (see fragments) give no cues.
+    units: time units a second. A segment's cues come from its bytes alone (see
+    cues_of), each segment read once; one exchange, of cues by doc_id, follows. A
+    cue that goes on where the last one ended, with its payload and settings,
+    extends it.
     """
-    files = segments.select(F.struct("doc_id", "seg_pos").alias("id"), "data")
-    found, samples, errors = fragments(segments)
-    good = found.join(errors.select(F.struct("doc_id", "seg_pos").alias("id")), "id", "left_anti")
-    order = Window.partitionBy("id").orderBy("nth")
-    media = good.where("path = 'mdat' or path like 'mdat/%'")
-    top = media.where("depth = 1").withColumn("k0", F.row_number().over(order) - 1).withColumn("at", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # a sample's share of the media data: by bytes where sizes are told, else one box after the other
-    running = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    told = F.coalesce("size", F.lit(0)) > 0
-    shares = samples.withColumns({"told": told, "low": F.coalesce(F.sum("size").over(running), F.lit(0)), "high": F.coalesce(F.sum("size").over(running), F.lit(0)) + F.col("size")})
-    held = top.withColumnRenamed("size", "box_size").join(shares, "id").where(F.when(F.col("told"), (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).otherwise(F.col("k0") == F.col("k")))
-    fields = payloads(files, media.where("path in ('mdat/vttc/payl', 'mdat/vttc/sttg')").select("id", "nth", "name", "begin", "header", "size", "error"), "payl", "sttg")
-    # what a cue box holds lies between its begin and its end
-    cues = held.where("name = 'vttc'").select("id", "begin", (F.col("begin") + F.col("box_size")).alias("stop"), "start", "end", F.col("nth").alias("cue_nth"))
-    texts = fields.withColumnsRenamed({"begin": "field_begin"}).select("id", "field_begin", "nth", "name", F.decode("payload", "UTF-8").alias("value"))
-    joined = cues.join(texts, "id", "left").where("field_begin between begin and stop")
-    one = joined.groupBy("id", "cue_nth", "start", "end").agg(*(F.max_by(F.when(F.col("name") == n, F.col("value")), F.when(F.col("name") == n, F.col("nth"))).alias(n) for n in ("payl", "sttg"))).where("payl <> ''")
+    told = per_segment(segments, cues_of, {"cue_nth": "int", "start": "long", "end": "long", "payload": "string", "settings": "string"})
     ms = lambda c: F.round(F.col(c).cast("double") / F.lit(units) * 1000).cast("long")
-    rows = one.select("id.doc_id", "id.seg_pos", "cue_nth", ms("start").alias("start_ms"), ms("end").alias("end_ms"), F.col("payl").alias("payload"), F.coalesce("sttg", F.lit("")).alias("settings"))
+    rows = told.select("doc_id", "seg_pos", "cue_nth", ms("start").alias("start_ms"), ms("end").alias("end_ms"), "payload", "settings")
     by = Window.partitionBy("doc_id").orderBy("seg_pos", "cue_nth")
     goes_on = (F.lag("end_ms").over(by) == F.col("start_ms")) & (F.lag("payload").over(by) == F.col("payload")) & (F.lag("settings").over(by) == F.col("settings"))
     runs = rows.withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(by))

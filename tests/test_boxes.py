@@ -167,3 +167,18 @@ def test_document_protection(spark):
     dash = '<MPD xmlns:cenc="urn:mpeg:cenc:2013"><Period><AdaptationSet><ContentProtection schemeIdUri="urn:mpeg:dash:mp4protection:2011" value="cenc" cenc:default_KID="00112233-4455-6677-8899-aabbccddeeff"/><ContentProtection schemeIdUri="urn:uuid:9a04f079-9840-4286-ab92-e65be0885f95"><cenc:pssh>READY</cenc:pssh></ContentProtection><ContentProtection schemeIdUri="urn:uuid:edef8ba9-79d6-4ace-a3c8-27dcd51d21ed"><cenc:pssh>WIDE</cenc:pssh></ContentProtection><Representation id="v"/></AdaptationSet><AdaptationSet><Representation/></AdaptationSet></Period></MPD>'
     got = protection.dash_protection(spark.createDataFrame([(1, "u", dash), (2, "u", None), (3, "u", "no xml")], "manifest_id long, url string, text string")).collect()
     assert [(r["manifest_id"], r["set_pos"], bytes(r["kid"]).hex(), r["scheme"], bytes(r["data"])) for r in got] == [(1, 0, "00112233445566778899aabbccddeeff", "cenc", b"WIDE")]
+
+
+def test_wvtt_in_one_pass(spark):
+    # sizes that part the boxes unevenly, a default duration, bytes that are no UTF-8; each segment is read once and only cues are dealt out
+    a, b = cue("a"), cue("b", "line:1")
+    usual = full("tfhd", u32(2, 7), flags=8)
+    plain = box("moof", box("traf", usual, full("trun", u32(2)))) + box("mdat", a, b)
+    rows = [(1, 0, fragment([a, box("vtte"), b], [10, 20], [len(a) + 8, len(b)])), (2, 0, plain), (3, 0, fragment([box("vttc", box("payl", b"\xff"))], [10])), (4, 0, fragment([a], [10, 10])[:-40])]
+    segments = spark.createDataFrame([(d, s, bytearray(x)) for d, s, x in rows], "doc_id long, seg_pos long, data binary")
+    cues = boxes.wvtt_cues(segments, 1000)
+    assert sorted(tuple(r) for r in cues.collect()) == [(1, 0, 0, 10, "a", ""), (1, 1, 10, 30, "b", "line:1"), (2, 0, 0, 7, "a", ""), (2, 1, 7, 14, "b", "line:1"), (3, 0, 0, 10, "�", "")]
+    plan = cues._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    samples = boxes.fragments(segments)[1].where("doc_id = 2").orderBy("k")
+    assert [tuple(r) for r in samples.collect()] == [(2, 0, 0, 0, 7, None), (2, 0, 1, 7, 14, None)]
