@@ -19,7 +19,7 @@ def vtt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     end = F.sum(F.col("l_quantity").cast("long") * 100).over(order) + o % 4
     i = i.withColumns({"nth": F.row_number().over(order), "end": end}).withColumn("start", F.col("end") - F.col("l_quantity").cast("long") * 100)
-    clock = lambda ms: F.concat(F.floor(ms / 60_000).cast("string"), F.lit(":"), F.format_string("%02d.%03d", F.floor(ms / 1000) % 60, ms % 1000))
+    clock = lambda ms: F.concat(F.floor(ms / 60_000).cast("string"), F.lit(":"), F.lpad((F.floor(ms / 1000) % 60).cast("string"), 2, "0"), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
     name = F.concat(F.lit("p"), (o % 4).cast("string"), F.lit("-"), F.floor(nth / 2).cast("string"))
     payload = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("<c.big>"), name, F.lit("</c> left out"))).otherwise(F.concat(name, F.lit("​")))
     times = F.concat(clock(F.col("start")), F.lit(" --> "), clock(F.col("end")), F.when(F.col("l_suppkey") % 2 == 0, "  line:0   align:start").otherwise(""))
@@ -31,9 +31,7 @@ def vtt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vtt_batches(spark, d):
-    found = vtt_documents(spark, d)
-    clocks = subtitles.vtt_documents(found).where("error is null").drop("error")
-    return subtitles.joined(subtitles.vtt_cues(found), clocks)
+    return subtitles.vtt_joined(vtt_documents(spark, d))
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:

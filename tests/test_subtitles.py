@@ -27,6 +27,17 @@ def test_cues(spark):
     assert found == {0: (90_000, None), 1: (0, "no header"), 2: (0, "no header"), 3: (0, "no times"), 4: (0, None)}
 
 
+def test_documents_are_read_once(spark):
+    texts = ["WEBVTT\n\nid\n\u2003\n00:01.000 --> 00:02.000  x:1\n a \n\u200b\n \t\n\n 00:03.000 --> 00:04.000\n00:05.000 --> 00:06.000\nb\nc", "WEBVTT", "WEBVTT\n\n1 --> 2\n\n\n3s --> 4s\nd"]
+    assert cues_of(spark, *texts) == [(0, 0, 1000, 2000, "a\r\n", "x:1"), (0, 1, 5000, 6000, "b\r\nc", ""), (2, 0, 3000, 4000, "d", "")]
+    found = subtitles.vtt_joined(docs(spark, *texts))
+    assert [tuple(r) for r in found.orderBy("cue_pos").collect()] == [(1, 0, 1000, 2000, "a\r\n", "x:1"), (1, 1, 5000, 6000, "b\r\nc", ""), (1, 2, 3000, 4000, "d", "")]
+    clocks = subtitles.vtt_documents(docs(spark, *texts))
+    plan = [x._jdf.queryExecution().executedPlan().toString() for x in (found, clocks)]
+    assert [(p.count("Exchange"), p.count("Window"), p.count("Join")) for p in plan] == [(1, 0, 0), (0, 0, 0)]
+    assert subtitles.vtt_joined(docs(spark, *texts).where("false")).count() == 0
+
+
 def plain_join(documents):
     """documents: [(clock, [(start, end, payload, settings)])] added one by one."""
     own, kept = documents[0][0], [list(c) for c in documents[0][1]]
