@@ -9,7 +9,7 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 #: Rows that are sent back at a time.
 BATCH = 10_000
 

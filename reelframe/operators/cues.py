@@ -69,7 +69,10 @@ def grouped(cues: DataFrame) -> DataFrame:
 def time_text(ms: Column, mark: str) -> Column:
     """HH:MM:SS and milliseconds after `mark`; never negative."""
     ms = F.greatest(ms, F.lit(0)).cast("long")
-    return F.format_string(f"%02d:%02d:%02d{mark}%03d", F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    # not format_string, whose formatter takes most of the time where there are many cues
+    padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    hours = F.floor(ms / 3_600_000)
+    return F.concat(F.when(hours < 100, padded(hours, 2)).otherwise(hours.cast("string")), F.lit(":"), padded(F.floor(ms / 60_000) % 60, 2), F.lit(":"), padded(F.floor(ms / 1000) % 60, 2), F.lit(mark), padded(ms % 1000, 3))
 
 
 def as_text(cues: DataFrame, kind: str = "vtt") -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.functions.groups import KINDS
+
 #: Boxes that hold boxes, and how many bytes of their own come first. Fixed values of the format.
 CONTAINERS = {"moov": 0, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "dinf": 0, "mvex": 0, "moof": 0, "traf": 0, "sinf": 0, "schi": 0, "edts": 0, "udta": 0, "vttc": 0, "dref": 8, "stsd": 8}
 SAMPLE_ENTRIES = {"encv": 78, "avc1": 78, "hvc1": 78, "hev1": 78, "dvh1": 78, "enca": 28, "mp4a": 28, "ec-3": 28}
@@ -184,7 +186,6 @@ def cues_of(data: memoryview | None) -> Iterator[tuple[int, int | None, int | No
 
 def per_segment(segments: DataFrame, of: Callable[[memoryview | None], Iterable[tuple]], fields: dict[str, str]) -> DataFrame:
     """(doc_id, seg_pos, fields): the rows that a function tells of each segment (doc_id, seg_pos, data), on Arrow batches."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
     keys = [f"{c} {segments.schema[c].dataType.simpleString()}" for c in ("doc_id", "seg_pos")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,7 @@ def per_segment(segments: DataFrame, of: Callable[[memoryview | None], Iterable[
                 owner += [i] * (len(rows) - len(owner))
             columns = list(zip(*rows)) if rows else [()] * len(fields)
             owners = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owners), batch.column("seg_pos").take(owners), *(pa.array(c, kinds[k]) for c, k in zip(columns, fields.values()))], ["doc_id", "seg_pos", *fields])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owners), batch.column("seg_pos").take(owners), *(pa.array(c, KINDS[k]) for c, k in zip(columns, fields.values()))], ["doc_id", "seg_pos", *fields])
 
     return segments.select("doc_id", "seg_pos", "data").mapInArrow(run, ", ".join([*keys, *(f"{c} {k}" for c, k in fields.items())]))
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions import moments
+from reelframe.functions.groups import folded
+from reelframe.functions.once import let
 from reelframe.operators.cues import time_text
 from reelframe.sources import boxes
 
@@ -125,9 +127,11 @@ def shifted(documents: DataFrame, segment_ms: int) -> DataFrame:
     """documents with times of the form 00:00:00.000 moved by segment_ms for each segment before theirs; all others stay."""
     if not segment_ms:
         return documents
-    pieces = F.split("text", r'(?<=(?:begin|end)=")(?=\d{2}:\d{2}:\d{2}\.\d{3}")')
-    moved = lambda p: F.concat(time_text(moments.cue_millis(F.substring(p, 1, 12)) + F.col("seg_pos") * segment_ms, "."), F.substring(p, 13, 1 << 30))
-    text = F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), moved)), "")
+    # what comes next is asked first: looking back at every character takes longer
+    pieces = F.split("text", r'(?=\d{2}:\d{2}:\d{2}\.\d{3}")(?<=(?:begin|end)=")')
+    millis = lambda p: sum((F.substring(p, at, n).cast("long") * unit for at, n, unit in ((4, 2, 60_000), (7, 2, 1000), (10, 3, 1))), F.substring(p, 1, 2).cast("long") * 3_600_000)
+    moved = lambda p: F.concat(let(millis(p) + F.col("seg_pos") * segment_ms, lambda ms: time_text(ms, ".")), F.substring(p, 13, 1 << 30))
+    text = let(pieces, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.transform(F.slice(x, 2, F.greatest(F.size(x), F.lit(1))), moved)), ""))
     return documents.withColumn("text", text)
 
 
@@ -141,13 +145,13 @@ def ttml_cues(documents: DataFrame, segment_ms: int = 0, base_ms: int = 0) -> tu
     """
     d = documents if "part" in documents.columns else documents.withColumn("part", F.lit(0))
     found = rows(shifted(d, segment_ms))
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    good = found.where("error is null").select("doc_id", "seg_pos", "part", "nth", "start", "stop", "region", "contents")
 
-    def fold(group: pa.Table) -> pa.Table:
+    def fold(group: list[tuple]) -> list[tuple]:
         kept: list[list] = []
         seen: set[tuple] = set()
-        for r in sorted(group.to_pylist(), key=lambda r: (r["seg_pos"], r["part"], r["nth"])):
-            x = [r["start"], r["stop"], r["region"], tuple(r["contents"])]
+        for r in group:
+            x = [*r[4:7], tuple(r[7])]
             last = kept[-1] if kept else None
             if last and last[1] == x[0] and last[2:] == x[2:]:
                 seen.discard(tuple(last))
@@ -156,32 +160,37 @@ def ttml_cues(documents: DataFrame, segment_ms: int = 0, base_ms: int = 0) -> tu
             elif tuple(x) not in seen:
                 kept.append(x)
                 seen.add(tuple(x))
-        start, stop, _, texts = zip(*kept)
-        columns = [pa.array(range(len(kept)), pa.int64()), pa.array(start, pa.string()), pa.array(stop, pa.string()), pa.array(list(map(list, texts)), pa.list_(pa.string()))]
-        return pa.Table.from_arrays([pa.array([group["doc_id"][0].as_py()] * len(kept), group["doc_id"].type), *columns], ["doc_id", "pos", "start", "stop", "contents"])
-
-    good = found.where("error is null").drop("error")
-    held = good.groupBy("doc_id").applyInArrow(fold, f"doc_id {kind}, pos long, start string, stop string, contents array<string>")
-    one = held.groupBy("doc_id", "start", "stop").agg(F.min("pos").alias("pos"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "contents"))), lambda c: c["contents"])).alias("contents"))
-    x = one.select("doc_id", "pos", moments.cue_millis(F.col("start")).alias("start_ms"), moments.cue_millis(F.col("stop")).alias("end_ms"), F.array_join("contents", BREAK).alias("payload")).where("start_ms is not null and end_ms is not null")
-    by = Window.partitionBy("doc_id").orderBy("pos")
+        at: dict[tuple, list[str]] = {}
+        for start, stop, _, texts in kept:
+            at.setdefault((start, stop), []).extend(texts)
+        return [([a for a, _ in at], [b for _, b in at], [BREAK.join(x) for x in at.values()])]
+
+    # a subtitle's cues are one row, so that their numbers need no second exchange
+    held = folded(good, "doc_id", ["seg_pos", "part", "nth"], fold, dict.fromkeys(("starts", "stops", "payloads"), "array<string>"))
+    timed = F.transform(F.arrays_zip("starts", "stops", "payloads"), lambda c: F.struct(moments.cue_millis(c["starts"]).alias("start_ms"), moments.cue_millis(c["stops"]).alias("end_ms"), c["payloads"].alias("payload")))
+    read = F.filter(timed, lambda c: c["start_ms"].isNotNull() & c["end_ms"].isNotNull())
+    # an outer explode: Spark would else ask for the cues' number below, and read the times twice
+    x = held.select("doc_id", F.posexplode_outer(read).alias("cue_pos", "cue")).where("cue_pos is not null").select("doc_id", "cue_pos", "cue.*")
     if base_ms:
-        moves = F.min((F.col("start_ms") >= base_ms).cast("int")).over(by) == 1
+        moves = F.min((F.col("start_ms") >= base_ms).cast("int")).over(Window.partitionBy("doc_id").orderBy("cue_pos")) == 1
         x = x.withColumns({c: F.when(moves, F.col(c) - base_ms).otherwise(F.col(c)) for c in ("start_ms", "end_ms")})
-    unread = good.where(moments.cue_millis(F.col("start")).isNull() | moments.cue_millis(F.col("stop")).isNull()).select(*KEYS, F.lit("times").alias("error"))
-    errors = found.where("error is not null").select(*KEYS, "error").unionByName(unread.distinct())
-    return x.select("doc_id", (F.row_number().over(by) - 1).alias("cue_pos"), "start_ms", "end_ms", "payload"), errors
+    unread = F.when(moments.cue_millis(F.col("start")).isNull() | moments.cue_millis(F.col("stop")).isNull(), "times")
+    errors = found.select(*KEYS, F.coalesce("error", unread).alias("error")).where("error is not null").distinct()
+    return x, errors
 
 
 def documents_in(segments: DataFrame) -> DataFrame:
     """(doc_id, seg_pos, part, text): the TTML documents in the media data of segments (doc_id, seg_pos, data); a segment with a wrong box has none."""
-    files = segments.select(F.struct("doc_id", "seg_pos").alias("id"), "data")
-    found = boxes.boxes(files)
-    bad = found.where("error is not null").select("id").distinct()
-    media = boxes.payloads(files, found.join(bad, "id", "left_anti"), "mdat")
+
+    def media(data: memoryview | None) -> list[tuple[int, bytes]]:
+        found = list(boxes.walk(data, boxes.CONTAINERS | boxes.SAMPLE_ENTRIES)) if data is not None else []
+        if any(x[6] for x in found):
+            return []
+        return [(n, bytes(data[at + header : at + size])) for n, (_, _, name, at, header, size, _) in enumerate(found) if name == "mdat"]
+
     texts = F.regexp_extract_all(F.make_valid_utf8(F.col("payload").cast("string")), F.lit(r"(?s)<tt.*?</tt>"), F.lit(0))
-    each = media.select("id", "nth", F.posexplode(texts).alias("k", "text"))
-    return each.select("id.doc_id", "id.seg_pos", (F.col("nth").cast("long") * 100_000 + F.col("k")).alias("part"), "text")
+    each = boxes.per_segment(segments, media, {"nth": "int", "payload": "binary"}).select("doc_id", "seg_pos", "nth", F.posexplode_outer(texts).alias("k", "text")).where("k is not null")
+    return each.select("doc_id", "seg_pos", (F.col("nth").cast("long") * 100_000 + F.col("k")).alias("part"), "text")
 
 
 def images(cues: DataFrame) -> DataFrame:

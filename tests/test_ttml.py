@@ -54,3 +54,14 @@ def test_documents_in_segments(spark):
     assert found.count() == 2
     got = ttml.ttml_cues(found)[0].collect()
     assert [tuple(r)[2:] for r in got] == [(1000, 2000, "Caption\r\nTwo")]
+
+
+def test_one_exchange_and_one_reading(spark):
+    p = lambda a, b, t: f'<p begin="{a}" end="{b}">{t}</p>'
+    texts = [tt(p("1s", "2s", "a") + p("x", "2s", "no") + p("1s", "2s", "b") + p("100:00:00.000", "100:00:01.5", "c")), "<tt><p>", tt(p("x", "y", "z"))]
+    found, errors = ttml.ttml_cues(docs(spark, *texts))
+    assert [tuple(r) for r in found.orderBy("cue_pos").collect()] == [(1, 0, 1000, 2000, "a\r\nb"), (1, 1, 360_000_000, 360_001_500, "c")]
+    assert [tuple(r) for r in errors.orderBy("seg_pos").collect()] == [(1, 0, 0, "times"), (1, 1, 0, "no XML"), (1, 2, 0, "times")]
+    plan, wrong = (x._jdf.queryExecution().sparkPlan().toString() for x in (found, errors))
+    assert (plan.count("Exchange"), plan.count("Window"), plan.count("Aggregate"), wrong.count("MapInArrow"), wrong.count("Union")) == (1, 0, 0, 1, 0)
+    assert ttml.documents_in(spark.createDataFrame([(1, 0, None)], "doc_id long, seg_pos long, data binary")).count() == 0
