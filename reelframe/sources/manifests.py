@@ -114,10 +114,8 @@ def representations(documents: DataFrame, now: Column | None = None) -> DataFram
 
 def role(text: Column) -> Column:
     """The role that a word stands for, upper and lower case alike, hyphens left out; null for others."""
-    out, word = F.lit(None).cast("string"), F.lower(F.replace(text, F.lit("-"), F.lit("")))
-    for r in ROLES:
-        out = F.when(word == r.lower(), r).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for r in ROLES for x in (r.lower(), r)))
+    return F.try_element_at(known, F.lower(F.replace(text, F.lit("-"), F.lit(""))))
 
 
 def dash_streams(representations: DataFrame) -> DataFrame:
@@ -125,13 +123,16 @@ def dash_streams(representations: DataFrame) -> DataFrame:
     r, a = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"a.{c}"))
     either = lambda c: F.coalesce(r(c), a(c))
     here, above = F.get(r("Role"), 0)["_value"], F.get(a("Role"), 0)["_value"]
-    word = F.when(role(here).isNotNull(), here).otherwise(above)
-    said = role(word)
-    forces = F.coalesce(F.when(word.contains("-"), said == "ForcedSubtitle").otherwise(said == "Subtitle"), F.lit(False))
+    # what is named many times below is a column of its own: branches would each work it out again
+    representations = representations.withColumn("word", F.when(role(here).isNotNull(), here).otherwise(above)).withColumn("said", role(F.col("word")))
+    word, said = F.col("word"), F.col("said")
+    representations = representations.withColumns({"forces": F.coalesce(F.when(word.contains("-"), said == "ForcedSubtitle").otherwise(said == "Subtitle"), F.lit(False)), "mime": either("_mimeType")})
+    forces, mime = F.col("forces"), F.col("mime")
     top = F.substring_index("content", "/", 1)
     media_type = F.when(forces | either("_codecs").isin("stpp", "wvtt") | (top == "text"), "Subtitles").when(top == "audio", "Audio")
-    mime = either("_mimeType")
     plain = F.when(forces & mime.contains("ttml"), "ttml").otherwise(F.get(F.split(mime, "/"), 1))
+    representations = representations.withColumns({"kind": media_type, "plain": plain})
+    media_type, plain = F.col("kind"), F.col("plain")
     n = F.aggregate("runs", F.lit(0).cast("bigint"), lambda s, run: s + run["n"])
     extension = F.when(media_type == "Subtitles", F.when(plain == "mp4", "m4s").otherwise(plain)).when(plain.isNull() | (n > 1), "m4s").otherwise(plain)
     lang = either("_lang")

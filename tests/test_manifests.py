@@ -73,3 +73,13 @@ def test_periods_are_joined_without_a_broadcast(spark, small):
     found = manifests.representations(queries.dash_documents(spark, small))
     plan = manifests.merged(manifests.dash_streams(found), manifests.dash_segments(found))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
+
+
+def test_roles_are_worked_out_once(spark):
+    words = ["forced-subtitle", "Forced-Subtitle", "forcedsubtitle", "SUBTITLE", "main", "other", "", None]
+    roles = spark.createDataFrame([(w,) for w in words], "w string").select(manifests.role(F.col("w")).alias("r")).collect()
+    assert [x["r"] for x in roles] == ["ForcedSubtitle"] * 3 + ["Subtitle", "Main", None, None, None]
+    text = '<MPD><Period><AdaptationSet mimeType="application/ttml+xml"><Role value="odd"/><Role value="main"/><Representation id="a"/><Representation id="b"><Role value="forced-subtitle"/></Representation></AdaptationSet></Period></MPD>'
+    found = manifests.dash_streams(manifests.representations(spark.createDataFrame([(1, "http://h/x.mpd", text)], "manifest_id long, url string, text string")))
+    assert [(r["role"], r["media_type"], r["extension"]) for r in found.orderBy("rep_pos").collect()] == [(None, None, "ttml+xml"), ("ForcedSubtitle", "Subtitles", "ttml")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") < 10
