@@ -240,7 +240,9 @@ def smooth_streams(levels: DataFrame) -> DataFrame:
 
 def smooth_segments(levels: DataFrame) -> DataFrame:
     """The chunks of quality levels as segments; a repeat of r means r chunks in all, a negative one as many as the document lasts."""
-    x = levels.select(*LEVEL, "url", "pattern", "scale", "whole", F.coalesce("q._Bitrate", F.lit(0)).alias("bitrate"), F.posexplode("s.c").alias("pos", "c"))
+    # a level's URL is made before its chunks are rows, and only its ticks are put in chunk by chunk
+    base = F.replace(names.combine_url(F.col("url"), F.col("pattern")), F.lit("{Bitrate}"), F.coalesce("q._Bitrate", F.lit(0)).cast("string"))
+    x = levels.select(*LEVEL, base.alias("base"), "scale", "whole", F.col("s.c").alias("chunks")).select(*LEVEL, "base", "scale", "whole", F.posexplode("chunks").alias("pos", "c"))
     d, r = F.coalesce("c._d", F.lit(0)), F.coalesce("c._r", F.lit(0))
     n = F.when(r < 0, F.greatest(F.coalesce(_times(F.col("whole").cast("double"), F.lit(1.0), d), F.lit(1)), F.lit(1))).otherwise(F.greatest(r, F.lit(1)))
     x = x.withColumns({"d": d, "n": n.cast("bigint")})
@@ -250,6 +252,5 @@ def smooth_segments(levels: DataFrame) -> DataFrame:
     x = x.withColumn("shift", F.coalesce(F.last(F.col("c._t") - F.col("ran"), ignorenulls=True).over(upto), F.lit(0)))
     x = x.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
     tick = (F.col("shift") + F.col("ran") + F.col("i") * F.col("d")).cast("string")
-    whole = names.combine_url(F.col("url"), F.col("pattern"))
-    url = F.replace(F.replace(whole, F.lit("{Bitrate}"), F.col("bitrate").cast("string")), F.lit("{start_time}"), tick)
-    return x.select(*LEVEL, (F.col("place") + F.col("i")).alias("seg_index"), url.alias("url"), (F.col("d") / F.col("scale")).alias("duration"), F.when(whole.contains("{start_time}"), tick).alias("name"))
+    url = F.replace("base", F.lit("{start_time}"), tick)
+    return x.select(*LEVEL, (F.col("place") + F.col("i")).alias("seg_index"), url.alias("url"), (F.col("d") / F.col("scale")).alias("duration"), F.when(F.col("base").contains("{start_time}"), tick).alias("name"))

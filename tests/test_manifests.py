@@ -83,3 +83,14 @@ def test_roles_are_worked_out_once(spark):
     found = manifests.dash_streams(manifests.representations(spark.createDataFrame([(1, "http://h/x.mpd", text)], "manifest_id long, url string, text string")))
     assert [(r["role"], r["media_type"], r["extension"]) for r in found.orderBy("rep_pos").collect()] == [(None, None, "ttml+xml"), ("ForcedSubtitle", "Subtitles", "ttml")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") < 10
+
+
+def test_smooth_urls_are_made_once_a_level(spark, small):
+    doc = '<SmoothStreamingMedia TimeScale="2"><StreamIndex Type="video" Url="../q{bitrate}/{start time}"><QualityLevel FourCC="H264" Bitrate="5"/><QualityLevel FourCC="H264" Url="whole"/><c t="3" d="2" r="2"/><c d="4"/></StreamIndex></SmoothStreamingMedia>'
+    x = manifests.smooth_segments(manifests.smooth_levels(documents(spark, doc)))
+    assert rows(x.where("level_pos = 0").orderBy("seg_index"), "seg_index", "url", "name") == [(k, f"http://h/q5/{t}", t) for k, t in enumerate("357")]
+    assert rows(x.where("level_pos = 1").orderBy("seg_index"), "seg_index", "url", "name") == [(k, "http://h/whole", None) for k in range(3)]
+    # what is done chunk by chunk stands above the one that makes rows of them; lines are dealt before they are texts
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan(x) and "RLIKE" not in plan(x).split("posexplode(chunks")[0]
+    assert "RepartitionByExpression" in plan(queries.smooth_documents(spark, small))
