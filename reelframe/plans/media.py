@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import boxes as make
 from reelframe.sources import boxes
+from reelframe.sources.adapters import dealt
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 #: Time units a second of the fragments.
@@ -47,7 +48,7 @@ def mp4_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def init_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column]]:
     """Tracks of Smooth Streaming, one of each order, and their facts."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", 25_000)
     key = F.col("o_orderkey")
     four = F.get(F.array(*map(F.lit, ("H264", "HVC1", "AACL", "TTML", "AACH", "EC-3", "DVH1", "XXXX"))), (key % 8).cast("int"))
     kind = F.get(F.array(*map(F.lit, ("video", "video", "audio", "text", "audio", "audio", "video", "video"))), (key % 8).cast("int"))
@@ -63,10 +64,12 @@ def init_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str,
 
 
 def init_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, data): a row of one struct through inline(), so that a filter on data does not build it again."""
     o, facts = init_streams(spark, sf_dir)
     kid = F.when((F.col("o_orderkey") % 5 == 0) & (facts["kind"] != "text"), F.unhex(F.lpad(F.hex("o_orderkey"), 32, "0")))
     data = F.encode(F.concat(F.lit("data"), F.col("o_custkey").cast("string")), "UTF-8")
-    return o.select(F.col("o_orderkey").alias("id"), make.init_segment(facts, F.lit(2), F.lit(1_700_000_000), kid, F.lit(make.PLAYREADY), data).alias("data"))
+    built = make.init_segment(facts, F.lit(2), F.lit(1_700_000_000), kid, F.lit(make.PLAYREADY), data)
+    return o.select(F.col("o_orderkey").alias("id"), F.inline(F.array(F.struct(built.alias("data")))))
 
 
 def init_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

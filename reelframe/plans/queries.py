@@ -11,6 +11,7 @@ from reelframe.operators.lineage import settled
 from reelframe.plans import grammar, media, protection, raw, reports, subtitles, ttml
 from reelframe.sources import adapters as a
 from reelframe.sources import manifests, playlists
+from reelframe.sources.adapters import dealt
 
 AD = "/ad/"
 START, END = 20.0, 60.0
@@ -127,15 +128,6 @@ def quoted(name: str, value) -> Column:
     return F.coalesce(F.concat(F.lit(f',{name}="'), value, F.lit('"')), F.lit(""))
 
 
-def dealt(rows: DataFrame, key: str, most: int = 100_000) -> DataFrame:
-    """rows of a table dealt by a key to as many tasks as their number asks for.
-
-    What is built of them is many times larger; tasks that are put together by
-    the size of the rows would hold and sort ever more of it. The count is that of the files' footers.
-    """
-    return rows.repartition(-(-rows.count() // most) or 1, key)
-
-
 def media_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A media playlist of each order, a segment of each of its lines."""
     i = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey")

@@ -5,7 +5,7 @@ Documents are (manifest_id, url, text), files (id, data). Nothing is decrypted h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, boxes as make, text as names
@@ -80,6 +80,21 @@ def smooth_protection(documents: DataFrame) -> DataFrame:
     return x.withColumn("kid", kid).select(*LEVEL, F.lit("Cenc").alias("method"), F.lit("cenc").alias("scheme"), "system", "data", "kid", error.alias("error"))
 
 
+def _box_told(box: Column) -> Column:
+    """struct<system, data, scheme, kid>: what a box (name, payload) tells, each null where it is not its to tell."""
+    name, p = box["name"], box["payload"]
+    version = F.hex(F.substr(p, F.lit(1), F.lit(1)))
+    at = F.when(version == "01", F.lit(24) + F.coalesce(boxes.uint(p, 20), F.lit(0)) * 16).otherwise(20)
+    digits = F.lower(F.hex(F.substr(p, F.lit(5), F.lit(16))))
+    system = F.coalesce(*(F.when(digits == k, F.lit(v)) for k, v in SYSTEMS.items()))
+    whole = (F.length(p) >= 24) & version.isin("00", "01") & (F.length(p) >= at + 4 + boxes.uint(p, at))
+    of = lambda kind, value: F.when(name == kind, value)
+    return F.struct(
+        of("pssh", F.when(whole, system)).alias("system"), of("pssh", F.substr(p, (at + 5).cast("int"), boxes.uint(p, at).cast("int"))).alias("data"),
+        of("schm", F.decode(F.substr(p, F.lit(5), F.lit(4)), "ISO-8859-1")).alias("scheme"), of("tenc", F.when(F.length(p) >= 24, F.lower(F.hex(F.substr(p, F.lit(9), F.lit(16)))))).alias("kid"),
+    )
+
+
 def file_protection(files: DataFrame) -> DataFrame:
     """(id, scheme, kid, is_multi, systems) of MP4 files (id, data), one row each.
 
@@ -88,35 +103,21 @@ def file_protection(files: DataFrame) -> DataFrame:
     file is one of several systems. systems: struct<system, data> of the known
     systems' boxes in order, data in base64.
     """
-    found = boxes.payloads(files, boxes.boxes(files), "pssh", "schm", "tenc")
-    p = F.col("payload")
-    version = F.hex(F.substr(p, F.lit(1), F.lit(1)))
-    at = F.when(version == "01", F.lit(24) + F.coalesce(boxes.uint(p, 20), F.lit(0)) * 16).otherwise(20)
-    data = F.substr(p, (at + 5).cast("int"), boxes.uint(p, at).cast("int"))
-    system = F.lit(None).cast("string")
-    for digits, name in SYSTEMS.items():
-        system = F.when(F.lower(F.hex(F.substr(p, F.lit(5), F.lit(16)))) == digits, name).otherwise(system)
-    whole = (F.length(p) >= 24) & version.isin("00", "01") & (F.length(p) >= at + 4 + boxes.uint(p, at))
-    x = found.select(
-        "id", "nth", "name", F.when((F.col("name") == "pssh") & whole, system).alias("system"), data.alias("data"),
-        F.when(F.col("name") == "schm", F.decode(F.substr(p, F.lit(5), F.lit(4)), "ISO-8859-1")).alias("scheme"),
-        F.when((F.col("name") == "tenc") & (F.length(p) >= 24), F.lower(F.hex(F.substr(p, F.lit(9), F.lit(16))))).alias("kid"),
-    )
-    order = Window.partitionBy("id").orderBy("nth")
+    x = boxes.payloads(files, "pssh", "schm", "tenc").select("id", F.transform("held", _box_told).alias("told"))
+    those = lambda c: F.filter("told", lambda b: b[c].isNotNull())
     # at a system's box the key identifier is that of the entry before it, or else of the first behind it
-    before = F.last("kid", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first("kid", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    x = x.withColumn("then", F.coalesce(before, behind))
-    own = F.when((F.col("system") == "Widevine") & (F.col("then") == ZERO_KID) & (F.length("data") >= 18), F.lower(F.hex(F.substr("data", F.lit(3), F.lit(16)))))
-    x = x.withColumn("own", own)
-    listed = F.array_sort(F.collect_list(F.when(F.col("system").isNotNull(), F.struct("nth", "system", F.regexp_replace(F.base64("data"), "\\s", "").alias("data")))))
-    new = F.coalesce("own", "kid")
-    out = x.groupBy("id").agg(
-        F.max_by("scheme", F.when(F.col("scheme").isNotNull(), F.col("nth"))).alias("scheme"), F.max_by(new, F.when(new.isNotNull(), F.col("nth"))).alias("kid"),
-        F.max(F.col("own").isNotNull()).alias("is_multi"), F.transform(listed, lambda s: F.struct(s["system"].alias("system"), s["data"].alias("data"))).alias("systems"),
-    )
-    none = F.array().cast("array<struct<system:string,data:string>>")
-    return files.select("id").join(out, "id", "left").select("id", "scheme", "kid", F.coalesce("is_multi", F.lit(False)).alias("is_multi"), F.coalesce("systems", none).alias("systems"))
+    none = F.lit(None).cast("string")
+    start = F.struct(F.get(those("kid"), 0)["kid"].alias("then"), none.alias("kid"), F.lit(False).alias("is_multi"))
+
+    def with_box(state: Column, b: Column) -> Column:
+        then = F.coalesce(b["kid"], state["then"])
+        taken = (b["system"] == "Widevine") & (then == ZERO_KID) & (F.length(b["data"]) >= 18)
+        own = F.when(taken, F.lower(F.hex(F.substr(b["data"], F.lit(3), F.lit(16)))))
+        return F.struct(then.alias("then"), F.coalesce(own, b["kid"], state["kid"]).alias("kid"), (state["is_multi"] | own.isNotNull()).alias("is_multi"))
+
+    listed = F.transform(those("system"), lambda b: F.struct(b["system"].alias("system"), F.regexp_replace(F.base64(b["data"]), "\\s", "").alias("data")))
+    x = x.select("id", F.try_element_at(those("scheme"), F.lit(-1))["scheme"].alias("scheme"), F.aggregate("told", start, with_box).alias("end"), listed.alias("systems"))
+    return x.select("id", "scheme", "end.kid", "end.is_multi", "systems")
 
 
 def choose_key(keys: Column, kid: Column, is_multi: Column) -> Column:

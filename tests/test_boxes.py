@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelframe.functions import boxes as make
+from reelframe.plans import protection as protection_plans
 from reelframe.sources import boxes, protection
 
 
@@ -182,3 +183,15 @@ def test_wvtt_in_one_pass(spark):
     assert plan.count("MapInArrow") == 1 and "Join" not in plan
     samples = boxes.fragments(segments)[1].where("doc_id = 2").orderBy("k")
     assert [tuple(r) for r in samples.collect()] == [(2, 0, 0, 0, 7, None), (2, 0, 1, 7, 14, None)]
+
+
+def test_files_are_read_once(spark, small):
+    # rows that repeat an id are told by themselves, a file of nothing has no systems; nothing is joined or sorted
+    data = box("moov", pssh(make.PLAYREADY, b"p"), box("trak", box("mdia", box("minf", box("stbl", full("stsd", u32(1), entry(bytes(16)))))))), box("moov", pssh(make.FAIRPLAY, b""))
+    rows = [(1, bytearray(data[0])), (1, bytearray(data[1])), (2, None), (None, bytearray(data[1]))]
+    got = protection.file_protection(spark.createDataFrame(rows, "id long, data binary"))
+    assert sorted(((r["id"], r["scheme"], r["kid"], r["is_multi"], [tuple(s) for s in r["systems"]]) for r in got.collect()), key=str) == [
+        (1, "cenc", "0" * 32, False, [("PlayReady", "cA==")]), (1, None, None, False, [("FairPlay", "")]), (2, None, None, False, []), (None, None, None, False, [("FairPlay", "")]),
+    ]
+    plan = protection_plans.file_keys(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Window" not in plan and plan.count("inline(") == 1
