@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.functions import moments
+from reelframe.functions.once import let
 from reelframe.operators.select import number_text
 
 #: Names of media types and methods in metadata, and of the fields in their order.
@@ -33,11 +34,12 @@ def object_(indent: int, *fields: tuple[str, Column]) -> Column:
 
 def list_(indent: int, items: Column) -> Column:
     inside = " " * (indent + 2)
-    return F.when(F.size(items) == 0, "[]").otherwise(F.concat(F.lit("[\n" + inside), F.array_join(items, ",\n" + inside), F.lit("\n" + " " * indent + "]")))
+    return let(items, lambda x: F.when(F.size(x) == 0, "[]").otherwise(F.concat(F.lit("[\n" + inside), F.array_join(x, ",\n" + inside), F.lit("\n" + " " * indent + "]"))))
 
 
 def of_names(column: Column, names: dict[str, str]) -> Column:
-    return F.coalesce(*(F.when(column == k, F.lit(v)) for k, v in names.items()))
+    """A fixed name as a JSON string."""
+    return F.coalesce(*(F.when(column == k, F.lit(f'"{v}"')) for k, v in names.items()))
 
 
 def metadata_json(streams: DataFrame, segments: DataFrame) -> DataFrame:
@@ -47,32 +49,42 @@ def metadata_json(streams: DataFrame, segments: DataFrame) -> DataFrame:
     there. segments: stream_pos, part_pos, seg_pos, seg_index, duration, url,
     method, and start_range, expected_length, title, date_time, key, iv where
     they are there. A stream without segments has no playlist.
+
+    Rows are dealt out as they are, segments to their stream and streams to their
+    manifest, before anything is gathered; texts are written last and not shuffled.
     """
-    has = lambda df, c: c in df.columns
-    text = lambda df, c: quoted(F.col(c).cast("string")) if has(df, c) else F.lit(None).cast("string")
-    number = lambda df, c: number_text(F.col(c)) if has(df, c) else F.lit(None).cast("string")
+    mine, theirs = set(segments.columns), set(streams.columns)
+    nothing = F.lit(None).cast("string")
     said = lambda flag: F.when(flag, "true").otherwise("false")
-    coded = object_(14, ("Method", quoted(of_names(F.col("method"), METHODS))), *((n, quoted(F.regexp_replace(F.base64(c), r"\s", "")) if has(segments, c) else F.lit(None).cast("string")) for n, c in (("Key", "key"), ("IV", "iv"))))
-    stop = (F.col("start_range") + F.col("expected_length") - 1).cast("string") if has(segments, "start_range") else F.lit(None).cast("string")
-    one = object_(
-        12, ("Index", F.col("seg_index").cast("string")), ("Duration", number(segments, "duration")), ("Title", text(segments, "title")), ("DateTime", text(segments, "date_time")), ("StartRange", number(segments, "start_range")),
-        ("StopRange", stop), ("ExpectLength", number(segments, "expected_length")), ("EncryptInfo", coded), ("IsEncrypted", said(F.col("method") != "None")), ("Url", quoted(F.replace("url", F.lit("%20"), F.lit(" ")))), ("NameFromVar", text(segments, "name_from_var")),
-    )
-    in_order = lambda items: F.transform(F.array_sort(F.collect_list(items)), lambda x: x["text"])
-    parts = segments.select("stream_pos", "part_pos", "duration", F.struct("seg_pos", one.alias("text")).alias("x")).groupBy("stream_pos", "part_pos").agg(in_order(F.col("x")).alias("xs"), F.sum("duration").alias("duration"), F.count("*").alias("n"))
-    part = object_(8, ("MediaSegments", list_(10, F.col("xs"))))
-    lists = parts.select("stream_pos", "duration", "n", F.struct("part_pos", part.alias("text")).alias("x")).groupBy("stream_pos").agg(in_order(F.col("x")).alias("xs"), F.sum("duration").alias("total"), F.sum("n").alias("n"))
-    x = streams.join(lists, "stream_pos", "left")
-    live = F.col("is_live") if has(streams, "is_live") else F.lit(False)
-    refresh = F.col("refresh_ms").cast("double") if has(streams, "refresh_ms") else F.lit(None).cast("double")
-    playlist = object_(4, ("Url", F.lit('""')), ("IsLive", said(live)), ("RefreshIntervalMs", number_text(F.coalesce(refresh, F.lit(15_000.0)))), ("TotalDuration", number_text(F.col("total"))), ("TargetDuration", number(streams, "target_duration")), ("MediaParts", list_(6, F.col("xs"))))
-    address = lambda c: quoted(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(" "), F.lit("%20"))) if has(streams, c) else F.lit('""')
-    whole = object_(
-        2, ("MediaType", quoted(of_names(F.col("media_type"), TYPES))), *((n, text(streams, c)) for n, c in BEFORE), ("SkippedDuration", number(streams, "skipped_duration")), ("Bandwidth", number(streams, "bandwidth")), *((n, text(streams, c)) for n, c in FACTS),
-        ("FrameRate", number(streams, "frame_rate")), *((n, text(streams, c)) for n, c in AFTER), ("Url", address("url")), ("OriginalUrl", address("original_url")), ("Playlist", F.when(F.col("xs").isNotNull(), playlist)), ("SegmentsCount", F.coalesce("n", F.lit(0)).cast("string")),
-    )
-    each = x.select("manifest_id", F.struct("stream_pos", whole.alias("text")).alias("x")).groupBy("manifest_id").agg(in_order(F.col("x")).alias("xs"))
-    return each.select("manifest_id", list_(0, F.col("xs")).alias("body"))
+    text = lambda of, x, c: quoted(x[c].cast("string")) if c in of else nothing
+    number = lambda of, x, c: number_text(x[c]) if c in of else nothing
+
+    def segment(s: Column) -> Column:
+        coded = object_(14, ("Method", of_names(s["method"], METHODS)), *((n, quoted(F.regexp_replace(F.base64(s[c]), r"\s", "")) if c in mine else nothing) for n, c in (("Key", "key"), ("IV", "iv"))))
+        stop = (s["start_range"] + s["expected_length"] - 1).cast("string") if "start_range" in mine else nothing
+        return object_(
+            12, ("Index", s["seg_index"].cast("string")), ("Duration", number(mine, s, "duration")), ("Title", text(mine, s, "title")), ("DateTime", text(mine, s, "date_time")), ("StartRange", number(mine, s, "start_range")),
+            ("StopRange", stop), ("ExpectLength", number(mine, s, "expected_length")), ("EncryptInfo", coded), ("IsEncrypted", said(s["method"] != "None")), ("Url", quoted(F.replace(s["url"], F.lit("%20"), F.lit(" ")))), ("NameFromVar", text(mine, s, "name_from_var")),
+        )
+
+    def stream(s: Column) -> Column:
+        live = s["is_live"] if "is_live" in theirs else F.lit(False)
+        refresh = s["refresh_ms"].cast("double") if "refresh_ms" in theirs else F.lit(None).cast("double")
+        parts = F.transform(s["parts"], lambda p: object_(8, ("MediaSegments", list_(10, F.transform(p["xs"], segment)))))
+        playlist = object_(4, ("Url", F.lit('""')), ("IsLive", said(live)), ("RefreshIntervalMs", number_text(F.coalesce(refresh, F.lit(15_000.0)))), ("TotalDuration", number_text(s["total"])), ("TargetDuration", number(theirs, s, "target_duration")), ("MediaParts", list_(6, parts)))
+        address = lambda c: quoted(F.replace(F.coalesce(s[c], F.lit("")), F.lit(" "), F.lit("%20"))) if c in theirs else F.lit('""')
+        return object_(
+            2, ("MediaType", of_names(s["media_type"], TYPES)), *((n, text(theirs, s, c)) for n, c in BEFORE), ("SkippedDuration", number(theirs, s, "skipped_duration")), ("Bandwidth", number(theirs, s, "bandwidth")), *((n, text(theirs, s, c)) for n, c in FACTS),
+            ("FrameRate", number(theirs, s, "frame_rate")), *((n, text(theirs, s, c)) for n, c in AFTER), ("Url", address("url")), ("OriginalUrl", address("original_url")), ("Playlist", F.when(s["parts"].isNotNull(), playlist)), ("SegmentsCount", F.coalesce(s["n"], F.lit(0)).cast("string")),
+        )
+
+    told = [c for c in segments.columns if c not in ("stream_pos", "part_pos", "seg_pos")]
+    held = F.transform(F.sort_array(F.collect_list(F.struct("seg_pos", F.struct(*told).alias("x")))), lambda s: s["x"])
+    parts = segments.repartition("stream_pos").groupBy("stream_pos", "part_pos").agg(held.alias("xs"), F.sum("duration").alias("duration"), F.count("*").alias("n"))
+    lists = parts.groupBy("stream_pos").agg(F.sort_array(F.collect_list(F.struct("part_pos", "xs"))).alias("parts"), F.sum("duration").alias("total"), F.sum("n").alias("n"))
+    x = streams.join(lists, "stream_pos", "left").repartition("manifest_id")
+    each = x.groupBy("manifest_id").agg(F.sort_array(F.collect_list(F.struct("stream_pos", *(c for c in x.columns if c not in ("manifest_id", "stream_pos"))))).alias("xs"))
+    return each.select("manifest_id", list_(0, F.transform("xs", stream)).alias("body"))
 
 
 def media_infos(outputs: DataFrame) -> DataFrame:

@@ -273,3 +273,17 @@ def test_media_infos_need_no_exchange(spark):
     assert got == [(1, 0, "Video", 1500, "h264", False), (1, 1, "Audio", 1500, "aac", False), (2, 0, "Unknown", None, None, False), (3, 0, "Unknown", None, None, False)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_metadata_texts_are_not_shuffled(spark):
+    import json
+
+    streams = spark.createDataFrame([(1, 10, "Audio", 'a "b"'), (1, 9, None, None), (2, 11, "Video", "c")], "manifest_id long, stream_pos long, media_type string, url string")
+    segments = spark.createDataFrame([(10, 1, 0, 5, 1.5, "u%20v", "None"), (10, 0, 2, 7, 2.0, "w", "Aes128"), (10, 0, 1, 6, 4.0, "x", "Unknown"), (12, 0, 0, 0, 1.0, "y", "None")], "stream_pos long, part_pos int, seg_pos long, seg_index long, duration double, url string, method string")
+    found = reports.metadata_json(streams, segments)
+    got = {r["manifest_id"]: json.loads(r["body"]) for r in found.collect()}
+    assert [s["SegmentsCount"] for s in got[1]] == [0, 3] and "Playlist" not in got[1][0] and got[2][0]["Url"] == "c" and got[1][1]["Url"] == 'a%20"b"'
+    playlist = got[1][1]["Playlist"]
+    assert playlist["TotalDuration"] == 7.5 and [[(s["Index"], s["Duration"], s["EncryptInfo"]["Method"], s["Url"]) for s in p["MediaSegments"]] for p in playlist["MediaParts"]] == [[(6, 4, "UNKNOWN", "x"), (7, 2, "AES_128", "w")], [(5, 1.5, "NONE", "u v")]]
+    above, *below = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression [manifest_id")
+    assert below and "EncryptInfo" in above and "EncryptInfo" not in "".join(below) and "MediaType" not in "".join(below)
