@@ -29,7 +29,8 @@ def iso_duration(text: Column) -> Column:
     form = r"^P(?:(\d+(?:\.\d+)?)D)?(?:T(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
     total = F.lit(0.0)
     for k, unit in enumerate((86_400, 3_600, 60, 1), 1):
-        total = total + F.coalesce(F.regexp_extract(text, form, k).try_cast("double"), F.lit(0.0)) * unit
+        part = F.regexp_extract(text, form, k)
+        total = total + F.coalesce(F.when(part != "", part.try_cast("double")), F.lit(0.0)) * unit
     return F.when(text.rlike(form), total)
 
 

@@ -104,9 +104,16 @@ def _filler(name: str) -> Callable[[Column], Column]:
 
 
 def _filled(text: Column, name: str, plain: Column) -> Column:
-    width = F.coalesce(F.regexp_extract(text, rf"\${name}%0(\d+)d\$", 1).try_cast("int"), F.lit(0))
-    padded = F.concat(F.repeat(F.lit("0"), F.greatest(width - F.length(plain), F.lit(0))), plain)
-    return F.replace(F.regexp_replace(text, F.lit(rf"\${name}%0\d+d\$"), padded), F.lit(f"${name}$"), F.coalesce(plain, F.lit("")))
+    # without a width there is nothing to cast: a cast that fails costs more than all the rest
+    told = F.regexp_extract(text, rf"\${name}%0(\d+)d\$", 1)
+    width = F.coalesce(F.when(told != "", told.try_cast("int")), F.lit(0))
+    padded = F.regexp_replace(text, F.lit(rf"\${name}%0\d+d\$"), zero_padded(plain, width))
+    return F.replace(F.when(text.contains(f"${name}%0"), padded).when(plain.isNotNull(), text), F.lit(f"${name}$"), F.coalesce(plain, F.lit("")))
+
+
+def zero_padded(plain: Column, width: Column) -> Column:
+    """A text with zeros before it up to a width; a longer one stays."""
+    return F.concat(F.repeat(F.lit("0"), F.greatest(width - F.length(plain), F.lit(0))), plain)
 
 
 def combine_url(base: Column, ref: Column) -> Column:

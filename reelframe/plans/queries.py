@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, planning, text
 from reelframe.operators import clip, cues, events, jobs, live, select
-from reelframe.operators.lineage import settled
 from reelframe.plans import grammar, media, protection, raw, reports, subtitles, ttml
 from reelframe.sources import adapters as a
 from reelframe.sources import manifests, playlists
@@ -157,7 +156,7 @@ def master_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A DASH document of each order: a timeline and a list of its lines in two periods, and a numbered track in both."""
-    i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    i = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", 25_000)
     part, order = F.col("l_partkey"), F.col("l_orderkey")
     said = lambda c: c.cast("string")
     entry = F.concat(F.lit("<S"), F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(' t="'), said(F.col("l_suppkey")), F.lit('"'))).otherwise(""), F.lit(' d="'), said(F.col("l_quantity").cast("long")), F.lit('" r="'), F.when(part % 10 == 9, "-1").otherwise(said(part % 3)), F.lit('"/>'))
@@ -232,8 +231,7 @@ def dash(spark, d):
 
 
 def dash_joined(spark, d):
-    found = settled(dash(spark, d))  # streams and segments, twice, come from one parse
-    return manifests.merged(manifests.dash_streams(found), manifests.dash_segments(found)).select("manifest_id", "period_pos", "set_pos", "part", "seg_index", "url", "duration")
+    return manifests.merged_at_once(dash(spark, d)).select("manifest_id", "period_pos", "set_pos", "part", "seg_index", "url", "duration")
 
 
 def segment_rows(spark, d):

@@ -34,6 +34,9 @@ ROLES = ("Subtitle", "Main", "Alternate", "Supplementary", "Commentary", "Dub",
 WINDOW_SECONDS = 60.0
 FOUR_CC = ("HVC1", "HEV1", "AACL", "AACH", "EC-3", "H264", "AVC1", "DAVC", "TTML", "DVHE", "DVH1")
 SMOOTH_TICKS = 10_000_000
+#: What stands for a number with a width while a URL is made (no XML has it), and a listed name that stands beside its base as it is.
+MARK = "\u0001"
+NAME = r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"
 
 REPRESENTATION = ["manifest_id", "period_pos", "set_pos", "rep_pos"]
 _RUN = "struct<kind: string, ref: string, range: string, t: bigint, d: bigint, n: bigint, seconds: double>"
@@ -103,7 +106,10 @@ def representations(documents: DataFrame, now: Column | None = None) -> DataFram
     templated = F.when(F.col("media").isNull(), none).when(F.col("line").isNotNull(), F.coalesce(timeline, none)).otherwise(numbered)
     one = F.array(_run("base", n=1, seconds=F.coalesce("seconds", F.lit(0.0))))
     x = x.withColumn("runs", let(F.filter(F.concat(whole, urls, templated), lambda run: run["n"] > 0), lambda runs: F.when(F.size(runs) > 0, runs).otherwise(one)))
-    fill = lambda c: names.template(c, {"RepresentationID": F.coalesce("r._id", F.lit("")), "Bandwidth": F.coalesce("r._bandwidth", F.lit(""))})
+    given = {"RepresentationID": F.coalesce("r._id", F.lit("")), "Bandwidth": F.coalesce("r._bandwidth", F.lit(""))}
+    odd = lambda c: c.contains("$RepresentationID%0") | c.contains("$Bandwidth%0") | given["RepresentationID"].contains("$")
+    plain = lambda c: F.replace(F.replace(c, F.lit("$RepresentationID$"), given["RepresentationID"]), F.lit("$Bandwidth$"), given["Bandwidth"])
+    fill = lambda c: F.when(odd(c), names.template(c, given)).otherwise(plain(c))
     begun, source = listed["Initialization"], F.col("r.SegmentBase.Initialization")
     begins = F.coalesce(fill(either("_initialization")), F.when(begun.isNotNull(), F.coalesce(begun["_sourceURL"], F.lit(""))), source["_sourceURL"])
     span = F.when(either("_initialization").isNull(), F.when(begun.isNotNull(), begun["_range"]).when(source["_sourceURL"].isNotNull(), source["_range"]))
@@ -115,11 +121,20 @@ def representations(documents: DataFrame, now: Column | None = None) -> DataFram
 def role(text: Column) -> Column:
     """The role that a word stands for, upper and lower case alike, hyphens left out; null for others."""
     known = F.create_map(*(F.lit(x) for r in ROLES for x in (r.lower(), r)))
-    return F.try_element_at(known, F.lower(F.replace(text, F.lit("-"), F.lit(""))))
+    # all are of letters that lower() gives to no others, and it costs many times as much
+    return F.try_element_at(known, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ-", "abcdefghijklmnopqrstuvwxyz"))
 
 
-def dash_streams(representations: DataFrame) -> DataFrame:
-    """The streams of DASH representations, by position; see merged() for documents of several periods."""
+def _group_id() -> Column:
+    return F.concat("r._id", F.coalesce(F.concat(F.lit("-"), "r._volumeAdjust"), F.lit("")))
+
+
+def _resolution() -> Column:
+    return F.concat("r._width", F.lit("x"), "r._height")
+
+
+def _typed(representations: DataFrame) -> DataFrame:
+    """representations with said (the role), mime, kind (the media type) and plain (what the type of its files says)."""
     r, a = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"a.{c}"))
     either = lambda c: F.coalesce(r(c), a(c))
     here, above = F.get(r("Role"), 0)["_value"], F.get(a("Role"), 0)["_value"]
@@ -131,75 +146,155 @@ def dash_streams(representations: DataFrame) -> DataFrame:
     top = F.substring_index("content", "/", 1)
     media_type = F.when(forces | either("_codecs").isin("stpp", "wvtt") | (top == "text"), "Subtitles").when(top == "audio", "Audio")
     plain = F.when(forces & mime.contains("ttml"), "ttml").otherwise(F.get(F.split(mime, "/"), 1))
-    representations = representations.withColumns({"kind": media_type, "plain": plain})
-    media_type, plain = F.col("kind"), F.col("plain")
+    return representations.withColumns({"kind": media_type, "plain": plain})
+
+
+def dash_streams(representations: DataFrame) -> DataFrame:
+    """The streams of DASH representations, by position; see merged() for documents of several periods."""
+    r, a = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"a.{c}"))
+    either = lambda c: F.coalesce(r(c), a(c))
+    representations = _typed(representations)
+    media_type, plain, said = F.col("kind"), F.col("plain"), F.col("said")
     n = F.aggregate("runs", F.lit(0).cast("bigint"), lambda s, run: s + run["n"])
     extension = F.when(media_type == "Subtitles", F.when(plain == "mp4", "m4s").otherwise(plain)).when(plain.isNull() | (n > 1), "m4s").otherwise(plain)
     lang = either("_lang")
     return representations.select(
-        *REPRESENTATION, "period_id", F.concat(r("_id"), F.coalesce(F.concat(F.lit("-"), r("_volumeAdjust")), F.lit(""))).alias("group_id"), media_type.alias("media_type"),
+        *REPRESENTATION, "period_id", _group_id().alias("group_id"), media_type.alias("media_type"),
         F.coalesce(r("_bandwidth").try_cast("int").cast("bigint"), F.lit(0).cast("bigint")).alias("bandwidth"), either("_codecs").alias("codecs"),
         F.when(lang.isNotNull(), F.when(lang.rlike(r"^[\p{L}\p{N}_-]+$"), lang).otherwise("und")).alias("language"), F.get(a("Label"), 0).alias("name"),
-        F.coalesce(moments.frame_rate(a("_frameRate")), moments.frame_rate(r("_frameRate"))).alias("frame_rate"), F.concat(r("_width"), F.lit("x"), r("_height")).alias("resolution"),
+        F.coalesce(moments.frame_rate(a("_frameRate")), moments.frame_rate(r("_frameRate"))).alias("frame_rate"), _resolution().alias("resolution"),
         F.coalesce(F.get(a("AudioChannelConfiguration"), 0)["_value"], F.get(r("AudioChannelConfiguration"), 0)["_value"]).alias("channels"), extension.alias("extension"), said.alias("role"),
         either("_videoRange").alias("video_range"), "is_live", F.when(F.col("is_live"), F.col("depth") * 500).alias("refresh_ms"), names.combine_url(F.col("base"), F.col("begins")).alias("init_url"), "init_range", n.alias("segment_count"),
     )
 
 
-def dash_segments(representations: DataFrame) -> DataFrame:
-    """The segments of DASH representations, with index, name, URL, duration and byte range.
+def _patterned(representations: DataFrame) -> DataFrame:
+    """representations with what their segments' URLs have in common, so that only numbers and ticks are put in segment by segment.
+
+    pattern: the media template as seen from the base, its padded numbers as MARK; null where filling it first could
+    give another URL, as numbers in a scheme or a base that looks like a template. beside: what stands before a plain name.
+    """
+    media, base = F.col("media"), F.col("base")
+    whole = media.rlike(names.ABSOLUTE) | ~media.contains("://")
+    plain = ~base.contains("$") & ~base.contains(MARK) & ~media.contains(MARK)
+    told = F.regexp_extract(media, r"\$Number%0(\d+)d\$", 1)
+    x = representations.withColumns({"pattern": F.when(whole & plain, names.combine_url(base, media)), "beside": names.combine_url(base, F.lit("x")), "width": F.when(told != "", F.coalesce(told.try_cast("int"), F.lit(0))),
+                                     "counted": media.contains("$Number"), "timed": media.contains("$Time")})
+    marked = F.when(F.col("width").isNotNull(), F.regexp_replace("pattern", r"\$Number%0\d+d\$", MARK)).otherwise(F.col("pattern"))
+    return x.withColumns({"pattern": marked, "beside": F.substr("beside", F.lit(1), F.length("beside") - 1), "media": F.when(F.col("pattern").isNull(), media)})
+
+
+#: What _patterned() tells of a representation.
+PATTERN = ["base", "media", "first", "is_live", "pattern", "beside", "width", "counted", "timed"]
+
+
+def _placed(runs: DataFrame) -> DataFrame:
+    """Rows of runs with the number of segments before each, of those that no template names, of whole files, and its first tick.
 
     An entry's first tick is what it says, or else the end of the entry before it:
-    the latest given tick, and all that ran since. One exchange, by representation.
+    the latest given tick, and all that ran since.
     """
-    runs = representations.select(*REPRESENTATION, "base", "media", "first", "is_live", F.posexplode("runs").alias("pos", "run")).select("*", "run.*").drop("run")
     order = Window.partitionBy(*REPRESENTATION).orderBy("pos")
     earlier, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     ahead = lambda c, when=None: F.coalesce(F.sum(c if when is None else F.when(when, c)).over(earlier), F.lit(0))
     by_template = F.col("kind").isin("timeline", "number")
     runs = runs.withColumns({"place": ahead(F.col("n")), "past": ahead(F.col("n"), ~by_template), "ran": ahead(F.col("n") * F.col("d"), F.col("kind") == "timeline"), "wholes": ahead(F.col("n"), F.col("kind") == "base")})
-    runs = runs.withColumn("shift", F.coalesce(F.last(F.when(F.col("kind") == "timeline", F.col("t") - F.col("ran")), ignorenulls=True).over(upto), F.lit(0)))
-    x = runs.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    return runs.withColumn("begun", F.coalesce(F.last(F.when(F.col("kind") == "timeline", F.col("t") - F.col("ran")), ignorenulls=True).over(upto), F.lit(0)) + F.col("ran"))
+
+
+def _named(x: DataFrame) -> DataFrame:
+    """Rows of a run, its place and the i-th of its segments, with seg_pos, seg_index, url and name."""
     kind, nth = F.col("kind"), F.col("place") + F.col("i")
     index = F.when(kind == "base", nth).when(kind == "list", nth - F.col("wholes")).otherwise(nth - F.col("past"))
-    x = x.withColumns({"seg_pos": nth, "index": index, "tick": F.when(kind == "timeline", F.col("shift") + F.col("ran") + F.col("i") * F.col("d")), "number": F.col("first") + index + F.when(kind == "number", F.col("t")).otherwise(0)})
-    with_number = names.template(F.col("media"), {"Number": F.col("number")})
-    ref = F.when(kind == "timeline", F.replace(with_number, F.lit("$Time$"), F.col("tick").cast("string"))).when(kind == "number", with_number).otherwise(F.col("ref"))
-    name = F.when((kind == "timeline") & F.col("media").contains("$Time"), F.col("tick")).when((kind == "number") & F.col("media").contains("$Number"), F.col("number"))
-    x = x.withColumn("ref", ref)  # a column of its own: combine_url() names it many times
+    x = x.withColumns({"seg_pos": nth, "index": index, "tick": F.when(kind == "timeline", F.col("begun") + F.col("i") * F.col("d")), "number": F.col("first") + index + F.when(kind == "number", F.col("t")).otherwise(0)})
+    said, tick, ref = F.col("number").cast("string"), F.col("tick").cast("string"), F.col("ref")
+    timed = (kind == "timeline") & F.col("timed")
+    number = F.when(F.col("width").isNotNull(), F.replace("pattern", F.lit(MARK), names.zero_padded(said, F.col("width")))).otherwise(F.col("pattern"))
+    numbered = F.when(F.col("counted"), F.replace(number, F.lit("$Number$"), said)).otherwise(F.col("pattern"))
+    filled = F.when(timed, F.replace(numbered, F.lit("$Time$"), tick)).otherwise(numbered)
+    listed = F.when(ref.rlike(NAME), F.concat("beside", ref)).otherwise(names.combine_url(F.col("base"), ref))
+    # a column of its own: combine_url() names it many times
+    x = x.withColumn("odd", F.when(F.col("pattern").isNull() & kind.isin("timeline", "number"), names.template(F.col("media"), {"Number": F.col("number")})))
+    odd = names.combine_url(F.col("base"), F.when(kind == "timeline", F.replace("odd", F.lit("$Time$"), tick)).otherwise(F.col("odd")))
+    # a list's entry without a name, and a segment without a number, are the base
+    url = F.when(kind == "base", F.col("base")).when(kind == "list", F.coalesce(listed, F.col("base"))).otherwise(F.coalesce(F.when(F.col("pattern").isNotNull(), filled).otherwise(odd), F.col("base")))
+    return x.withColumns({"url": url, "seg_index": F.when((kind == "number") & F.col("is_live"), F.col("number")).otherwise(F.col("index")), "name": F.when(timed, tick).when((kind == "number") & F.col("counted"), said)})
+
+
+def _segments(patterned: DataFrame, *more: str) -> DataFrame:
+    """The segments of representations with their patterns, and the columns named in more."""
+    # there always is a run; an inner posexplode would work out all runs once more, to ask whether there is one
+    runs = patterned.select(*REPRESENTATION, *more, *PATTERN, F.posexplode_outer("runs").alias("pos", "run")).select("*", "run.*").drop("run")
+    x = _named(_placed(runs).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i")))
     start, stop = F.substring_index("range", "-", 1).try_cast("bigint"), F.substring_index("range", "-", -1).try_cast("bigint")
-    return x.select(*REPRESENTATION, "seg_pos", F.when((kind == "number") & F.col("is_live"), F.col("number")).otherwise(F.col("index")).alias("seg_index"), F.when(F.col("ref").isNull(), F.col("base")).otherwise(names.combine_url(F.col("base"), F.col("ref"))).alias("url"),
-                    F.col("seconds").alias("duration"), name.cast("string").alias("name"), start.alias("range_start"), (stop - start + 1).alias("range_length"))
+    return x.select(*REPRESENTATION, *more, "seg_pos", "seg_index", "url", F.col("seconds").alias("duration"), "name", start.alias("range_start"), (stop - start + 1).alias("range_length"))
 
 
-def merged(streams: DataFrame, segments: DataFrame) -> DataFrame:
-    """The segments (with `part`) of documents that do not change, a stream's periods joined.
+def dash_segments(representations: DataFrame) -> DataFrame:
+    """The segments of DASH representations, with index, name, URL, duration and byte range.
 
-    Streams of one group, resolution and type are one from period to period, under
-    the position of the first. Each further period is a part, its indexes going on;
-    one that ends at the same URL as what is before it only makes the last segment
-    longer by all of its duration. Documents that change keep their streams apart.
-    Both joins are by sorting: there are as many rows as representations, which a
-    guess from the size of the folded documents would send to every executor.
+    One exchange at most, by representation; a URL is seen from its base once a
+    representation, and only its numbers are put in once a segment.
     """
-    ends = segments.groupBy(*REPRESENTATION).agg(F.max_by("url", "seg_pos").alias("last_url"), F.max("seg_pos").alias("last_pos"), F.max_by("seg_index", "seg_pos").alias("last_index"), F.sum("duration").alias("total"))
+    return _segments(_patterned(representations))
+
+
+def _homes(x: DataFrame) -> DataFrame:
+    """x (a row per representation, with its stream's facts and where its segments end) with home, part, start, more and joins, without absorbed ones; see merged()."""
     alike = ["manifest_id", "group_id", "resolution", "media_type"]
     order = Window.partitionBy(*alike).orderBy("period_pos", "set_pos", "rep_pos")
-    x = streams.select(*REPRESENTATION, "period_id", "is_live", "group_id", "resolution", "media_type").join(ends.hint("merge"), REPRESENTATION)
     head = F.first(F.struct("period_id", *REPRESENTATION[1:])).over(order)
     x = x.withColumn("head", head).withColumn("joins", ~F.col("is_live") & ~F.col("period_id").eqNullSafe(F.col("head.period_id")))
-    at_head = (F.col("head.period_pos") == F.col("period_pos")) & (F.col("head.set_pos") == F.col("set_pos")) & (F.col("head.rep_pos") == F.col("rep_pos"))
     own = F.struct(*REPRESENTATION[1:])
-    x = x.withColumn("home", F.when(F.col("joins"), F.struct(*(F.col(f"head.{c}").alias(c) for c in REPRESENTATION[1:]))).otherwise(own)).withColumn("at_head", at_head)
+    x = x.withColumn("home", F.when(F.col("joins"), F.struct(*(F.col(f"head.{c}").alias(c) for c in REPRESENTATION[1:]))).otherwise(own))
     chain = Window.partitionBy("manifest_id", "home").orderBy("period_pos", "set_pos", "rep_pos")
     x = x.withColumn("absorbed", F.coalesce(F.col("joins") & (F.lag("last_url").over(chain) == F.col("last_url")), F.lit(False)))
     kept = (~F.col("absorbed")).cast("int")
     x = x.withColumn("part", F.sum(kept).over(chain) - 1).withColumn("start", F.coalesce(F.sum(kept * (F.col("last_index") + 1)).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.withColumn("more", F.sum(F.when(F.col("absorbed"), F.col("total")).otherwise(0.0)).over(Window.partitionBy("manifest_id", "home", "part"))).where("not absorbed")
-    y = segments.join(x.select(*REPRESENTATION, "home", "part", "start", "more", "last_pos", "joins").hint("merge"), REPRESENTATION)
+    return x.withColumn("more", F.sum(F.when(F.col("absorbed"), F.col("total")).otherwise(0.0)).over(Window.partitionBy("manifest_id", "home", "part"))).where("not absorbed")
+
+
+def _joined(segments: DataFrame) -> DataFrame:
+    """Segments with their representation's home, part, start, more, last_pos and joins, as segments of streams."""
     last = F.col("seg_pos") == F.col("last_pos")
-    return y.select("manifest_id", "home.*", "part", "seg_pos", (F.col("seg_index") + F.when(F.col("joins"), F.col("start")).otherwise(0)).alias("seg_index"), "url", (F.col("duration") + F.when(last, F.col("more")).otherwise(0.0)).alias("duration"),
-                    "name", "range_start", "range_length")
+    return segments.select("manifest_id", "home.*", "part", "seg_pos", (F.col("seg_index") + F.when(F.col("joins"), F.col("start")).otherwise(0)).alias("seg_index"), "url", (F.col("duration") + F.when(last, F.col("more")).otherwise(0.0)).alias("duration"),
+                           "name", "range_start", "range_length")
+
+
+def merged(streams: DataFrame, segments: DataFrame) -> DataFrame:
+    """The segments (with `part`) of documents that do not change, a stream's periods joined.
+
+    Streams of one group, resolution and type are one from period to period, under
+    the position of the first. Each further period is a part, its indexes going on;
+    one that ends at the same URL as what is before it only makes the last segment
+    longer by all of its duration. Documents that change keep their streams apart.
+    Both joins are by sorting: there are as many rows as representations, which a
+    guess from the size of the folded documents would send to every executor.
+    """
+    ends = segments.groupBy(*REPRESENTATION).agg(F.max_by("url", "seg_pos").alias("last_url"), F.max("seg_pos").alias("last_pos"), F.max_by("seg_index", "seg_pos").alias("last_index"), F.sum("duration").alias("total"))
+    x = _homes(streams.select(*REPRESENTATION, "period_id", "is_live", "group_id", "resolution", "media_type").join(ends.hint("merge"), REPRESENTATION))
+    return _joined(segments.join(x.select(*REPRESENTATION, "home", "part", "start", "more", "last_pos", "joins").hint("merge"), REPRESENTATION))
+
+
+def _ended(patterned: DataFrame) -> DataFrame:
+    """Representations with their last segment's URL, position and index, and the total of all, told by their runs alone."""
+    count = lambda *kinds: F.aggregate(F.slice("runs", 1, F.size("runs") - 1), F.lit(0).cast("bigint"), lambda s, r: s + (F.when(r["kind"].isin(*kinds), r["n"]).otherwise(0) if kinds else r["n"]))
+    end = F.aggregate("runs", F.lit(0).cast("bigint"), lambda s, r: F.when(r["kind"] == "timeline", F.coalesce(r["t"], s) + r["n"] * r["d"]).otherwise(s))
+    total = F.aggregate("runs", F.lit(0.0), lambda s, r: s + F.coalesce(r["n"] * r["seconds"], F.lit(0.0)))
+    x = patterned.withColumns({"place": count(), "wholes": count("base"), "past": count("base", "list"), "end": end, "total": total, "run": F.element_at("runs", -1)})
+    x = _named(x.select("*", "run.*").withColumns({"i": F.col("n") - 1, "begun": F.col("end") - F.col("n") * F.col("d")}))
+    return x.select(*patterned.columns, "total", F.col("url").alias("last_url"), F.col("seg_pos").alias("last_pos"), F.col("seg_index").alias("last_index"))
+
+
+def merged_at_once(representations: DataFrame) -> DataFrame:
+    """merged() of representations whose runs are still folded.
+
+    Where a representation ends is told by its runs, so periods are joined before
+    segments are rows: nothing is joined to the segments, and what the documents
+    are dealt by is the only exchange.
+    """
+    x = _typed(representations).select(*REPRESENTATION, "period_id", "is_live", _group_id().alias("group_id"), _resolution().alias("resolution"), F.col("kind").alias("media_type"), "base", "media", "first", "runs")
+    return _joined(_segments(_homes(_ended(_patterned(x))), "home", "part", "start", "more", "last_pos", "joins"))
 
 
 def smooth_codec(four_cc: Column, private: Column) -> Column:

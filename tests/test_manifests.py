@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from reelframe.functions import blobs, planning
+from reelframe.functions import blobs, moments, planning, text as names
 from reelframe.plans import queries
 from reelframe.sources import manifests
 
@@ -94,3 +94,40 @@ def test_smooth_urls_are_made_once_a_level(spark, small):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan(x) and "RLIKE" not in plan(x).split("posexplode(chunks")[0]
     assert "RepartitionByExpression" in plan(queries.smooth_documents(spark, small))
+
+
+def test_urls_of_odd_templates_are_those_filled_first(spark):
+    """A template is seen from its base once; what that could change is filled segment by segment as before."""
+    media = ["s$Number$.m4s", "$Number%05d$/$Number$/$Time$", "../$Number%03d$?x=$Number%07d$", "http://o/$Number$/../$Time$.m4s", "h$Number$://x/$Number$", "/r/./$Number$", "?n=$Number$", "//o/$Number$", "$Number%00d$.x", "$Numbers$", "p.mp4", "$Number%99999999999d$"]
+    given = [(k, k2, b, m) for k, b in enumerate(["http://h/a/b.mpd", "http://h", "http://h/$Number$/$Time$/c", "a/../b/"]) for k2, m in enumerate(media)]
+    runs = "array(named_struct('kind', 'timeline', 'ref', null, 'range', null, 't', 90, 'd', 7, 'n', 2, 'seconds', 3.5D), named_struct('kind', 'list', 'ref', 'x.y', 'range', '3-9', 't', null, 'd', null, 'n', 1, 'seconds', 1D), named_struct('kind', 'list', 'ref', '../z', 'range', null, 't', null, 'd', null, 'n', 1, 'seconds', 1D))"
+    runs = f"transform({runs}, r -> named_struct('kind', r.kind, 'ref', cast(r.ref as string), 'range', cast(r.range as string), 't', cast(r.t as bigint), 'd', cast(r.d as bigint), 'n', cast(r.n as bigint), 'seconds', r.seconds))"
+    found = spark.createDataFrame(given, "manifest_id long, set_pos int, base string, media string").selectExpr("manifest_id", "0 as period_pos", "set_pos", "0 as rep_pos", "base", "media", "-8 + 3 as first", "false as is_live", f"{runs} as runs")
+    ref = F.replace(names.template(F.col("media"), {"Number": F.col("first") + F.col("i")}), F.lit("$Time$"), (90 + 7 * F.col("i")).cast("string"))
+    wanted = found.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("i")).withColumn("ref", ref).withColumn("url", F.coalesce(names.combine_url(F.col("base"), F.col("ref")), F.col("base")))
+    key = ["manifest_id", "set_pos", "seg_pos"]
+    got = manifests.dash_segments(found).orderBy(*key).cache()
+    assert rows(got.where("seg_pos < 2"), *key, "url") == rows(wanted.orderBy("manifest_id", "set_pos", "i"), "manifest_id", "set_pos", "i", "url")
+    listed = wanted.where("i = 0").select("manifest_id", "set_pos", F.explode(F.array(F.struct(F.lit(2).alias("seg_pos"), names.combine_url(F.col("base"), F.lit("x.y")).alias("url")), F.struct(F.lit(3).alias("seg_pos"), names.combine_url(F.col("base"), F.lit("../z")).alias("url")))).alias("x"))
+    assert rows(got.where("seg_pos >= 2"), *key, "url") == rows(listed.select("manifest_id", "set_pos", "x.*").orderBy(*key), *key, "url")
+    assert manifests._patterned(found.where("manifest_id = 0")).where("pattern is null").count() == 1
+
+
+def test_merging_at_once_gives_the_same_with_one_exchange(spark, small):
+    """It wrote all representations, and dealt and joined all segments anew."""
+    again = f'<Period id="2" duration="PT10S">{NUMBERS}</Period><Period id="3" duration="PT5S">{NUMBERS}</Period>'
+    texts = [MPD.format(head="", sets=NUMBERS + TIMELINE + BARE + NUMBERS, more=again + f'<Period id="4">{TIMELINE}{BARE}</Period>'), MPD.format(head='type="dynamic" availabilityStartTime="1970-01-01T00:00:00Z"', sets=NUMBERS, more=again), MPD.format(head='type="dynamic"', sets=NUMBERS, more="")]
+    for docs in (documents(spark, *texts), queries.dash_documents(spark, small)):
+        found = manifests.representations(docs, now=F.lit(100))
+        wanted = manifests.merged(manifests.dash_streams(found), manifests.dash_segments(found))
+        assert sorted(map(str, manifests.merged_at_once(found).collect())) == sorted(map(str, wanted.collect()))
+    plan = queries.QUERIES["dash_merged"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_a_template_without_widths_casts_nothing(spark):
+    """A cast of an empty text fails within, at the cost of a stack trace a row."""
+    x = spark.createDataFrame([("a$N$b", "7"), ("$N%03d$-$N$", "7"), ("$N%x", "7"), ("$N$", None), ("plain", None), ("$N%099999999999d$", "7")], "t string, v string")
+    assert [r[0] for r in x.select(names.template(F.col("t"), {"N": F.col("v")})).collect()] == ["a7b", "007-7", "$N%x", None, "plain", "7"]
+    assert "CASE WHEN (NOT (regexp_extract" in str(names._filled(F.col("t"), "N", F.col("v")))
+    assert [r[0] for r in spark.createDataFrame([("PT5S",), ("P1DT2H",), ("PT",), ("5S",)], "t string").select(moments.iso_duration(F.col("t"))).collect()] == [5.0, 93_600.0, 0.0, None]
