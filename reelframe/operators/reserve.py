@@ -1,20 +1,28 @@
 """Output names without collisions: every stream of a folder gets the first name of its own that no earlier stream has.
 
-One stream after the other would be a fold over a folder. Here all streams ask
-at once, each for its next name; a name goes to the earliest that asks for it,
-the others ask for their next one. As all names prefer earlier streams, what is
-left when nobody is turned down is the fold's result. A round is one exchange
-by folder and name; streams that run through the same copies go past as many of
-them as earlier ones of their kind need, so rounds are few.
+A folder is folded, one stream after the other, in one exchange by folder. A
+folder of more streams than a task should hold goes in rounds instead: all its
+streams ask at once, each for its next name; a name goes to the earliest that
+asks for it, the others ask for their next one. As all names prefer earlier
+streams, what is left when nobody is turned down is the fold's result. A round
+is one exchange by folder and name, and is written; streams that run through
+the same copies go past as many of them as earlier ones of their kind need, so
+rounds are few.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelframe.functions.groups import KINDS, folded
 from reelframe.operators.lineage import settled
 
+#: Streams of a folder that is folded, at most.
+MOST = 100_000
+
 
 def attempts(media_type: Column, resolution: Column, bandwidth: Column, language: Column, channels: Column) -> Column:
     """What a stream's facts add to a name, in the order in which they are tried."""
@@ -40,10 +48,62 @@ def reserved(streams: DataFrame, existing: DataFrame | None = None) -> DataFrame
     are there already. After the tries a name gets ".copy" once more each time. A
     stream without a file has none reserved. No rows give no rows.
     """
-    taken = None if existing is None else existing.select("folder", F.col("file").alias("name"), F.lit(True).alias("there")).distinct()
-    dotted = F.col("file").rlike(r"^.+\.[^.]*$")
-    stem, ext = F.when(dotted, F.regexp_extract("file", r"^(.+)\.[^.]*$", 1)).otherwise(F.col("file")), F.when(dotted, F.regexp_extract("file", r"(\.[^.]*)$", 1)).otherwise("")
-    x = streams.where("file is not null").select("folder", "pos", "file", "tries", stem.alias("stem"), ext.alias("ext"), F.lit(0).alias("k"))
+    rows = streams.where("file is not null").select("folder", "pos", "file", "tries")
+    there = None if existing is None else existing.select("folder", F.col("file").alias("name")).distinct()
+    large = rows.groupBy("folder").count().where(F.col("count") > MOST).select("folder")
+    if _kind(rows) not in KINDS:
+        found = _in_rounds(rows, there)
+    elif large.isEmpty():
+        found = _folded(rows, there)
+    else:
+        # null folders go with the others: eqNullSafe
+        own = large.withColumnRenamed("folder", "large")
+        alike = F.col("folder").eqNullSafe(F.col("large"))
+        found = _folded(rows.join(own, alike, "left_anti"), there).unionByName(_in_rounds(rows.join(own, alike, "left_semi"), there))
+    return streams.join(found, ["folder", "pos"], "left")
+
+
+def _split(name: Column) -> tuple[Column, Column]:
+    """What stands before a name's extension, and the extension with its dot; a leading dot is none."""
+    dotted = name.rlike(r"^.+\.[^.]*$")
+    return F.when(dotted, F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name), F.when(dotted, F.regexp_extract(name, r"(\.[^.]*)$", 1)).otherwise("")
+
+
+def _folded(rows: DataFrame, there: DataFrame | None) -> DataFrame:
+    """(folder, pos, reserved) of rows, folder by folder; what is there comes first."""
+    stem, ext = _split(F.col("file"))
+    x = rows.select("folder", F.lit(True).alias("asks"), "pos", stem.alias("stem"), ext.alias("ext"), "tries")
+    if there is not None:
+        none = {c: F.lit(None).cast(x.schema[c].dataType) for c in ("pos", "tries")}
+        x = x.unionByName(there.where("folder is not null").select("folder", F.lit(False).alias("asks"), none["pos"].alias("pos"), F.col("name").alias("stem"), F.lit("").alias("ext"), none["tries"].alias("tries")))
+
+    def fold(group: list[tuple]) -> Iterator[tuple]:
+        taken: set[str] = set()
+        copies: dict[tuple[str, str], int] = {}
+        for _, asks, pos, stem, ext, tries in group:
+            name = next((n for n in (stem + ext, *(f"{stem}.{t}{ext}" for t in tries or () if t is not None)) if n not in taken), None) if asks else stem
+            if name is None:
+                # names are never given back, so a later stream goes on where the last one of its kind was
+                k = copies.get((stem, ext), 1)
+                while (name := stem + ".copy" * k + ext) in taken:
+                    k += 1
+                copies[stem, ext] = k
+            taken.add(name)
+            if asks:
+                yield pos, name
+
+    return folded(x, "folder", ["asks", "pos"], fold, {"pos": _kind(rows), "reserved": "string"})
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["pos"].dataType.simpleString().replace("bigint", "long")
+
+
+def _in_rounds(rows: DataFrame, there: DataFrame | None) -> DataFrame:
+    """(folder, pos, reserved) of rows, all streams at once, round by round."""
+    taken = None if there is None else there.withColumn("there", F.lit(True))
+    stem, ext = _split(F.col("file"))
+    x = rows.select("folder", "pos", "file", "tries", stem.alias("stem"), ext.alias("ext"), F.lit(0).alias("k"))
     k, n = F.col("k"), F.size("tries")
     copies = F.greatest(k - n, F.lit(0))
     name = F.when(k == 0, F.col("file")).when(k <= n, F.concat("stem", F.lit("."), F.get("tries", k - 1), "ext")).otherwise(F.concat("stem", F.repeat(F.lit(".copy"), copies), "ext"))
@@ -61,5 +121,4 @@ def reserved(streams: DataFrame, existing: DataFrame | None = None) -> DataFrame
         if x.where("step > 0").isEmpty():
             break
         x = x.withColumn("k", k + F.col("step"))
-    found = x.select("folder", "pos", F.col("name").alias("reserved"))
-    return streams.join(found, ["folder", "pos"], "left")
+    return x.select("folder", "pos", F.col("name").alias("reserved"))

@@ -111,6 +111,21 @@ def test_reserved_against_a_fold(spark, seed):
     assert reserve.reserved(s.where("false")).count() == 0
 
 
+def test_small_folders_are_folded_and_nothing_is_written(spark, monkeypatch):
+    """Every round wrote all streams again."""
+    streams = [(f, p, ["a.mp4", "b", "a.copy.mp4"][p % 3], ["x"] * (p % 2)) for f in (0, 1, None) for p in range(3 + 9 * (f == 1))]
+    existing = [(1, "a.mp4"), (1, "b.copy"), (2, "b"), (None, "b")]
+    s, e = spark.createDataFrame(streams, "folder long, pos int, file string, tries array<string>"), spark.createDataFrame(existing, "folder long, file string")
+    wanted = fold([x for x in streams if x[0] is not None], existing) | {(None, p): None for p in range(3)}
+    told = lambda: {(x["folder"], x["pos"]): x["reserved"] for x in reserve.reserved(s, e).collect()}
+    monkeypatch.setattr(reserve, "MOST", 5)
+    assert told() == wanted  # one folder in rounds
+    monkeypatch.setattr(reserve, "MOST", 12)
+    monkeypatch.setattr(reserve, "settled", None)
+    assert told() == wanted
+    assert reserve.reserved(s, e).schema == reserve.reserved(s).schema
+
+
 def test_attempts(spark):
     df = spark.createDataFrame([("Video", "1x2", 1_260_000, "en", "2"), ("Video", None, 1, None, None), ("Video", "1x2", None, None, None), ("Audio", "1x2", 64_999, "en", "2"), ("Audio", None, None, None, "6"), ("Subtitles", "1x2", 5, "en", None), (None, "1x2", 5, "en", "2")], "m string, r string, b long, l string, c string")
     got = [x["t"] for x in df.select(reserve.attempts(*(F.col(c) for c in "mrblc")).alias("t")).collect()]
