@@ -33,6 +33,8 @@ from reelframe.llm.common import cut, pieces, scratch, table
 
 #: Documents of a range at most; its texts have half a million bytes at most, as far as one document has no more.
 BLOCK_DOCS = 256
+#: Blocks of a written file; a block's lists are up to about a megabyte.
+FILE_BLOCKS = 16
 #: Blocks that each query scores for its first threshold.
 FIRST_BLOCKS = 2
 #: Blocks that a task puts in order of their bounds at once.
@@ -44,7 +46,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 IN_TERM = np.array([x >= 0x80 or chr(x).isalnum() for x in range(256)])
 LOWERED = np.array([x + 32 if 65 <= x <= 90 else x for x in range(256)], np.uint8)
-BLOCKS = "block long, doc_id array<long>, n array<long>, term array<string>, df array<long>, doc array<int>, tf array<int>"
+BLOCKS = "block long, doc_id array<long>, n array<long>, term array<string>, df array<int>, doc array<smallint>, tf array<int>"
 
 
 def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -77,7 +79,7 @@ def range_of(doc_id: pa.Array, texts: pa.Array) -> list[pa.Array] | None:
     # one entry a term and document, in order of both
     entries, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(texts) + owner, return_counts=True)
     term, doc = entries // len(texts), place[entries % len(texts)]
-    lists = [(doc_id.take(pa.array(with_terms)), pa.int64()), (n[with_terms], pa.int64()), (coded.dictionary.cast(pa.string()), pa.string()), (np.bincount(term), pa.int64()), (doc, pa.int32()), (tf, pa.int32())]
+    lists = [(doc_id.take(pa.array(with_terms)), pa.int64()), (n[with_terms], pa.int64()), (coded.dictionary.cast(pa.string()), pa.string()), (np.bincount(term), pa.int32()), (doc, pa.int16()), (tf, pa.int32())]
     return [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind)) for x, kind in lists]
 
 
@@ -118,6 +120,7 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Index:
     No rows, or none with terms, give an index without blocks. A document of any
     length is one entry; memory is in proportion to a range, or one longer text.
     """
+    block_docs = min(block_docs, 32_767)  # places are of 16 bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -127,7 +130,7 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Index:
                     yield pa.RecordBatch.from_arrays([part.column("place").slice(0, 1), *columns], ["block", "doc_id", "n", "term", "df", "doc", "tf"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = cut(rows.mapInArrow(run, BLOCKS))
+    blocks = cut(rows.mapInArrow(run, BLOCKS), file_rows=FILE_BLOCKS)
     total = lambda c: F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), c)), F.lit(0))
     n_docs, n_terms = blocks.agg(total(lambda a, x: a + F.lit(1)), total(lambda a, x: a + x)).first()
 
@@ -138,7 +141,7 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> Index:
                 most = np.maximum.reduceat(impacts_of(block, n_docs, n_terms), starts)
                 yield pa.RecordBatch.from_arrays([pa.array([block["block"]], pa.int64()), pa.array([block["term"]], pa.list_(pa.string())), pa.array([most], pa.list_(pa.int32()))], ["block", "term", "most"])
 
-    maxima = cut(blocks.select("block", "n", "term", "df", "doc", "tf").mapInArrow(highest, "block long, term array<string>, most array<int>"))
+    maxima = cut(blocks.select("block", "n", "term", "df", "doc", "tf").mapInArrow(highest, "block long, term array<string>, most array<int>"), file_rows=FILE_BLOCKS)
     return Index(blocks, maxima, n_docs, n_terms)
 
 

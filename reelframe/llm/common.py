@@ -49,15 +49,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _FOLDER.reset(held)
 
 
-def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+def cut(df: DataFrame, keep: bool = False, file_rows: int = 0) -> DataFrame:
     """df written as a table in the shared folder and read again.
 
     Later jobs start from the written files, so a lost executor costs one
     task and iterations do not grow the plan. keep: it outlives scratch().
+    file_rows: rows of a file at most, for rows of many kilobytes: a reader
+    decodes thousands of rows of a file at once, and holds them all.
     """
     spark = df.sparkSession
     path = f"{(None if keep else _FOLDER.get()) or shared_dir(spark)}/reelframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -66,3 +66,12 @@ def test_empty(spark, made):
     assert block_max.search(index, items.where("false"), 5).count() == 0
     assert block_max.search(block_max.build_index(docs.where("false")), items, 5).count() == 0
     assert block_max.search(index, items.where("item_id in (50, 51, 52)"), 5).collect() == []
+
+
+def test_a_file_holds_few_blocks(spark, made):
+    """All blocks of a task were one file, and a reader decodes all rows of a file at once."""
+    docs = spark.createDataFrame(made[0], "doc_id long, text string").coalesce(1)
+    index = block_max.build_index(docs, 3)
+    for table in (index.blocks, index.maxima):
+        counts = table.groupBy(F.input_file_name()).count().collect()
+        assert len(counts) > 2 and max(r["count"] for r in counts) <= block_max.FILE_BLOCKS
