@@ -13,6 +13,8 @@ from reelframe.functions.once import let
 SECRET_MARKERS = ("key=", "decryption_key ", "--key ")
 SECRET_QUERIES = ("token=", "signature=", "sig=", "Policy=", "Key-Pair-Id=")
 SIZE_UNITS = {"short": ("B", "KiB", "MiB", "GiB", "TiB"), "plain": ("B", "KB", "MB", "GB", "TB")}
+#: A name that stands beside a base as it is.
+NAME = r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"
 ABSOLUTE = "^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
@@ -72,10 +74,8 @@ def normalize_token(text: Column) -> Column:
 def encryption_method(text: Column) -> Column:
     """The method by its normalized name; missing or other names are Unknown."""
     names = {"none": "None", "aes128": "Aes128", "aes128ecb": "Aes128Ecb", "sampleaes": "SampleAes", "sampleaesctr": "SampleAesCtr", "cenc": "Cenc", "chacha20": "ChaCha20", "unknown": "Unknown"}
-    out = F.lit("Unknown")
-    for k, v in names.items():
-        out = F.when(normalize_token(text) == k, v).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, normalize_token(text)), F.lit("Unknown"))
 
 
 def file_size(n: Column, style: str = "short") -> Column:
@@ -121,6 +121,16 @@ def combine_url(base: Column, ref: Column) -> Column:
     return let(F.struct(base.alias("base"), ref.alias("ref")), lambda x: let(_seen_from(x["base"], x["ref"]), _without_dots))
 
 
+def beside(base: Column) -> Column:
+    """What stands before a plain name as seen from base; see seen_beside()."""
+    return let(combine_url(base, F.lit("x")), lambda x: F.substr(x, F.lit(1), F.length(x) - 1))
+
+
+def seen_beside(base: Column, before: Column, ref: Column) -> Column:
+    """combine_url(base, ref), where before is beside(base): a plain name is only put behind it."""
+    return F.when(ref.rlike(NAME), F.concat(before, ref)).otherwise(combine_url(base, ref))
+
+
 def _seen_from(base: Column, ref: Column) -> Column:
     origin = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     bare = base.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?(?:[?#]|$)")

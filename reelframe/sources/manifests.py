@@ -34,9 +34,8 @@ ROLES = ("Subtitle", "Main", "Alternate", "Supplementary", "Commentary", "Dub",
 WINDOW_SECONDS = 60.0
 FOUR_CC = ("HVC1", "HEV1", "AACL", "AACH", "EC-3", "H264", "AVC1", "DAVC", "TTML", "DVHE", "DVH1")
 SMOOTH_TICKS = 10_000_000
-#: What stands for a number with a width while a URL is made (no XML has it), and a listed name that stands beside its base as it is.
+#: What stands for a number with a width while a URL is made (no XML has it).
 MARK = "\u0001"
-NAME = r"^[A-Za-z0-9_-][A-Za-z0-9_.-]*$"
 
 REPRESENTATION = ["manifest_id", "period_pos", "set_pos", "rep_pos"]
 _RUN = "struct<kind: string, ref: string, range: string, t: bigint, d: bigint, n: bigint, seconds: double>"
@@ -178,10 +177,10 @@ def _patterned(representations: DataFrame) -> DataFrame:
     whole = media.rlike(names.ABSOLUTE) | ~media.contains("://")
     plain = ~base.contains("$") & ~base.contains(MARK) & ~media.contains(MARK)
     told = F.regexp_extract(media, r"\$Number%0(\d+)d\$", 1)
-    x = representations.withColumns({"pattern": F.when(whole & plain, names.combine_url(base, media)), "beside": names.combine_url(base, F.lit("x")), "width": F.when(told != "", F.coalesce(told.try_cast("int"), F.lit(0))),
+    x = representations.withColumns({"pattern": F.when(whole & plain, names.combine_url(base, media)), "beside": names.beside(base), "width": F.when(told != "", F.coalesce(told.try_cast("int"), F.lit(0))),
                                      "counted": media.contains("$Number"), "timed": media.contains("$Time")})
     marked = F.when(F.col("width").isNotNull(), F.regexp_replace("pattern", r"\$Number%0\d+d\$", MARK)).otherwise(F.col("pattern"))
-    return x.withColumns({"pattern": marked, "beside": F.substr("beside", F.lit(1), F.length("beside") - 1), "media": F.when(F.col("pattern").isNull(), media)})
+    return x.withColumns({"pattern": marked, "media": F.when(F.col("pattern").isNull(), media)})
 
 
 #: What _patterned() tells of a representation.
@@ -212,7 +211,7 @@ def _named(x: DataFrame) -> DataFrame:
     number = F.when(F.col("width").isNotNull(), F.replace("pattern", F.lit(MARK), names.zero_padded(said, F.col("width")))).otherwise(F.col("pattern"))
     numbered = F.when(F.col("counted"), F.replace(number, F.lit("$Number$"), said)).otherwise(F.col("pattern"))
     filled = F.when(timed, F.replace(numbered, F.lit("$Time$"), tick)).otherwise(numbered)
-    listed = F.when(ref.rlike(NAME), F.concat("beside", ref)).otherwise(names.combine_url(F.col("base"), ref))
+    listed = names.seen_beside(F.col("base"), F.col("beside"), ref)
     # a column of its own: combine_url() names it many times
     x = x.withColumn("odd", F.when(F.col("pattern").isNull() & kind.isin("timeline", "number"), names.template(F.col("media"), {"Number": F.col("number")})))
     odd = names.combine_url(F.col("base"), F.when(kind == "timeline", F.replace("odd", F.lit("$Time$"), tick)).otherwise(F.col("odd")))

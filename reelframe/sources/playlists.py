@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions import blobs, moments, text as names
+from reelframe.functions.once import let
 
 #: The media types of renditions.
 RENDITIONS = {"AUDIO": "Audio", "VIDEO": "Video", "SUBTITLES": "Subtitles"}
@@ -19,7 +20,7 @@ LIVE_TARGET = 5.0
 
 
 def lines(playlists: DataFrame) -> DataFrame:
-    """(manifest_id, base, pos, line) without empty lines; a byte order mark and white space around a text go.
+    """(manifest_id, base, beside, pos, line) without empty lines; a byte order mark and white space around a text go.
 
     Carriage returns end lines where there are no line feeds. A key that follows
     a duration, with nothing between them, comes before it. A null or empty text has no lines.
@@ -27,7 +28,9 @@ def lines(playlists: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace("text", "^[\\s﻿]+", ""), "\\s+$", "")
     body = F.when(body.contains("\n"), body).otherwise(F.replace(body, F.lit("\r"), F.lit("\n")))
     body = F.regexp_replace(body, r"(?m)^(#EXTINF[^\n]*)\n((?:[^\S\n]*\n)*)(#EXT-X-KEY[^\n]*)", "$3\n$2$1")
-    return playlists.select("manifest_id", F.col("url").alias("base"), F.posexplode(F.split(body, "\r?\n")).alias("pos", "line")).where("line <> ''")
+    # what plain names stand beside is worked out once a playlist, before its lines are rows
+    x = playlists.select("manifest_id", F.col("url").alias("base"), names.beside(F.col("url")).alias("beside"), body.alias("body"))
+    return x.select("manifest_id", "base", "beside", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).where("line <> ''")
 
 
 def after(line: Column, tag: str) -> Column:
@@ -70,6 +73,12 @@ def is_ad(url: Column) -> Column:
     return (url.contains("ccode=") & url.contains("/ad/") & url.contains("duration=")) | (url.contains("ccode=0902") & url.contains("duration="))
 
 
+def ad_at(base: Column, line: Column) -> Column:
+    """is_ad() of a line's URL, which is made only where its parts have what all ads have."""
+    told = line.contains("duration=") | base.contains("duration=")
+    return F.when(told, let(names.combine_url(base, line), is_ad)).otherwise(F.when(base.isNotNull(), False))
+
+
 def media_segments(playlists: DataFrame, multi_map: bool = False) -> DataFrame:
     """The segments of media playlists, with part, index, key and byte range.
 
@@ -97,7 +106,7 @@ def media_segments(playlists: DataFrame, multi_map: bool = False) -> DataFrame:
     })
     x = x.withColumn("before", count(F.col("is_url"), earlier))
     x = x.withColumn("segment", F.col("is_url") & F.max("ready").over(Window.partitionBy("manifest_id", "before")))
-    x = x.withColumn("ad", F.col("segment") & is_ad(names.combine_url(F.col("base"), line)))
+    x = x.withColumn("ad", F.col("segment") & ad_at(F.col("base"), line))
     x = x.withColumns({"ads": count(F.col("ad"), upto), "real": count(F.col("segment") & ~F.col("ad"), upto)})
     # ads and segments up to the discontinuity before this line
     at_cut = lambda c: F.coalesce(F.last(F.when(F.col("cut"), F.col(c)), ignorenulls=True).over(earlier), F.lit(0))
@@ -112,7 +121,7 @@ def media_segments(playlists: DataFrame, multi_map: bool = False) -> DataFrame:
     at = lambda c, when: F.max_by(c, F.when(when, F.col("pos")))
     extinf, ranged, dated, own = F.col("extinf"), line.startswith("#EXT-X-BYTERANGE:"), line.startswith("#EXT-X-PROGRAM-DATE-TIME:"), F.col("segment")
     kept = ~F.col("ad") & ~F.col("lost") & (~F.col("over") | F.coalesce(F.col("pos") < F.col("last_flush"), F.lit(False)))
-    found = x.groupBy("manifest_id", "base", "nth").agg(
+    found = x.groupBy("manifest_id", "base", "beside", "nth").agg(
         F.max(F.when(own, line)).alias("ref"), F.max(F.when(own, F.col("cuts"))).alias("cuts"), F.max(F.when(own, kept)).alias("kept"),
         F.coalesce(moments.manifest_number(at(F.regexp_extract(line, "^#EXTINF:([^,]*)", 1), extinf)), F.lit(0.0)).alias("duration"),
         F.coalesce(at(F.col("index"), extinf), F.lit(0)).alias("seg_index"), at(F.col("key"), extinf).alias("key"),
@@ -131,8 +140,8 @@ def media_segments(playlists: DataFrame, multi_map: bool = False) -> DataFrame:
     coded = F.col("method") != "None"
     iv = F.coalesce(blobs.strict_hex(names.hls_attribute(F.col("key"), "IV")), blobs.implicit_iv(F.col("seg_index")))
     uri = non_empty(names.hls_attribute(F.col("key"), "URI"))
-    return found.select("manifest_id", "part", "seg_index", names.combine_url(F.col("base"), F.col("ref")).alias("url"), "duration", "range_start", "range_length", "method",
-                        F.when(coded, names.combine_url(F.col("base"), uri)).alias("key_uri"), F.when(coded, iv).alias("iv"), "date_time")
+    return found.select("manifest_id", "part", "seg_index", names.seen_beside(F.col("base"), F.col("beside"), F.col("ref")).alias("url"), "duration", "range_start", "range_length", "method",
+                        F.when(coded, names.seen_beside(F.col("base"), F.col("beside"), uri)).alias("key_uri"), F.when(coded, iv).alias("iv"), "date_time")
 
 
 def line_error(line: Column) -> Column:

@@ -1,5 +1,8 @@
 """HLS rules with rows worked out by hand."""
 
+from pyspark.sql import functions as F
+
+from reelframe.functions import text as names
 from reelframe.plans import queries
 from reelframe.sources import playlists
 
@@ -80,3 +83,14 @@ def test_playlists_are_built_in_as_many_tasks_as_there_are_rows_for(spark):
     rows = queries.dealt(spark.range(250).toDF("k"), "k", most=100)
     assert rows.rdd.getNumPartitions() == 3 and queries.dealt(spark.range(0).toDF("k"), "k").count() == 0
     assert rows.groupBy("k").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_urls_beside_a_playlist_and_ads_are_told_as_by_whole_urls(spark):
+    """An address was put together for every line of a playlist, to ask whether it is an ad."""
+    bases = ["http://h/a/b.m3u8?q=1/2", "http://h", "http://h?x/y", "a/../b/c", "http://h/a/./b", "", "/r/x", "http://h/ad/l?ccode=1&duration=2", "h:", None]
+    refs = ["x.ts", "..", ".", "a..b", "-1", "a/b", "/a", "?q", "http://o/x", "//o/x", "h:x", "", None, "é.ts", "x\n", "s/ad/x?ccode=0902&duration=1", "?ccode=1&duration=", "/ad/1?ccode=1&duration=3"]
+    x = spark.createDataFrame([(b, r) for b in bases for r in refs], "b string, r string")
+    b, r = F.col("b"), F.col("r")
+    whole = names.combine_url(b, r)
+    got = x.select(names.seen_beside(b, names.beside(b), r), whole, F.coalesce(playlists.ad_at(b, r), F.lit(False)), F.coalesce(playlists.is_ad(whole), F.lit(False))).collect()
+    assert all(g[0] == g[1] and g[2] == g[3] for g in got) and sum(g[2] for g in got) > 5
