@@ -526,3 +526,14 @@ def test_personal_data_counts_by_kind(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: tuple(r[f"n_{k}"] for k in personal_data.KINDS) for r in personal_data.op6_weak_supervision(spark, str(tmp_path)).collect()}
     assert got == {1: (1, 2, 0, 0), 2: (0, 0, 2, 0), 3: (0, 0, 0, 0), 4: (1, 0, 0, 1)}
+
+
+def test_url_tables_that_grow_are_not_broadcast(spark):
+    """A table whose file is small was sent to the driver and every executor, however many rows it has."""
+    urls = spark.createDataFrame([(f"http://example.net/en/{k}", k % 2 == 0, 1) for k in range(50)], "url string, accepted boolean, n int")
+    own, context = url_filter.counts(urls)
+    gram = urls.select(F.explode(url_filter.grams(F.element_at(url_filter.tokens(F.col("url")), -1))).alias("gram")).distinct()
+    plan = url_filter.ratios(gram, own, context)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2  # short ones, behind a checked size
+    judged = url_filter.judge_urls(urls.select("url"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in judged
